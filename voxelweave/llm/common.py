@@ -57,3 +57,75 @@ def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
     starts = np.frombuffer(offsets, dtype=np.int64, count=n + 1 + column.offset)[column.offset :] if n else np.zeros(1, np.int64)
     held = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return held[starts[0] : starts[-1]], starts - starts[0]
+
+
+def lookup(left: DataFrame, right: DataFrame, on: str, key: str, total: int) -> DataFrame:
+    """Left join of left.on to right.key, where right has one row for each key and a count _n of the left rows that hold it.
+
+    Keys that hold over a thousandth of the left rows number under a thousand, so these are joined by broadcast; the others by a
+    shuffled join in which the hot rows are dealt out by a hash of themselves, so no task gets a hot key.
+    """
+    from pyspark.sql import functions as F
+
+    values = [c for c in right.columns if c not in (key, "_n")]
+    limit = total / 1000
+    hot = right.where(F.col("_n") > limit).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_h_{c}") for c in values])
+    cold = right.where(F.col("_n") <= limit).select(F.col(key).alias("_cold"), *[F.col(c).alias(f"_c_{c}") for c in values])
+    out = left.join(F.broadcast(hot), F.col(on) == F.col("_hot"), "left")
+    spread = F.when(F.col("_hot").isNotNull() | F.col(on).isNull(), F.xxhash64(*[F.col(c) for c in left.columns])).otherwise(F.lit(0))
+    out = out.withColumn("_s", spread).join(cold.withColumn("_z", F.lit(0).cast("long")), (F.col(on) == F.col("_cold")) & (F.col("_s") == F.col("_z")), "left")
+    return out.select(*left.columns, *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in values])
+
+
+def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+    """Smallest node that each node is linked to: (node, root) for every node but the roots, from edges (a, b) of longs with a > b.
+
+    A round hangs the larger neighbours of every node on its smallest one and then skips over parents; it ends when all parents are
+    roots. A node meets only its smaller neighbours in one task; parents with many children are looked up hot-safe.
+    """
+    from pyspark.sql import functions as F
+
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    for _ in range(limit):
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("bs"))
+        moved = least.select(F.explode(F.concat(F.array("a"), "bs")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        moved = materialize(moved, "edges")
+        children = moved.groupBy("b").agg(F.count("*").alias("_n"))
+        parents = moved.groupBy("a").agg(F.min("b").alias("up"), F.count("*").alias("k"))
+        right = materialize(parents.join(children, parents.a == children.b).select(parents.a.alias("p"), "up", "_n"), "parents")
+        several = parents.where("k > 1").limit(1).count()
+        nested = right.limit(1).count()
+        if not several and not nested:
+            return moved.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if nested:
+            up = lookup(moved, right, "b", "p", max(1, moved.count()))
+            edges = up.select("a", F.coalesce("up", "b").alias("b")).unionByName(right.select(F.col("p").alias("a"), F.col("up").alias("b"))).where("a <> b")
+            edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        else:
+            edges = moved
+    raise RuntimeError("the components did not settle")
+
+
+def pack(values: np.ndarray) -> bytes:
+    """An array of unsigned integers as zstandard bytes, byte planes apart."""
+    import zstandard
+
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    width = np.dtype(kind).itemsize
+    raw = zstandard.ZstdDecompressor().decompress(data) if data else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+
+
+def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    n = len(sorted_values)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.concatenate([[0], np.nonzero(sorted_values[1:] != sorted_values[:-1])[0] + 1])
+    return starts, np.diff(np.concatenate([starts, [n]]))
