@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelweave.llm import byte_bpe, decontaminate, jaccard_join, language_id, token_counts, top_k, warc
+from voxelweave.llm import byte_bpe, decontaminate, jaccard_join, language_id, suffix_dedup, token_counts, top_k, warc
 from voxelweave.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path, pattern))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents"), width=5, percent=75)
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_top_k": op4_top_k,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_jaccard_join": op7_jaccard_join,
         "op9_decontaminate": op9_decontaminate,
     }
