@@ -31,7 +31,7 @@ ANCHOR, SLICE, FLUSH, BATCH = 40, 1 << 20, 1_000_000, 1 << 16
 NO_ID = -(1 << 63)
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-TEXT = "doc_id long, spans array<struct<start:int,end:int>>, kept binary"
+TEXT = "doc_id long, spans array<struct<start:int,end:int>>, kept binary, kept_text string"
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -216,7 +216,7 @@ def _finish(text: bytes, starts: np.ndarray, ends: np.ndarray, whole: bool) -> t
         at = b
     kept = b"".join([*kept, text[at:]])
     if whole:
-        return [{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], kept
+        return [{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], kept, kept.decode("utf-8", "ignore")
     return len(text), len(text) - len(kept), len(starts), hashlib.sha256(kept).hexdigest()
 
 
@@ -291,36 +291,41 @@ def matched(contexts: DataFrame, length: int, texts: int) -> DataFrame:
     return contexts.groupBy("bucket").applyInArrow(run, _DEALT)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", key: str = "doc_id", whole: bool = False) -> DataFrame:
-    """A row for every text: spans removed and bytes kept (whole), or their digests."""
+def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", key: str = "doc_id", whole: bool = False, carry: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """A row for every text: spans removed, bytes kept and the whole characters among them (whole), or their digests; and the columns
+    to carry along."""
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
     total = docs.count()
     buckets = 1 << max(6, (total // 4000).bit_length())
     schema = TEXT if whole else DIGEST
-    names = [x.split(" ")[0] for x in DIGEST.split(", ")] if not whole else ["doc_id", "spans", "kept"]
+    names = [x.split(" ")[0] for x in DIGEST.split(", ")] if not whole else [x.split(" ")[0] for x in TEXT.split(", ")]
+    taken = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    kinds = [pa.int64(), spans, pa.binary()] if whole else [pa.int64()] * 4 + [pa.string()]
-    named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("fp"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kinds = [pa.int64(), spans, pa.binary(), pa.string()] if whole else [pa.int64()] * 4 + [pa.string()]
+    named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("fp"), F.coalesce(F.col(text), F.lit("")).alias("text"), taken.alias("carry"))
+    carried = named.schema["carry"].dataType
+    schema, names, kinds = f"{schema}, carry {carried.simpleString()}", [*names, "carry"], [*kinds, to_arrow_type(carried)]
     marks = materialize(by_text(repeated(sampled(named, length, buckets), length, buckets)), "marks")
-    joined = named.join(marks.hint("shuffle_hash"), (F.col("doc_id") == F.col("id")) & (named.fp == marks.fp), "left").select("doc_id", named.fp, "text", "cut", "look")
+    joined = named.join(marks.hint("shuffle_hash"), (F.col("doc_id") == F.col("id")) & (named.fp == marks.fp), "left").select("doc_id", named.fp, "text", "cut", "look", "carry")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: a result; 1: a text that waits for its stretches; 2: a stretch with its bytes."""
         for batch in batches:
             done, waits, looks = [], [], []
-            for doc_id, fp, t, cut, look in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, fp, t, cut, look, along in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if look is None:
-                    done.append((doc_id, *_finish(t.encode(), *_spans(cut), whole)))
+                    done.append((doc_id, *_finish(t.encode(), *_spans(cut), whole), along))
                     continue
-                waits.append((doc_id, fp, t, cut))
+                waits.append((doc_id, fp, t, cut, along))
                 data = t.encode()
                 for start, end, _, anchor in np.frombuffer(look, np.uint64).reshape(4, -1).T.tolist():
                     looks.append((anchor % buckets, doc_id, fp, start, data[start:end]))
             columns = [pa.array([0] * len(done) + [1] * len(waits) + [2] * len(looks), pa.int32())]
-            rest = len(waits) + len(looks)
             for i, k in enumerate(kinds):
-                columns.append(pa.array([x[i] for x in done] + [None] * rest, k))
+                own = [x[4] for x in waits] if names[i] == "carry" else [None] * len(waits)
+                columns.append(pa.array([x[i] for x in done] + own + [None] * len(looks), k))
             pad = [None] * len(done)
             columns.append(pa.array(pad + [None] * len(waits) + [x[0] for x in looks], pa.int64()))
             columns += [pa.array(pad + [x[i] for x in waits] + [x[i + 1] for x in looks], pa.int64()) for i in (0, 1)]
@@ -332,16 +337,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", key:
 
     parts = materialize(joined.mapInArrow(first, f"kind int, {schema}, bucket long, id long, fp long, wait string, cut binary, start long, bytes binary"), "first-pass")
     more = by_text(matched(parts.where("kind = 2").select("bucket", "id", "fp", "start", "bytes"), length, buckets)).select("id", "fp", F.col("cut").alias("more"))
-    waiting = parts.where("kind = 1").select("id", "fp", "wait", "cut")
-    both = waiting.join(more.hint("shuffle_hash"), ["id", "fp"], "left").select("id", "wait", "cut", "more")
+    waiting = parts.where("kind = 1").select("id", "fp", "wait", "cut", "carry")
+    both = waiting.join(more.hint("shuffle_hash"), ["id", "fp"], "left").select("id", "wait", "cut", "more", "carry")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, t, cut, further in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, t, cut, further, along in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b = (np.concatenate(x) for x in zip(_spans(cut), _spans(further), strict=True))
-                rows.append((doc_id, *_finish(t.encode(), *merged(a, b), whole)))
+                rows.append((doc_id, *_finish(t.encode(), *merged(a, b), whole), along))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=names)
 
     out = parts.where("kind = 0").select(*names).unionByName(both.mapInArrow(second, schema))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    own = [c for c in names if c not in ("doc_id", "carry")]
+    return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), *own, *[F.col(f"carry.{c}").alias(c) for c in carry])
