@@ -1 +1,3 @@
-"""Registered queries."""
+"""Registered queries, by area."""
+
+from voxelweave.plans import splat_queries, stream_queries  # noqa: F401
