@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 PACKET_MAGIC = 0x48454D44
 PACKET = struct.Struct("<IBBIII")  # magic, type, flags, frame_id, timestamp_ms, payload_size
 FLAG_HAS_VIDEO, FLAG_IS_FINAL = 1, 2
-BLOB_MAGIC = 0x47535131
-BLOB = struct.Struct("<IHHI6f")  # magic, version, colour coefficients, count, bounding box low and high
-CHUNK_MAGIC = 0x5053474E
-CHUNK = struct.Struct("<IIIBBBB")  # magic, version, count, colour degree, fractional bits, flags, reserved
+BLOB_MAGIC = 0x48454947
+BLOB = struct.Struct("<IBBHI6f")  # magic, version, flags, reserved, count, bounding box low and high
+BLOB_DC = 1  # flag: the first three colour coefficients alone, else all 48 and three bytes of padding
+CHUNK_MAGIC = 0x005A5053
+CHUNK = struct.Struct("<IIIHH")  # magic, version, count, colour degree, flags
+CHUNK_DELTA = 1
 GLB = struct.Struct("<III")
 GLB_MAGIC, GLB_JSON, GLB_BIN = 0x46546C67, 0x4E4F534A, 0x004E4942
 
@@ -68,28 +70,33 @@ def _u(x, top: int) -> np.ndarray:
     return np.floor(np.clip(x, 0, 1) * top + 0.5)
 
 
+def _record(full: bool) -> np.dtype:
+    return np.dtype([("p", "<u2", 3), ("s", "<u2", 3), ("q", "i1", 4), ("o", "u1"), ("c", "u1", 48 if full else 3)] + ([("pad", "u1", 3)] if full else []))
+
+
 def quantise(positions, scales, quats, opacity, sh) -> bytes:
     """Worker blob: header, then a record for each splat: 3 u16 in the box, 3 u16 of log scale in [-10, 2], 4 i8, u8 opacity, u8 colours."""
     p = np.asarray(positions, np.float64).reshape(-1, 3)
     sh = np.asarray(sh, np.float64).reshape(len(p), -1)
+    full = sh.shape[1] > 3
     low, high = (p.min(0), p.max(0)) if len(p) else (np.zeros(3), np.zeros(3))
     pad = (high - low) * 0.001 + 1e-6
     low, high = (low - pad).astype(np.float32), (high + pad).astype(np.float32)
-    rec = np.zeros(len(p), np.dtype([("p", "<u2", 3), ("s", "<u2", 3), ("q", "i1", 4), ("o", "u1"), ("c", "u1", (sh.shape[1],))]))
+    rec = np.zeros(len(p), _record(full))
     rec["p"] = _u((p - low) / (high - low), 65535)
     rec["s"] = _u((np.log(np.maximum(scales, 1e-10)) + 10) / 12, 65535)
     rec["q"] = np.clip(np.asarray(quats) * 127, -127, 127).astype(np.int8)
     rec["o"] = _u(np.asarray(opacity), 255)
-    rec["c"] = _u((sh + 5) / 10, 255)
-    return BLOB.pack(BLOB_MAGIC, 1, sh.shape[1], len(p), *low, *high) + rec.tobytes()
+    rec["c"][:, : sh.shape[1]] = _u((sh + 5) / 10, 255)
+    return BLOB.pack(BLOB_MAGIC, 1, 0 if full else BLOB_DC, 0, len(p), *low, *high) + rec.tobytes()
 
 
 def dequantise(data: bytes) -> dict[str, np.ndarray] | None:
     """The blob's splats, or None if it is foreign, cut off or of another version."""
     if data is None or len(data) < BLOB.size:
         return None
-    magic, version, colours, n, *box = BLOB.unpack_from(data)
-    kind = np.dtype([("p", "<u2", 3), ("s", "<u2", 3), ("q", "i1", 4), ("o", "u1"), ("c", "u1", (colours,))])
+    magic, version, flags, _, n, *box = BLOB.unpack_from(data)
+    kind = _record(not flags & BLOB_DC)
     if magic != BLOB_MAGIC or version != 1 or len(data) != BLOB.size + n * kind.itemsize:
         return None
     rec = np.frombuffer(data, kind, n, BLOB.size)
@@ -117,13 +124,13 @@ def spz_keyframe(positions, scales, quats, opacity, sh) -> bytes:
         r((sh + 5) / 10, 255, "u1").T.tobytes(),
     ]
     degree = int(round((sh.shape[1] / 3) ** 0.5)) - 1 if n else 0
-    return gzip.compress(CHUNK.pack(CHUNK_MAGIC, 1, n, degree, 0, 1, 0) + b"".join(body), 6, mtime=0)
+    return gzip.compress(CHUNK.pack(CHUNK_MAGIC, 1, n, degree, 0) + b"".join(body), 6, mtime=0)
 
 
 def spz_decode(data: bytes) -> dict[str, np.ndarray]:
     raw = gzip.decompress(data)
-    magic, _, n, degree, _, flags, _ = CHUNK.unpack_from(raw)
-    if magic != CHUNK_MAGIC or not flags & 1:
+    magic, _, n, degree, flags = CHUNK.unpack_from(raw)
+    if magic != CHUNK_MAGIC or flags & CHUNK_DELTA:
         raise ValueError("not a keyframe chunk")
     at = CHUNK.size
 
@@ -143,21 +150,39 @@ def spz_decode(data: bytes) -> dict[str, np.ndarray]:
 
 
 def spz_delta(key: dict, frame: dict) -> bytes:
-    """Chunk of a frame against its keyframe, by position: f32 place and rotation differences, u8 opacity."""
+    """Chunk of a frame against its keyframe, by position: box of the moves, u16 moves, u8 turns (clamped to [-1, 1]), u8 opacities."""
     n = len(frame["opacity"])
     if n != len(key["opacity"]):
         raise ValueError("a delta needs as many splats as its keyframe")
-    body = [(frame[k] - key[k]).astype("<f4").T.tobytes() for k in ("position", "rotation")] + [np.round(np.clip(frame["opacity"], 0, 1) * 255).astype("u1").tobytes()]
-    return gzip.compress(CHUNK.pack(CHUNK_MAGIC, 1, n, 0, 0, 0, 0) + b"".join(body), 6, mtime=0)
+    moves, turns = (np.asarray(frame[k] - key[k], np.float64) for k in ("position", "rotation"))
+    low, high = (moves.min(0), moves.max(0)) if n else (np.zeros(3), np.zeros(3))
+    span = np.where(high - low < 1e-12, 1, high - low)
+    body = [
+        np.concatenate([low, high]).astype("<f4").tobytes(),
+        np.round(np.clip((moves - low) / span, 0, 1) * 65535).astype("<u2").T.tobytes(),
+        np.round((np.clip(turns, -1, 1) + 1) / 2 * 255).astype("u1").T.tobytes(),
+        np.round(np.clip(frame["opacity"], 0, 1) * 255).astype("u1").tobytes(),
+    ]
+    return gzip.compress(CHUNK.pack(CHUNK_MAGIC, 1, n, 0, CHUNK_DELTA) + b"".join(body), 6, mtime=0)
 
 
 def apply_delta(key: dict, data: bytes) -> dict:
+    """The frame that a delta chunk makes of its keyframe; scales and colours stay the keyframe's."""
     raw = gzip.decompress(data)
     _, _, n, *_ = CHUNK.unpack_from(raw)
     at = CHUNK.size
-    dp = np.frombuffer(raw, "<f4", 3 * n, at).reshape(3, n).T
-    dq = np.frombuffer(raw, "<f4", 4 * n, at + 12 * n).reshape(4, n).T
-    return key | {"position": key["position"] + dp, "rotation": key["rotation"] + dq, "opacity": np.frombuffer(raw, "u1", n, at + 28 * n) / 255}
+    box = np.frombuffer(raw, "<f4", 6, at)
+    moves = box[:3] + np.frombuffer(raw, "<u2", 3 * n, at + 24).reshape(3, n).T / 65535 * (box[3:] - box[:3])
+    turns = np.frombuffer(raw, "u1", 4 * n, at + 24 + 6 * n).reshape(4, n).T / 255 * 2 - 1
+    return key | {"position": key["position"] + moves, "rotation": key["rotation"] + turns, "opacity": np.frombuffer(raw, "u1", n, at + 24 + 10 * n) / 255}
+
+
+GLTF_BUFFER_MAGIC = 0x5A505347
+
+
+def spz_buffer(chunk: bytes, splats: int, frame: int = 0) -> bytes:
+    """A chunk as a glTF buffer: 20-byte header (magic, version, frame, splats, size), the bytes, and padding to four."""
+    return struct.pack("<IIIII", GLTF_BUFFER_MAGIC, 1, frame, splats, len(chunk)) + chunk + b"\0" * (-len(chunk) % 4)
 
 
 def ply(columns: list[str], values: np.ndarray, binary: bool = True) -> bytes:

@@ -10,7 +10,7 @@ from voxelweave.plans.registry import query
 from voxelweave.sources import views as V
 
 
-@query("blob_sizes", f"WITH {V.SPLATS} SELECT frame_id, count(*) AS splats, 36 + count(*) * 65 AS bytes FROM splats GROUP BY 1")
+@query("blob_sizes", f"WITH {V.SPLATS} SELECT frame_id, count(*) AS splats, 36 + count(*) * 68 AS bytes FROM splats GROUP BY 1")
 def blob_sizes(spark, d):
     return D.encode_frames(V.splats(spark, d)).select("frame_id", "splats", F.octet_length("payload").cast("long").alias("bytes"))
 
