@@ -17,6 +17,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,12 +103,13 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = 13, text: str = "t
     from pyspark.sql.pandas.types import to_arrow_type
 
     sc = docs.sparkSession.sparkContext
-    blocks = list(pattern_blocks(items.select("item_id", "text"), width, block)) or [{}]
     rest = [c for c in docs.columns if c not in (text, "n_words", "hits")]
     kept = [*rest, text]
     kind = to_arrow_type(HITS)
     out = docs.select(*kept)
-    for patterns in blocks:
+    for patterns in chain(pattern_blocks(items.select("item_id", "text"), width, block), [{}]):
+        if not patterns and "hits" in out.columns:
+            continue
         key = hashlib.sha1(repr(sorted(patterns.items())).encode()).hexdigest()
         shipped = sc.broadcast((key, patterns))
         first = "hits" not in out.columns
