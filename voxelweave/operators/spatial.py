@@ -79,10 +79,10 @@ def top_opacity(splats: DataFrame, budget: int) -> DataFrame:
     return splats.withColumn("_r", rank).where(F.col("_r") <= budget).drop("_r")
 
 
-def match(new: DataFrame, old: DataFrame, radius: float, threshold: float, color_weight: float) -> DataFrame:
+def match(new: DataFrame, old: DataFrame, radius: float, threshold: float, color_weight: float, on: tuple[str, ...] = ()) -> DataFrame:
     """Each new splat's cheapest old one: distance plus weighted mean difference of the constant colour band, under the threshold;
-    null if none. new and old: splat_id, px, py, pz, sh."""
-    pairs = grid_join(new, old, radius, on=())
+    null if none. new and old: splat_id, px, py, pz, sh, and the columns that a pair must agree on."""
+    pairs = grid_join(new, old, radius, on=on)
     color = sum((F.abs(F.col("a_sh")[i] - F.col("b_sh")[i]) for i in range(3)), F.lit(0.0)) / 3
     cost = F.sqrt("d2") + color_weight * color
     best = pairs.withColumn("cost", cost).where(F.col("cost") < threshold).groupBy("a_splat_id").agg(F.min(F.struct("cost", "b_splat_id")).alias("m"))

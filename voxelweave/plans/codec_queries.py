@@ -42,5 +42,5 @@ def packet_round_trip(spark, d):
 
 @query("splat_composite")
 def splat_composite(spark, d):
-    s = V.splats(spark, d).where("frame_id = 0").withColumns({"pz": F.col("pz") + 3, "sx": F.col("sx") * 0.02, "sy": F.col("sy") * 0.02, "sz": F.col("sz") * 0.02})
+    s = V.splats(spark, d).withColumns({"pz": F.col("pz") + 3, "sx": F.col("sx") * 0.02, "sy": F.col("sy") * 0.02, "sz": F.col("sz") * 0.02})
     return R.composite(R.project_splats(s, 40.0, 40.0, 24.0, 16.0), 48, 32).select("frame_id", "x", "y", F.round("r", 4).alias("r"), F.round("coverage", 4).alias("coverage"))

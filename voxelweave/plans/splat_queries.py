@@ -102,16 +102,17 @@ def cell_runs(spark, d):
     return S.cell_runs(V.splats(spark, d), 0.1)
 
 
-_MATCH = f"""{V.SPLATS}, o AS (SELECT * FROM splats WHERE frame_id = 0), n AS (SELECT * FROM splats WHERE frame_id = 1),
+_MATCH = f"""{V.SPLATS}, o AS (SELECT *, frame_id + 1 AS g FROM splats), n AS (SELECT *, frame_id AS g FROM splats),
 c AS (SELECT n.splat_id, o.splat_id AS old_id, sqrt((n.px-o.px)*(n.px-o.px)+(n.py-o.py)*(n.py-o.py)+(n.pz-o.pz)*(n.pz-o.pz))
  + 0.1*(abs(n.sh[1]-o.sh[1])+abs(n.sh[2]-o.sh[2])+abs(n.sh[3]-o.sh[3]))/3 AS cost FROM n JOIN o
- ON (n.px-o.px)*(n.px-o.px)+(n.py-o.py)*(n.py-o.py)+(n.pz-o.pz)*(n.pz-o.pz) < 0.09),
+ ON n.g = o.g AND (n.px-o.px)*(n.px-o.px)+(n.py-o.py)*(n.py-o.py)+(n.pz-o.pz)*(n.pz-o.pz) < 0.09),
 m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY splat_id ORDER BY cost, old_id) AS k FROM c WHERE cost < 0.3) WHERE k = 1)"""
 
 
 def _match(spark, d):
+    """Every frame's splats against those of the frame before."""
     s = V.splats(spark, d).select("frame_id", "splat_id", "px", "py", "pz", "sh")
-    return S.match(s.where("frame_id = 1").drop("frame_id"), s.where("frame_id = 0").drop("frame_id"), 0.3, 0.3, 0.1)
+    return S.match(s, s.withColumn("frame_id", F.col("frame_id") + 1), 0.3, 0.3, 0.1, on=("frame_id",))
 
 
 @query("temporal_match", f"WITH {_MATCH} SELECT n.splat_id, m.old_id, round(m.cost, 6) AS cost FROM n LEFT JOIN m USING (splat_id)")
@@ -122,7 +123,7 @@ def temporal_match(spark, d):
 @query("match_counts", f"WITH {_MATCH} SELECT count(m.old_id) AS matched, count(*) - count(m.old_id) AS added, (SELECT count(*) FROM o WHERE splat_id NOT IN (SELECT old_id FROM m)) AS unmatched_old FROM n LEFT JOIN m USING (splat_id)")
 def match_counts(spark, d):
     m = _match(spark, d)
-    old = V.splats(spark, d).where("frame_id = 0").select("splat_id").join(m.select(F.col("old_id").alias("splat_id")), "splat_id", "left_anti")
+    old = V.splats(spark, d).select("splat_id").join(m.select(F.col("old_id").alias("splat_id")), "splat_id", "left_anti")
     sums = m.agg(F.count("old_id").alias("matched"), F.count_if(F.expr("old_id IS NULL")).alias("added"))
     return sums.crossJoin(old.agg(F.count("*").alias("unmatched_old")))
 
@@ -135,8 +136,8 @@ def unmatched_new(spark, d):
 @query("ema_blend_step", f"WITH {_MATCH} SELECT m.splat_id, m.old_id, round(o.px*0.7+n.px*0.3, 6) AS px, round(o.opacity*0.7+n.opacity*0.3, 6) AS opacity FROM m JOIN n USING (splat_id) JOIN o ON o.splat_id = m.old_id")
 def ema_blend_step(spark, d):
     s = V.splats(spark, d).select("frame_id", "splat_id", "px", "opacity")
-    new = s.where("frame_id = 1").drop("frame_id")
-    old = s.where("frame_id = 0").select(F.col("splat_id").alias("old_id"), F.col("px").alias("opx"), F.col("opacity").alias("oo"))
+    new = s.drop("frame_id")
+    old = s.select(F.col("splat_id").alias("old_id"), F.col("px").alias("opx"), F.col("opacity").alias("oo"))
     m = _match(spark, d).where("old_id IS NOT NULL").select("splat_id", "old_id")
     return m.join(new, "splat_id").join(old, "old_id").select("splat_id", "old_id", r6(F.col("opx") * 0.7 + F.col("px") * 0.3).alias("px"), r6(F.col("oo") * 0.7 + F.col("opacity") * 0.3).alias("opacity"))
 
