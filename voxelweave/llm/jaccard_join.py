@@ -32,7 +32,7 @@ GROUPS = 16
 #: Classes of one block of a candidate component.
 BLOCK = 20_000
 #: Bytes of text that are cut into words at once, and shingles that are sorted and sent at once.
-SLICE, FLUSH = 2 << 20, 3_000_000
+SLICE, FLUSH = 1 << 19, 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32

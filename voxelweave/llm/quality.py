@@ -27,7 +27,7 @@ RATED, OTHERS, SAMPLE_CHARS = 6000, 1500, 20_000
 #: Buckets of the hashed features.
 WIDTH = 1 << 18
 #: Words a worker remembers. Speed only.
-MEMORY = 400_000
+MEMORY = 150_000
 
 #: Insults of the toxicity heuristic: fixed values, alphabetical.
 INSULTS = frozenset("clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())

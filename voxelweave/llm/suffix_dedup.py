@@ -27,7 +27,7 @@ from voxelweave.llm.common import materialize, mix, pack, runs, unpack, utf8_col
 from voxelweave.llm.jaccard_join import _BYTES, _powers, slices
 
 #: Bytes of an anchor; bytes of text looked at, and anchors sorted and sent, at once; suffixes of a batch.
-ANCHOR, SLICE, FLUSH, BATCH = 40, 1 << 20, 1_000_000, 1 << 16
+ANCHOR, SLICE, FLUSH, BATCH = 40, 1 << 19, 400_000, 1 << 16
 NO_ID = -(1 << 63)
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -310,9 +310,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", key:
     marks = materialize(by_text(repeated(sampled(named, length, buckets), length, buckets)), "marks")
     joined = named.join(marks.hint("shuffle_hash"), (F.col("doc_id") == F.col("id")) & (named.fp == marks.fp), "left").select("doc_id", named.fp, "text", "cut", "look", "carry")
 
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from (batch.slice(i, 512) for i in range(0, batch.num_rows, 512))
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: a result; 1: a text that waits for its stretches; 2: a stretch with its bytes."""
-        for batch in batches:
+        for batch in short(batches):
             done, waits, looks = [], [], []
             for doc_id, fp, t, cut, look, along in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if look is None:
@@ -341,7 +345,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", key:
     both = waiting.join(more.hint("shuffle_hash"), ["id", "fp"], "left").select("id", "wait", "cut", "more", "carry")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             rows = []
             for doc_id, t, cut, further, along in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b = (np.concatenate(x) for x in zip(_spans(cut), _spans(further), strict=True))
