@@ -129,3 +129,15 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts = np.concatenate([[0], np.nonzero(sorted_values[1:] != sorted_values[:-1])[0] + 1])
     return starts, np.diff(np.concatenate([starts, [n]]))
+
+
+def give_back() -> None:
+    """Returns what the allocators of a Python worker hold but don't use, so that its peak doesn't stay for the stages that follow."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim is not None:
+        trim(0)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import components, lookup, materialize, mix, pack, runs, unpack, utf8_column
+from voxelweave.llm.common import components, give_back, lookup, materialize, mix, pack, runs, unpack, utf8_column
 
 #: Groups of frequent tokens; prefixes are longer by as many tokens.
 GROUPS = 16
@@ -131,6 +131,8 @@ def classes(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, t, h in _sets(batches, width, 1):
             counts, ids = class_ids(t, h, b - a)
+            if b == batch.num_rows:
+                give_back()
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(ids)], names=["doc_id", "n_shingles", "cls"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, cls long")
@@ -175,8 +177,10 @@ def postings(docs: DataFrame, width: int, buckets: int, text: str = "text") -> D
             if size >= FLUSH:
                 yield from out()
                 held, size, texts = [], 0, 0
+                give_back()
         if held:
             yield from out()
+        give_back()
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket long, tokens binary, which binary, classes binary, sizes binary")
 
@@ -213,6 +217,7 @@ def shared_tokens(posted: DataFrame, buckets: int) -> DataFrame:
         order = np.argsort(c, kind="stable")
         h, c, n, df = h[order], c[order], n[order], df[order]
         starts, counts = runs(c >> bits)
+        give_back()
         rows = [(int(c[s] >> bits), *(pack(x[s : s + k]) for x in (c, n, h, df))) for s, k in zip(starts, counts, strict=True)]
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=names)
 
@@ -253,6 +258,8 @@ def indexed(shared: DataFrame, buckets: int, percent: int, frequent: int) -> Dat
         c, n, h, df = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((h, df, c))
         c, n, h, df = c[order], n[order], h[order], df[order]
+        del parts
+        give_back()
         out, keys, owners, sizes = [], [], [], []
         for s, k in zip(*runs(c), strict=True):
             mine = index_keys(h[s : s + k], df[s : s + k], int(n[s]), percent, frequent)

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxelweave.llm.common import give_back
+
 #: Bounds of the fitting sample: rated texts, other texts, and characters of a text that is taken into it.
 RATED, OTHERS, SAMPLE_CHARS = 6000, 1500, 20_000
 #: Buckets of the hashed features.
@@ -230,6 +232,7 @@ def judge(docs: DataFrame, model: dict, threshold: float = 0.5, text: str = "tex
             column = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
             found = [scorer.score(t.as_py()) for t in column(text)]
             values = [pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)]
+            give_back()
             keep = pa.array([f[0] <= threshold and f[1] <= threshold for f in found], pa.bool_())
             yield pa.RecordBatch.from_arrays([*(column(c) for c in rest), *values, keep], names=[*rest, *(f.name for f in new)])
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import materialize, mix, pack, runs, unpack, utf8_column
+from voxelweave.llm.common import give_back, materialize, mix, pack, runs, unpack, utf8_column
 from voxelweave.llm.jaccard_join import _BYTES, _powers, slices
 
 #: Bytes of an anchor; bytes of text looked at, and anchors sorted and sent, at once; suffixes of a batch.
@@ -106,8 +106,10 @@ def sampled(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 if size >= FLUSH:
                     yield from flush(held)
                     held, size, texts = [], 0, 0
+                    give_back()
         if size:
             yield from flush(held)
+        give_back()
 
     return docs.select("doc_id", "fp", "text").mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c in names[1:]))
 
@@ -137,6 +139,7 @@ def repeated(found: DataFrame, length: int, texts: int) -> DataFrame:
             steps, c, p, before, after, which, ids, fps = (unpack(x, k) for x, k in zip(row, kinds, strict=True))
             parts.append((np.cumsum(steps, dtype=np.uint64), c, p, before.astype(np.int64) - 256, after.astype(np.int64) - 256, ids[which], fps[which]))
         h, c, p, before, after, ids, fps = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         _, at, counts = np.unique(h, return_inverse=True, return_counts=True)
         more = counts[at] > 1
         h, c, p, before, after, ids, fps = (x[more] for x in (h, c, p, before, after, ids, fps))
@@ -161,6 +164,8 @@ def repeated(found: DataFrame, length: int, texts: int) -> DataFrame:
         take = again | look
         anchor = np.where(again, np.uint64(0), mix(h) | np.uint64(1))
         rows = list(_dealt(*(x[take] for x in (ids, fps, start, end, anchor, before)), texts))
+        del h, c, p, before, after, ids, fps, start, end, anchor
+        give_back()
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, [pa.int64()] + 6 * [pa.binary()], strict=True)], names=[x.split(" ")[0] for x in _DEALT.split(", ")])
 
     return found.groupBy("bucket").applyInArrow(run, _DEALT)
@@ -261,6 +266,7 @@ def matched(contexts: DataFrame, length: int, texts: int) -> DataFrame:
         ids, fps, starts = (x.to_numpy() for x in (ids, fps, starts))
         blobs = blobs.to_pylist()
         order = np.lexsort((fps, starts, ids))
+        give_back()
         family, out = SuffixLevels(length), []
         at = 0
         while at < len(order):
@@ -313,6 +319,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", key:
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from (batch.slice(i, 512) for i in range(0, batch.num_rows, 512))
+            give_back()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: a result; 1: a text that waits for its stretches; 2: a stretch with its bytes."""
