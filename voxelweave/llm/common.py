@@ -26,11 +26,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/voxelweave/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch that goes to a Python worker while a table is written; the batch is held a few times on either side.
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a table in the shared folder: what follows survives lost executors without a rerun of what came before."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH_LIMIT[0])
+    spark.conf.set(*BATCH_LIMIT)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH_LIMIT[0], before)
     return spark.read.schema(df.schema).parquet(path)
 
 
