@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelweave.llm import byte_bpe, decontaminate, jaccard_join, quality, suffix_dedup
-from voxelweave.llm.common import materialize, table
+from voxelweave.llm.common import lookup, materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +21,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.75 and more over five-word shingles join, the one with the smallest id stays."""
-    found = materialize(jaccard_join.join_components(docs, width=5, percent=75), "near-copies")
-    kept = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    gone = found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
-    if kept.where("_n > 1").limit(1).count():  # rows that repeat an id: one of them stays
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*docs.columns)
+    """Of documents that links of 0.75 and more over five-word shingles join, the one with the smallest id stays, one without an id only
+    if none of them has one. Rows that share an id, or have none, but are not linked by their texts all stay."""
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    linked = jaccard_join.linked_rows(marked, "_mark", width=5, percent=75)
+    known = materialize(linked.where("NOT first OR _n > 1"), "near-copies")
+    marked = marked.withColumn("_row", jaccard_join.row_key("doc_id", "_mark"))
+    out = lookup(marked, known.withColumnRenamed("row", "_known"), "_row", "_known", docs.count())
+    kept = out.where("first IS NULL")
+    if known.where("first").limit(1).count():  # rows that repeat an id and text: one of them stays
+        kept = kept.unionByName(out.where("first").dropDuplicates(["_row"]))
+    return kept.select(*docs.columns)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

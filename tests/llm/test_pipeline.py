@@ -72,6 +72,28 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_near_copies_of_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(9)
+    a, b, c, d, e, f, g, h, k = (words(rng, 80, 4000) for _ in range(9))
+    near = lambda t: t.replace(t.split()[3], "other", 1)
+    rows = [
+        (1, a), (1, a), (1, b), (1, None), (1, None),  # one id: a repeats, b and the empty ones are clean
+        (2, c), (3, near(c)), (3, d),  # one of the two texts of id 3 is a copy
+        (4, near(e)), (4, e),  # two texts of one id are linked: one stays
+        (None, f), (None, g), (None, g), (None, near(g)),  # without an id: f is clean, g repeats and has a near copy
+        (None, h), (5, near(h)),  # the one with an id stays
+        (None, near(a)), (6, k), (None, None), (None, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    out = corpus_pipeline.near_copies_stage(spark, docs, "")
+    assert out.dtypes == docs.dtypes
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    loose = [x for x in got if x[1] in (e, near(e), g, near(g))]
+    assert sorted(i or 0 for i, _ in loose) == [0, 4] and len({t in (g, near(g)) for _, t in loose}) == 2
+    assert sorted((x for x in got if x not in loose), key=str) == sorted([(1, a), (1, b), (1, None), (1, None), (2, c), (3, d), (None, f), (5, near(h)), (6, k), (None, None), (None, "")], key=str)
+    assert corpus_pipeline.near_copies_stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_registry():
     names = queries.queries()
     assert [n for k in range(1, 11) for n in names if re.match(rf"op{k}_", n)] == [n for n in names if n != "pipeline"] and "pipeline" in names

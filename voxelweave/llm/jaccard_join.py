@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.llm.common import components, give_back, lookup, materialize, mix, pack, runs, unpack, utf8_column
@@ -124,18 +124,22 @@ def _sets(batches, width: int, text_at: int) -> Iterator[tuple]:
             yield batch, a, b, *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
 
 
-def classes(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, cls) of every row."""
+def classes(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id", mark: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, cls) of every row, and its mark, a long that tells rows of one id apart."""
     import pyarrow as pa
 
+    marks = [F.col(mark).cast("long").alias("mark")] if mark else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, t, h in _sets(batches, width, 1):
             counts, ids = class_ids(t, h, b - a)
             if b == batch.num_rows:
                 give_back()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(ids)], names=["doc_id", "n_shingles", "cls"])
+            own = [batch.column(2).slice(a, b - a)] if mark else []
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(ids), *own], names=["doc_id", "n_shingles", "cls", "mark"][: 3 + len(own)])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    schema = "doc_id long, n_shingles long, cls long" + (", mark long" if marks else "")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *marks).mapInArrow(run, schema)
 
 
 def postings(docs: DataFrame, width: int, buckets: int, text: str = "text") -> DataFrame:
@@ -393,20 +397,44 @@ def verified(sets: DataFrame, roots: DataFrame, percent: int, block: int = BLOCK
     return placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def join_components(docs: DataFrame, width: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: component_id is the smallest doc_id that links reach."""
-    feats = materialize(classes(docs, width, text, key), "classes")
+def _linked(docs: DataFrame, width: int, percent: int, text: str, key: str, mark: str | None) -> tuple[DataFrame, DataFrame, int]:
+    """Rows of classes(), (cls, root, least, _n) of every class of a nonempty set, and the number of rows. least is the class's smallest
+    doc_id or, with a mark, its smallest (no id, doc_id, mark)."""
+    feats = materialize(classes(docs, width, text, key, mark), "classes")
     total = feats.count()
     buckets = 1 << max(6, (total // 4000).bit_length())
     posted = postings(docs, width, buckets, text)
     index = materialize(indexed(shared_tokens(posted, buckets), buckets, percent, frequent=max(64, total // 1000)), "prefix-index")
     roots = components(materialize(candidate_edges(index, percent), "candidates"))
     links = components(materialize(verified(index, roots, percent), "links"))
-    members = feats.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n"))
+    least = F.min(row_key() if mark else F.col("doc_id"))
+    members = feats.where("cls <> 0").groupBy("cls").agg(least.alias("least"), F.count("*").alias("_n"))
     rooted = members.join(links, F.col("cls") == F.col("node"), "left").select("cls", "least", "_n", F.coalesce("root", "cls").alias("root"))
-    rooted = materialize(rooted, "members")
+    return feats, materialize(rooted, "members"), total
+
+
+def row_key(key: str = "doc_id", mark: str = "mark") -> Column:
+    """What tells rows apart and orders them, without nulls inside: rows that have no id come last."""
+    return F.struct(F.col(key).isNull().alias("no_id"), F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.col(mark).alias("mark"))
+
+
+def join_components(docs: DataFrame, width: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: component_id is the smallest doc_id that links reach."""
+    feats, rooted, total = _linked(docs, width, percent, text, key, None)
     sums = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n"))
     named = materialize(lookup(rooted.withColumnRenamed("_n", "_rows"), sums.withColumnRenamed("root", "r"), "root", "r", total), "components")
     named = named.where("_rows > 1 OR component_id <> least").select(F.col("cls").alias("c"), "component_id", F.col("_rows").alias("_n"))
     out = lookup(feats, named, "cls", "c", total)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def linked_rows(docs: DataFrame, mark: str, width: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(row, first, _n) of the distinct rows that have a link or an equal set beside them: row is their row_key(), first tells the
+    smallest of each component, and _n counts its repetitions. Rows that only share an id, or have none, are not linked by that; an equal
+    mark and id must mean an equal text."""
+    feats, rooted, total = _linked(docs, width, percent, text, key, mark)
+    sums = rooted.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("_classes"), F.count("*").alias("_n"))
+    named = materialize(lookup(rooted.withColumnRenamed("_n", "_rows"), sums.withColumnRenamed("root", "r"), "root", "r", total), "components")
+    named = named.where("_rows > 1 OR _classes > 1").select(F.col("cls").alias("c"), F.col("first"), F.col("_rows").alias("_n"))
+    rows = lookup(feats, named, "cls", "c", total).where("first IS NOT NULL").select(row_key().alias("row"), "first")
+    return rows.select("row", (F.col("row") == F.col("first")).alias("first")).groupBy("row").agg(F.max("first").alias("first"), F.count("*").alias("_n"))
