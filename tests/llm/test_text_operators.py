@@ -286,6 +286,21 @@ def test_html_extraction():
         assert isinstance(model.extract(odd), list)
 
 
+def test_a_head_ends_where_its_body_begins():
+    model = html_extract.default_model()
+    body = "<h1>A heading of some words</h1><p>First line is said here.<p>Second line is this one."
+    want = ["A heading of some words", "First line is said here.", "Second line is this one."]
+    junk = "<meta charset=utf-8><link rel=x href=y><base href=/><style>p{}</style><script>var a='<h1>no</h1></head><body>';</script><noscript><p>no</p></noscript><template><p>no</p></template><!-- <body> -->\n"
+    for head in ("<title>t</title>", junk + "<title>About the <body> tag</title>", "", "<title>t", "<title>t" + "\n<meta charset=utf-8>"):
+        for end in ("", "</head>", "<body>", "</head><body class=x>", "</HEAD >\n<BODY>"):
+            nodes = html_extract.tree(f"<!doctype html><html><head>{head}{end}{body}")
+            assert [x.block for x in nodes if x.block is not None] == want, (head, end)
+    assert model.extract(f"<!doctype html><head><title>t</title><article>{body}</article>") == want
+    assert [x.block for x in html_extract.tree("<head><title>t</title>Plain words") if x.block] == ["Plain words"]
+    for odd in ("<head>", "<head><", "<head><script>x", "<head><title>", "<head><!-- cut", "<head></p>", "<head> "):
+        assert model.extract(odd) == []
+
+
 def test_html_tables(spark):
     frame = spark.createDataFrame([(1, "u", None, "own"), (2, "u", "", "own"), (3, None, "<article><h1>Head of it</h1><p>Some words that are said here.</p></article>", "own")], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(frame).collect()}

@@ -32,6 +32,8 @@ _ENDS_P = frozenset("address article aside blockquote center details dialog dir
 _LIKE_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table tbody thead div article section body".split())
 
+_IN_HEAD = frozenset("head html base basefont bgsound link meta".split())
+
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"  # comment, cut off or not
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|$)"  # tag
@@ -78,6 +80,41 @@ def _leaf_features(text: str, linked: int, parent_tag: str) -> list[tuple[str, f
     ]
 
 
+def _head_end(page: str, at: int) -> int:
+    """Where the head whose start tag ends at this place is over: after its end tag, or before the first text or tag that belongs to the
+    body, as the tags of head and body may be left out. An unclosed element of the head holds none of the body where that can be told."""
+    while m := _TOKEN.search(page, at):
+        if page[at : m.start()].strip():
+            return at
+        if m[2] is None:
+            at = m.end()
+            continue
+        tag, closing = m[2].lower(), m[1] == "/"
+        if closing:
+            if tag == "head":
+                return m.end()
+            if tag in ("body", "html"):
+                return m.start()
+            at = m.end()
+        elif tag in _IN_HEAD:
+            at = m.end()
+        elif tag in ("script", "style", "title", "noscript", "template"):
+            end = re.compile(rf"</{tag}(?=[\s/>]|$)[^>]*+>?", re.I).search(page, m.end())
+            border = None if end and tag in ("script", "style") else re.compile(r"</head\s*>|<body[\s>]" if not end else r"</head\s*>", re.I).search(page, m.end(), end.start() if end else len(page))
+            if border:
+                return border.end() if border[0][1] == "/" else border.start()
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                return len(page)
+            else:  # its text ends at the next tag
+                after = _TOKEN.search(page, m.end())
+                at = after.start() if after else len(page)
+        else:
+            return m.start()
+    return at if page[at:].strip() else len(page)
+
+
 def tree(page: str) -> list[Node]:
     """Nodes in page order, parents first. The first is the root."""
     nodes = [Node("#root", -1, None, [("bias", 1.0)])]
@@ -126,10 +163,10 @@ def tree(page: str) -> list[Node]:
             continue
         if tag in _SILENT:
             if not closing and not m[3].endswith("/"):
-                silent, silent_tag = 1, tag
-                if tag == "head":  # it also ends where the body begins
-                    body = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
-                    at, silent = (body.end() if body[0][1] == "/" else body.start()) if body else len(page), 0
+                if tag == "head":
+                    at = _head_end(page, at)
+                else:
+                    silent, silent_tag = 1, tag
             continue
         if tag in _INLINE:
             if tag == "br":
