@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from voxelweave.functions import binary as B
-from voxelweave.operators import backend, codec, tracker
+from voxelweave.operators import backend, codec, sync, tracker
 from voxelweave.plans import registry
 from voxelweave.sources import readers, writers
 from voxelweave.sources import views as V
@@ -65,6 +65,13 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(r.frame_id for r in spark.table("synced").collect()) == sorted(expect)
 
 
+def test_miss_streaks_of_many_workers(spark):
+    rows = [(f, w) for w in range(1500) for f in ((0, 1, 4) if w else (0, 1, 2, 3, 4))]
+    arrivals = spark.createDataFrame(rows, "frame_id long, worker_id long")
+    got = sorted(tuple(r) for r in sync.miss_streaks(arrivals, 2).select("worker_id", "from_frame", "misses").collect())
+    assert got == [(w, 2, 2) for w in range(1, 1500)]
+
+
 def test_packets():
     p = B.packet(0, 1, 42, 12345, b"x" * 7)
     assert B.parse_header(p) == (0, 1, 42, 12345, 7) and B.parse_header(p[:17]) is None and B.parse_header(b"\0" + p) is None

@@ -30,11 +30,12 @@ def late(arrivals: DataFrame, k: int) -> DataFrame:
 
 def miss_streaks(arrivals: DataFrame, threshold: int) -> DataFrame:
     """Runs of at least so many frames in a row that a worker missed. Frames and workers are few beside the arrivals, so their grid is
-    made of the distinct values of both."""
+    made of the distinct values of both; workers are broadcast up to a checked number."""
     frames = arrivals.select("frame_id").distinct()
     workers = arrivals.select("worker_id").distinct()
+    small = workers.count() <= 100_000
     seen = arrivals.select("frame_id", "worker_id").distinct().withColumn("hit", F.lit(1))
-    grid = frames.crossJoin(F.broadcast(workers.limit(1024))).join(seen, ["frame_id", "worker_id"], "left").fillna(0, ["hit"])
+    grid = frames.crossJoin(F.broadcast(workers) if small else workers).join(seen, ["frame_id", "worker_id"], "left").fillna(0, ["hit"])
     w = Window.partitionBy("worker_id").orderBy("frame_id")
     runs = grid.withColumn("island", F.sum("hit").over(w)).where("hit = 0")
     return runs.groupBy("worker_id", "island").agg(F.min("frame_id").alias("from_frame"), F.count("*").alias("misses")).where(F.col("misses") >= threshold).drop("island")
