@@ -102,6 +102,27 @@ def test_repeats_equal_brute_force(docs, none):
     assert suffix_dedup.remove_repeats(none, 100).count() == 0
 
 
+def test_repeats_of_any_length(spark):
+    rng = random.Random(12)
+    passages = [words(rng, 200, 4000) for _ in range(3)]
+    texts = {i: f"{words(rng, 30, 4000)} {passages[i % 3][i * 7 :]} {words(rng, 60, 4000)}" for i in range(9)} | {20: "short"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for n in (1, 12, 39, 400, 700):
+        seen, expect = set(), {}
+        for i, t in texts.items():
+            b = t.encode()
+            gone = bytearray(len(b))
+            for s in range(len(b) - n + 1):
+                if b[s : s + n] in seen:
+                    gone[s : s + n] = b"\x01" * n
+                seen.add(b[s : s + n])
+            expect[i] = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(frame, n, whole=True).collect()}
+        assert got == expect, n
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(frame, 0)
+
+
 def test_suffix_levels_merge_geometrically():
     import numpy as np
 

@@ -9,7 +9,7 @@ stretches that share an anchor but differ are sent on with their bytes. In each
 texts: a batch gets its array of suffixes sorted by their first `length` bytes, is merge-scanned against the levels for suffixes that
 match an earlier one over that length, and becomes a level itself; levels of equal size merge, so there are logarithmically many.
 
-Cases: a null text is empty; texts below the length lose nothing; rows that repeat an id and text get the same result each and do not
+Cases: a null text is empty; texts below the length lose nothing; below ANCHOR bytes of length each window is its own anchor; rows that repeat an id and text get the same result each and do not
 remove each other; different texts under one id count as one document with the earlier start first; a null id counts as smaller than
 any other; extra columns are dropped; an empty table gives an empty table.
 """
@@ -34,10 +34,15 @@ DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 TEXT = "doc_id long, spans array<struct<start:int,end:int>>, kept binary, kept_text string"
 
 
+def _offsets(length: int) -> tuple[int, type]:
+    """What is added to the windows before and after an anchor, which lie between -length and length, and the type that holds the sums."""
+    return max(256, length), np.uint16 if length < 1 << 15 else np.uint32
+
+
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """(text, anchor hash, stretch hash, anchor place, windows before and after it) of each stretch; places count from the text's
     start."""
-    n = len(data)
+    n, anchor = len(data), min(anchor, length)
     none = tuple(np.zeros(0, k) for k in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     sizes = np.diff(offsets)
     if n < length or not (sizes >= length).any():
@@ -77,6 +82,7 @@ def sampled(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     import pyarrow as pa
 
     shift = np.uint64(64 - (buckets - 1).bit_length())
+    offset, small = _offsets(length)
     names = ["bucket", "anchors", "hashes", "places", "before", "after", "which", "ids", "fps"]
 
     def flush(held):
@@ -89,7 +95,7 @@ def sampled(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             x = slice(s, s + k)
             own, which = np.unique(text[x], return_inverse=True)
             steps = np.diff(h[x] >> np.uint64(12), prepend=np.uint64(0))
-            rows.append((int(h[s] >> shift), pack(steps), pack(c[x]), pack(p[x].astype(np.uint32)), pack((before[x] + 256).astype(np.uint16)), pack((after[x] + 256).astype(np.uint16)), pack(which.astype(np.uint32)), pack(ids[own]), pack(fps[own])))
+            rows.append((int(h[s] >> shift), pack(steps), pack(c[x]), pack(p[x].astype(np.uint32)), pack((before[x] + offset).astype(small)), pack((after[x] + offset).astype(small)), pack(which.astype(np.uint32)), pack(ids[own]), pack(fps[own])))
         for at in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 64], strict=True), [pa.int64()] + 8 * [pa.binary()], strict=True)], names=names)
 
@@ -131,13 +137,14 @@ def repeated(found: DataFrame, length: int, texts: int) -> DataFrame:
     """Per anchor bucket: stretches to remove whole, and those that share an anchor but differ from the others before them."""
     import pyarrow as pa
 
-    kinds = (np.uint64, np.uint64, np.uint32, np.uint16, np.uint16, np.uint32, np.int64, np.int64)
+    offset, small = _offsets(length)
+    kinds = (np.uint64, np.uint64, np.uint32, small, small, np.uint32, np.int64, np.int64)
 
     def run(table: pa.Table) -> pa.Table:
         parts = []
         for row in zip(*(table.column(c).to_pylist() for c in table.column_names[1:]), strict=True):
             steps, c, p, before, after, which, ids, fps = (unpack(x, k) for x, k in zip(row, kinds, strict=True))
-            parts.append((np.cumsum(steps, dtype=np.uint64), c, p, before.astype(np.int64) - 256, after.astype(np.int64) - 256, ids[which], fps[which]))
+            parts.append((np.cumsum(steps, dtype=np.uint64), c, p, before.astype(np.int64) - offset, after.astype(np.int64) - offset, ids[which], fps[which]))
         h, c, p, before, after, ids, fps = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         _, at, counts = np.unique(h, return_inverse=True, return_counts=True)
@@ -303,6 +310,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", key:
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
+    if length < 1:
+        raise ValueError("length must be 1 or more")
     total = docs.count()
     buckets = 1 << max(6, (total // 4000).bit_length())
     schema = TEXT if whole else DIGEST
