@@ -134,6 +134,15 @@ def test_camera_ring(spark):
     assert sum(w) == pytest.approx(1) and all(x == pytest.approx(0.25) for x in w)
 
 
+def test_gutters_are_filled_in_each_frame(spark):
+    rows = [(f, x, y, None if x == 1 else float(10 * f + y)) for f in range(4) for x in range(3) for y in range(3)]
+    atlas = spark.createDataFrame(rows, "frame_id int, x int, y int, v double")
+    got = {(r.frame_id, r.x, r.y): r.v for r in I.fill_gutter(atlas).collect()}
+    mean = lambda f, y: sum(10 * f + k for k in (y - 1, y, y + 1) if 0 <= k < 3) / sum(0 <= k < 3 for k in (y - 1, y, y + 1))
+    assert got == {(f, x, y): pytest.approx(mean(f, y) if x == 1 else v) for f, x, y, v in rows}
+    assert I.fill_gutter(atlas.where("frame_id = 0").drop("frame_id")).columns == ["x", "y", "v"]
+
+
 def test_image_filters(spark):
     img = V.pixels(spark, 2, 12, 9)
     same = {r.frame_id: r.psnr for r in I.psnr_by_frame(img, img).collect()}

@@ -35,10 +35,11 @@ def opening(pixels: DataFrame, value: str, radius: int = 1) -> DataFrame:
 
 
 def fill_gutter(atlas: DataFrame) -> DataFrame:
-    """Empty texels (v null) take the mean of their filled neighbours."""
-    filled = atlas.where("v IS NOT NULL").select(F.lit(0).alias("frame_id"), "x", "y", "v")
-    mean = _around(filled, "v", 1).groupBy("x", "y").agg(F.avg("_v").alias("m"))
-    return atlas.join(mean, ["x", "y"], "left").select("x", "y", F.coalesce("v", "m").alias("v"))
+    """Empty texels (v null) take the mean of their filled neighbours in the same frame; without frame_id all are one frame."""
+    at = [c for c in ("frame_id", "x", "y") if c in atlas.columns]
+    filled = atlas.where("v IS NOT NULL").withColumn("frame_id", F.col("frame_id") if "frame_id" in at else F.lit(0))
+    mean = _around(filled, "v", 1).groupBy(*at).agg(F.avg("_v").alias("m"))
+    return atlas.join(mean, at, "left").select(*at, F.coalesce("v", "m").alias("v"))
 
 
 def ema_frames(pixels: DataFrame, value: str, alpha: float) -> DataFrame:
