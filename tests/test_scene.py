@@ -79,6 +79,14 @@ def test_grid_join_equals_brute_force(spark):
     assert S.merge(s.limit(0), 0.2).count() == 0
 
 
+def test_merged_splats_keep_rotation_and_colour_bands_of_the_survivor(spark):
+    rows = [(0, 1, 0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.2, [1.0, 1.0, 1.0, 7.0, 8.0]), (0, 2, 1, 0.05, 0.0, 0.0, 1.0, 1.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.6, [3.0, 3.0, 3.0, 4.0, 5.0])]
+    splats = spark.createDataFrame(rows, "frame_id int, splat_id int, worker_id int, px double, py double, pz double, sx double, sy double, sz double, qw double, qx double, qy double, qz double, opacity double, sh array<double>")
+    (r,) = S.merge(splats, 0.2).collect()
+    assert (r.splat_id, r.merged, r.qw, r.qx, r.qy, r.qz) == (2, 2, 0.0, 1.0, 0.0, 0.0)
+    assert list(r.sh) == pytest.approx([2.5, 2.5, 2.5, 4.0, 5.0]) and r.sh0 == pytest.approx(2.5)
+
+
 def test_marching_cubes_sphere_is_closed(spark):
     n, radius = 12, 0.35
     tris = U.marching_cubes(V.sdf_grid(spark, n, radius)).collect()

@@ -59,7 +59,7 @@ def winners(splats: DataFrame, radius: float) -> DataFrame:
 
 def merge(splats: DataFrame, radius: float, by_opacity: bool = True, min_opacity: float = 0.0, budget: int | None = None) -> DataFrame:
     """Weighted means over each surviving winner and the losers that chose it. A loser whose winner lost itself adds to nothing.
-    Rows below the least opacity go; a budget keeps the most opaque of each frame."""
+    The rotation and the colour bands above the constant one are the survivor's, as far as the splats have them. Rows below the least opacity go; a budget keeps the most opaque of each frame."""
     won = winners(splats, radius)
     survivors = won.where("splat_id = winner_id").select("frame_id", F.col("winner_id").alias("s"))
     w = F.col("opacity") if by_opacity else F.lit(1.0)
@@ -68,7 +68,13 @@ def merge(splats: DataFrame, radius: float, by_opacity: bool = True, min_opacity
     sums = [mean(F.col(c)).alias(c) for c in ("px", "py", "pz", "opacity")]
     if "sx" in splats.columns:
         sums += [mean(F.col(c)).alias(c) for c in ("sx", "sy", "sz")] + [mean(F.col("sh")[i]).alias(f"sh{i}") for i in range(3)]
+    own = lambda x: F.first(F.when(F.col("splat_id") == F.col("winner_id"), x), ignorenulls=True)
+    sums += [own(F.col(q)).alias(q) for q in ("qw", "qx", "qy", "qz") if q in splats.columns]
+    if "sx" in splats.columns:
+        sums.append(own(F.col("sh")).alias("sh"))
     out = rows.groupBy("frame_id", F.col("winner_id").alias("splat_id")).agg(*sums, F.count("*").alias("merged"))
+    if "sx" in splats.columns:
+        out = out.withColumn("sh", F.concat(F.array("sh0", "sh1", "sh2"), F.slice("sh", 4, F.greatest(F.size("sh") - 3, F.lit(0)))))
     out = out.where(F.col("opacity") >= min_opacity)
     return out if budget is None else top_opacity(out, budget)
 
