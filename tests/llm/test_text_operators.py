@@ -123,6 +123,38 @@ def test_repeats_of_any_length(spark):
         suffix_dedup.remove_repeats(frame, 0)
 
 
+def brute_kept(texts, n):
+    """Kept bytes by id of {id: text}."""
+    seen, out = set(), {}
+    for i, t in sorted(texts.items()):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - n + 1):
+            if b[s : s + n] in seen:
+                gone[s : s + n] = b"\x01" * n
+            seen.add(b[s : s + n])
+        out[i] = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+    return out
+
+
+def test_repeats_of_hot_anchors_long_texts_and_small_batches(spark, monkeypatch):
+    rng = random.Random(13)
+    phrase, passage = words(rng, 12, 4000)[:55], words(rng, 60, 4000)
+    texts = {i: f"{words(rng, 20, 4000)} {phrase} {words(rng, 25, 4000)} {passage if i % 3 else ''}" for i in range(60)}  # every text has the phrase, most the passage
+    texts[70] = " ".join([words(rng, 130_000, 90_000), passage, words(rng, 5000, 90_000)])  # longer than a slice
+    texts[71] = texts[70][300_000:620_000] + "\0\0" + texts[70][:2000]
+    texts[72] = "ab\0" * 400
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = brute_kept(texts, 100)
+    assert len(texts[70]) > suffix_dedup.SLICE and all(len(want[i]) < len(texts[i]) for i in (70, 71, 72))
+    for limits in ({}, {"HOT_LEAST": 20, "HOT": 1 << 40}, {"HOT_LEAST": 0, "HOT": 1 << 40}, {"FLUSH": 50, "CUT": 3000, "BATCH": 64, "FAMILY": 100, "HOT_LEAST": 30, "HOT": 1 << 40}):
+        with monkeypatch.context() as m:
+            for k, v in limits.items():
+                m.setattr(suffix_dedup, k, v)
+            got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(frame, 100, whole=True).collect()}
+        assert got == want, limits
+
+
 def test_suffix_levels_merge_geometrically():
     import numpy as np
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -131,6 +132,29 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
 
 
+def bundle(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of integers as one zstandard frame: their lengths, then each with its byte planes apart."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays if len(a)]
+    return _zstd()[0].compress(b"".join([np.array([len(a) for a in arrays], np.uint32).tobytes(), *planes]))
+
+
+def unbundle(data: bytes, kinds: tuple) -> list[np.ndarray]:
+    raw = np.frombuffer(_zstd()[1].decompress(data), np.uint8)
+    out, at = [], 4 * len(kinds)
+    for kind, n in zip(kinds, raw[:at].view(np.uint32).tolist(), strict=True):
+        size = n * np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + size].reshape(-1, n).T).reshape(-1).view(kind) if n else np.zeros(0, kind))
+        at += size
+    return out
+
+
+@functools.cache
+def _zstd():
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal values."""
     n = len(sorted_values)
