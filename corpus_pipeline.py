@@ -38,7 +38,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Strings of 100 bytes that start earlier too are cut out; cut characters lose what is left of them, and documents with nothing
     left but white space go. n_chars follows the text."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = suffix_dedup.remove_repeats(docs.where("text IS NOT NULL"), length=100, whole=True, carry=rest)
+    kept = suffix_dedup.remove_repeats(docs.where("text IS NOT NULL"), length=100, whole=True, carry=rest, keep_bytes=False)
     out = kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long"))
     return out.where(F.col("text").rlike(r"\S")).select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
 
