@@ -459,7 +459,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", key:
     found = materialize(shared(sampled(named, length, anchors, texts), texts, max(HOT_LEAST, total // HOT)), "shared-anchors")
     common = np.sort(np.array([r[0] for r in found.where("hot IS NOT NULL").select("hot").distinct().collect()], np.int64).view(np.uint64))
     looks = by_text(found.where("bucket IS NOT NULL").select("bucket", "data"), 3, False)
-    parts = materialize(cut(marked(looks, "inner"), length, buckets, texts, common), "stretches")
+    parts = cut(marked(looks, "inner"), length, buckets, texts, common)
     out = marked(by_text(matched(parts, length, texts), 2, True), "left")
 
     schema, kinds = (TEXT, [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary(), pa.string()]) if whole else (DIGEST, [pa.int64()] * 4 + [pa.string()])
