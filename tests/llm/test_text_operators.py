@@ -3,6 +3,7 @@ extra columns."""
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -190,6 +191,14 @@ def test_jaccard_join_equals_brute_force(docs, none):
     assert jaccard_join.join_components(none).count() == 0
 
 
+def test_sets_that_take_one_id_stay_apart(spark):
+    rng = random.Random(15)
+    texts = [(i, words(rng, rng.randrange(1, 40), 3000)) for i in range(120)]
+    texts += [(200 + i, texts[i][1]) for i in range(20)] + [(300, "z" * 4000 + " a b c d"), (301, "z" * 4001 + " a b c d")]
+    frame = spark.createDataFrame(rows(texts), DOCS)
+    assert sorted(map(tuple, jaccard_join.join_components(frame, bits=5).collect())) == brute_components(texts)
+
+
 def test_jaccard_join_of_frequent_tokens_and_blocks(spark, monkeypatch):
     rng = random.Random(5)
     base = [f"b{i}" for i in range(150)]
@@ -303,6 +312,21 @@ def test_warc_round_trip(spark):
     assert [x[1:3] for x in warc.coalesced([("a", 0, 5, 1), ("a", 7, 5, 2), ("a", 99, 1, 3), ("b", 0, 1, 4)], 10, 100)] == [(0, 12), (99, 100), (0, 1)]
 
 
+def brute_top_k(vectors, k=5, scale=256, kind="float"):
+    import numpy as np
+
+    as_read = (lambda x: float(np.float32(x))) if kind == "float" else float
+    ok = [(n, i, [math.floor(scale * as_read(x)) for x in v]) for n, (i, v) in enumerate(vectors) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    width = max((len(v) for _, _, v in ok), default=0)
+    ok = [(n, i, v + [0] * (width - len(v))) for n, i, v in ok]
+    out = []
+    for n, i, v in ok:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for m, j, w in ok if m != n)[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
 def test_top_k_equals_brute_force(spark):
     import numpy as np
 
@@ -310,20 +334,47 @@ def test_top_k_equals_brute_force(spark):
     vectors = [(i, [float(x) for x in rng.normal(size=8).round(2)]) for i in range(300)]
     vectors += [(300 + i, vectors[7][1]) for i in range(40)]
     vectors += [(400, None), (450, [None] * 8), (500, [float("nan")] * 8), (550, [1.0]), (600, []), (650, [0.0] * 8), (None, [1.0] * 8)]
-    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
-    f32 = lambda x: float(np.float32(x))
-    ok = [(i, [int(np.floor(256 * f32(x))) for x in v] + [0] * (8 - len(v))) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    expect = []
-    for i, v in ok:
-        if i % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in ok if j != i)[:5]
-            expect += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    vectors += [(50, [0.5] * 8), (100, vectors[100][1]), (3, vectors[4][1]), (3, vectors[4][1])]  # repeated ids, of queries and of others
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumns({c: F.lit("own") for c in ("row", "block", "score", "rank", "query_id")}).repartition(3)
     for block in (2048, 16):
-        got = top_k.top_k(frame, F.col("vec_id") % 50 == 0, block=block, head=3)
-        assert sorted(map(tuple, got.collect())) == sorted(expect)
+        got = top_k.top_k(frame, F.col("vec_id") % 50 == 0, block=block)
+        assert sorted(map(tuple, got.collect())) == brute_top_k(vectors) and got.columns == ["query_id", "rank", "vec_id", "score"]
     few = top_k.top_k(frame.where("vec_id IN (0, 1, 2)"), F.col("vec_id") % 50 == 0)
     assert few.count() == 2
     assert top_k.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert top_k.top_k(frame, F.lit(False)).count() == 0
+
+
+def test_top_k_of_long_vectors(spark):
+    vectors = [(50 * i, [1e15 * (i % 4 - 1.5), 3.0 * i, -7.5e14]) for i in range(5)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        top_k.top_k(frame, F.col("vec_id") % 50 == 0, scale=1).collect()
+    vectors = [(50 * i, [1e8 * (i % 4 - 1.5) + i, 3e8 + i, -7.5]) for i in range(5)]  # products beyond 2**53, sums within 64 bits
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k.top_k(frame, F.col("vec_id") % 50 == 0, scale=1).collect())) == brute_top_k(vectors, scale=1, kind="double")
+
+
+def test_bounds_prune_and_lose_nothing():
+    """Vectors near a plane, as embeddings are near few directions: most pairs are never scored."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    m = np.floor(256 * (rng.normal(size=(2000, 3)) @ rng.normal(size=(3, 64)) + 0.01 * rng.normal(size=(2000, 64))))
+    m = m[np.argsort(-(m * m).sum(1))]
+    rotation = np.linalg.svd(m.T @ m)[0]
+    q = m @ rotation
+    made = {"n": 2000, "rows": np.arange(2000), "ids": np.arange(2000), "vectors": m, "rotated": q, "rest": top_k.rests(q), "longest": float(np.sqrt((m[0] ** 2).sum()))}
+    block = top_k.Block({k: v.tobytes() if isinstance(v, np.ndarray) else v for k, v in made.items()}, 64)
+    truth = m @ m.T
+    np.fill_diagonal(truth, -np.inf)
+    kth = np.sort(truth, 1)[:, -5]
+    scored = 0
+    for i in range(0, 2000, 50):
+        best, n = top_k.best_of(block, np.array([i]), block, 5, kth[[i]])
+        scored += n
+        assert [b[1] for b in best] == sorted(truth[i].tolist(), reverse=True)[:5]
+    assert scored < 0.05 * 40 * 2000
 
 
 def test_html_extraction():

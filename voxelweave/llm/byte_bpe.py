@@ -4,8 +4,8 @@ The pieces of the model are the vocabulary's byte strings, each byte written as
 negative rank, so the best-scored merge is the lowest rank. Normalisation is the identity. Texts are cut by the pattern first and
 each match is encoded on its own; decoding maps ids back to bytes.
 
-Cases: a null text is an empty text and gives no ids; ids, nulls in other columns and extra columns stay as they are; repeated rows
-are encoded each; an empty table gives an empty table with the same columns.
+Cases: a null text is an empty text and gives no ids; nulls in other columns and extra columns stay as they are, names clashing with
+the results excepted; repeated rows are encoded each; an empty table gives an empty table with the same columns.
 """
 
 from __future__ import annotations
@@ -176,7 +176,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
 def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 in place of the ids and the bytes."""
     return df.select(
-        *[c for c in df.columns if c not in (ids, decoded)],
+        *[c for c in df.columns if c not in (ids, decoded, "n_tokens", "ids_sha256", "decoded_sha256")],
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col(ids).cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col(decoded), 256).alias("decoded_sha256"),

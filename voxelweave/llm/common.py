@@ -69,16 +69,16 @@ def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
     return held[starts[0] : starts[-1]], starts - starts[0]
 
 
-def lookup(left: DataFrame, right: DataFrame, on: str, key: str, total: int) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, on: str, key: str, total: int, share: int = 1000) -> DataFrame:
     """Left join of left.on to right.key, where right has one row for each key and a count _n of the left rows that hold it.
 
-    Keys that hold over a thousandth of the left rows number under a thousand, so these are joined by broadcast; the others by a
+    Keys that hold over one share-th of the left rows number under share, so these are joined by broadcast; the others by a
     shuffled join in which the hot rows are dealt out by a hash of themselves, so no task gets a hot key.
     """
     from pyspark.sql import functions as F
 
     values = [c for c in right.columns if c not in (key, "_n")]
-    limit = total / 1000
+    limit = total / share
     hot = right.where(F.col("_n") > limit).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_h_{c}") for c in values])
     cold = right.where(F.col("_n") <= limit).select(F.col(key).alias("_cold"), *[F.col(c).alias(f"_c_{c}") for c in values])
     out = left.join(F.broadcast(hot), F.col(on) == F.col("_hot"), "left")

@@ -1,7 +1,8 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items, scanned once over each text.
 
 Normalised text is lower-case words joined by single spaces; each window of an item (13 words, or all of a shorter item) is a pattern
-with a space at either end, so a match is always of whole words. Matches map back to byte ranges of the original text.
+with a space at either end, so a match is always of whole words. Matches are joined as they come to maximal runs of hit words, which map
+back to byte ranges of the original text, and to the set of items that they are of.
 
 Cases: a null or wordless text has no words and no hits; a null or wordless item has no window; items with one id count once, a null
 id is written "null"; repeated rows are scanned each; an empty table of items marks nothing; an empty table of texts gives an empty
@@ -16,9 +17,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +34,8 @@ _TABLE = bytes(0x20 if b in _SPACE else b + 32 if 0x41 <= b <= 0x5A else b for b
 _WORD = re.compile(rb"[^ ]+")
 _STATE: dict = {}
 
-HITS = T.ArrayType(T.StructType([T.StructField("first_word", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("start_byte", T.IntegerType()), T.StructField("end_byte", T.IntegerType()), T.StructField("item_id", T.StringType())]))
+HITS = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("first_word", "words", "start_byte", "end_byte")]))
+ITEMS = T.ArrayType(T.StringType())
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -75,37 +78,50 @@ def _automaton(shipped):
     return _STATE["automaton"]
 
 
-def scan(text: str | None, automaton) -> tuple[int, list[tuple]]:
-    """Words of the text, and (first word, words, start byte, end byte, item) for each match."""
+def joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of [first, end) spans that overlap or touch; spans come by their ends, and only the runs are held."""
+    out: list[tuple[int, int]] = []
+    for first, end in spans:
+        while out and out[-1][1] >= first:
+            before = out.pop()
+            first, end = min(first, before[0]), max(end, before[1])
+        out.append((first, end))
+    return out
+
+
+def scan(text: str | None, automaton) -> tuple[int, list[tuple], set[str]]:
+    """Words of the text; (first word, words, start byte, end byte) of each run of hit words; and the items with a match."""
     data = (text or "").encode().translate(_TABLE)
     words = data.split()
-    if not words:
-        return 0, []
-    found = list(automaton.iter((b" " + b" ".join(words) + b" ").decode("latin-1")))
-    if not found:
-        return len(words), []
-    starts, at = {}, 0
-    for i, w in enumerate(words):
-        starts[at] = i
-        at += len(w) + 1
-    spans = [m.span() for m in _WORD.finditer(data)]
-    out = []
-    for end, (n, length, ids) in found:
-        first = starts[end - length + 1]
-        out += [(first, n, spans[first][0], spans[first + n - 1][1], i) for i in ids]
-    return len(words), out
+    if not words or automaton is None:
+        return len(words), [], set()
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    starts, items = np.cumsum(sizes) - sizes, set()
+
+    def matches():
+        for end, (n, length, ids) in automaton.iter((b" " + b" ".join(words) + b" ").decode("latin-1")):
+            items.update(ids)
+            first = int(np.searchsorted(starts, end - length + 1))
+            yield first, first + n
+
+    runs = joined(matches())
+    if not runs:
+        return len(words), [], items
+    places = [m.span() for m in _WORD.finditer(data)]
+    return len(words), [(a, b - a, places[a][0], places[b - 1][1]) for a, b in runs], items
 
 
 def find_hits(docs: DataFrame, items: DataFrame, width: int = 13, text: str = "text", keep_text: bool = False, block: int = BLOCK) -> DataFrame:
-    """Adds n_words and hits, an array of matches with their items and places in the text. items: (item_id, text). A map for each
-    block of patterns; texts are never shuffled."""
+    """Adds n_words, hits (runs of hit words and their places in the text) and items (ids of the items with a match). items: (item_id,
+    text). A map for each block of patterns; texts are never shuffled."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
     sc = docs.sparkSession.sparkContext
-    rest = [c for c in docs.columns if c not in (text, "n_words", "hits")]
+    new = [T.StructField("n_words", T.LongType()), T.StructField("hits", HITS), T.StructField("items", ITEMS)]
+    rest = [c for c in docs.columns if c not in (text, *(f.name for f in new))]
     kept = [*rest, text]
-    kind = to_arrow_type(HITS)
+    kinds = [to_arrow_type(f.dataType) for f in new]
     out = docs.select(*kept)
     for patterns in chain(pattern_blocks(items.select("item_id", "text"), width, block), [{}]):
         if not patterns and "hits" in out.columns:
@@ -116,34 +132,34 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = 13, text: str = "t
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped, first=first) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(shipped) if shipped.value[1] else None
+            names = [f.name for f in HITS.elementType.fields]
             for batch in batches:
                 column = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
-                found = [scan(t.as_py(), automaton) if automaton else (len(words_of(t.as_py())), []) for t in column(text)]
-                names = [f.name for f in HITS.elementType.fields]
-                hits = [[dict(zip(names, h, strict=True)) for h in hs] for _, hs in found]
-                if not first:
-                    hits = [old.as_py() + new for old, new in zip(column("hits"), hits, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(column(c) for c in kept), pa.array([n for n, _ in found], pa.int64()), pa.array(hits, kind)], names=[*kept, "n_words", "hits"])
-
-        schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_words", T.LongType()), T.StructField("hits", HITS)])
-        out = out.mapInArrow(run, schema)
+                found = []
+                for i, t in enumerate(column(text)):
+                    n, hits, ids = scan(t.as_py(), automaton)
+                    if not first and (old := column("hits")[i].as_py()):  # of the blocks of patterns before
+                        places = {(h["first_word"], h["first_word"] + h["words"]): h for h in old} | {(a, a + k): {"start_byte": s, "end_byte": e} for a, k, s, e in hits}
+                        byte = {a: h["start_byte"] for (a, _), h in places.items()}, {b: h["end_byte"] for (_, b), h in places.items()}
+                        hits = [(a, b - a, byte[0][a], byte[1][b]) for a, b in joined(sorted(places, key=lambda x: x[1]))]
+                    if not first:
+                        ids |= set(column("items")[i].as_py())
+                    found.append((n, [dict(zip(names, h, strict=True)) for h in hits], sorted(ids)))
+                yield pa.RecordBatch.from_arrays([*(column(c) for c in kept), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], names=[*kept, *(f.name for f in new)])
+
+        out = out.mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + new))
     return out if keep_text else out.drop(text)
 
 
 def with_verdict(hits: DataFrame, share: int = 20) -> DataFrame:
-    """n_hit, n_items, items_sha256 and contaminated in place of the hits: words inside any match count once."""
-    covered = F.aggregate(
-        F.array_sort(F.transform("hits", lambda h: F.struct(h["first_word"].alias("a"), (h["first_word"] + h["words"]).alias("b")))),
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
-        lambda s, h: F.struct((s["n"] + F.greatest(F.lit(0), h["b"] - F.greatest(s["to"], h["a"]))).alias("n"), F.greatest(s["to"], h["b"]).alias("to")),
-        lambda s: s["n"].cast("long"),
-    )
-    ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
-    out = hits.withColumns({"n_hit": covered, "_ids": ids})
-    return out.select(
-        *[c for c in hits.columns if c != "hits"],
-        "n_hit",
-        F.size("_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_ids", ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    """n_hit, n_items, items_sha256 and contaminated in place of the hits and the items."""
+    added = {"n_hit", "n_items", "items_sha256", "contaminated"}
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + h["words"])
+    ids = F.array_sort("items")
+    return hits.select(
+        *[c for c in hits.columns if c not in added | {"hits", "items"}],
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )

@@ -14,11 +14,13 @@ most two blocks.
 
 Cases: a null text, or one without words, has an empty set, which is linked with nothing; fewer words than a shingle make one
 shingle; repeated rows and ids are classes' members each; a null id can't name a component; extra columns are ignored; an empty table
-gives an empty table. Sets are compared by 64-bit hashes of their tokens.
+gives an empty table. Sets are compared by 64-bit hashes of their tokens; two sets are one class only if their sizes and two independent
+digests are equal.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ GROUPS = 16
 BLOCK = 20_000
 #: Bytes of text that are cut into words at once, and shingles that are sorted and sent at once.
 SLICE, FLUSH = 1 << 19, 1_000_000
+#: Bytes of a word up to which a polynomial modulo 2**64 has no strings made to collide; longer words are hashed by blake2b.
+LONG_WORD = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -68,6 +72,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[_LOWER[data]] * up[:n], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
+    for i in np.nonzero(ends - starts > LONG_WORD)[0]:
+        h[i] = int.from_bytes(hashlib.blake2b(_LOWER[data[starts[i] : ends[i]]].tobytes(), digest_size=8).digest(), "little")
     return np.searchsorted(offsets, starts, side="right") - 1, mix(h + (ends - starts).astype(np.uint64))
 
 
@@ -104,16 +110,27 @@ def slices(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         at = min(to, n)
 
 
-def class_ids(t: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Set size, and a signed 64-bit id of each of n texts' sets (0: empty)."""
+def class_ids(t: np.ndarray, h: np.ndarray, n: int, bits: int = 63) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set size of each of n texts, an id of its set of so many bits (0: empty), and a second, independent digest of it."""
     counts = np.bincount(t, minlength=n)
-    total = np.zeros(n, np.uint64)
+    sums = np.zeros((2, n), np.uint64)
     some = np.nonzero(counts)[0]
     if len(t):
-        total[some] = np.add.reduceat(mix(h ^ np.uint64(0xA0761D6478BD642F)), np.concatenate([[0], np.cumsum(counts[some])[:-1]]))
-    ids = mix(total + counts.astype(np.uint64)) >> np.uint64(1)
+        first = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
+        for total, seed in zip(sums, (0xA0761D6478BD642F, 0xE7037ED1A0B428DB), strict=True):
+            total[some] = np.add.reduceat(mix(h ^ np.uint64(seed)), first)
+    ids, digest = mix(sums[0] + counts.astype(np.uint64)) >> np.uint64(64 - bits), mix(sums[1] ^ counts.astype(np.uint64))
     ids = np.where((counts > 0) & (ids == 0), 1, ids.astype(np.int64))
-    return counts, np.where(counts > 0, ids, 0)
+    return counts, np.where(counts > 0, ids, 0), digest.view(np.int64)
+
+
+def apart(ids: np.ndarray, digests: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """Ids anew, from id and digest, for those that several sets have taken (sorted)."""
+    if not len(taken):
+        return ids
+    hit = taken[np.minimum(np.searchsorted(taken, ids), len(taken) - 1)] == ids
+    new = (mix(ids.astype(np.uint64) ^ mix(digests.view(np.uint64))) >> np.uint64(1)).astype(np.int64)
+    return np.where(hit, np.maximum(new, 1), ids)
 
 
 def _sets(batches, width: int, text_at: int) -> Iterator[tuple]:
@@ -124,25 +141,41 @@ def _sets(batches, width: int, text_at: int) -> Iterator[tuple]:
             yield batch, a, b, *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
 
 
-def classes(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id", mark: str | None = None) -> DataFrame:
-    """(doc_id, n_shingles, cls) of every row, and its mark, a long that tells rows of one id apart."""
+def classes(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id", mark: str | None = None, bits: int = 63) -> DataFrame:
+    """(doc_id, n_shingles, cls, digest) of every row, and its mark, a long that tells rows of one id apart."""
     import pyarrow as pa
 
     marks = [F.col(mark).cast("long").alias("mark")] if mark else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, t, h in _sets(batches, width, 1):
-            counts, ids = class_ids(t, h, b - a)
+            counts, ids, digests = class_ids(t, h, b - a, bits)
             if b == batch.num_rows:
                 give_back()
             own = [batch.column(2).slice(a, b - a)] if mark else []
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(ids), *own], names=["doc_id", "n_shingles", "cls", "mark"][: 3 + len(own)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(ids), pa.array(digests), *own], names=["doc_id", "n_shingles", "cls", "digest", "mark"][: 4 + len(own)])
 
-    schema = "doc_id long, n_shingles long, cls long" + (", mark long" if marks else "")
+    schema = "doc_id long, n_shingles long, cls long, digest long" + (", mark long" if marks else "")
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *marks).mapInArrow(run, schema)
 
 
-def postings(docs: DataFrame, width: int, buckets: int, text: str = "text") -> DataFrame:
+def told_apart(feats: DataFrame, taken: np.ndarray) -> DataFrame:
+    """classes() with apart() ids."""
+    import pyarrow as pa
+
+    if not len(taken):
+        return feats
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, digests = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("cls", "digest"))
+            at = batch.schema.get_field_index("cls")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(apart(ids, digests, taken)), *batch.columns[at + 1 :]], schema=batch.schema)
+
+    return feats.mapInArrow(run, feats.schema)
+
+
+def postings(docs: DataFrame, width: int, buckets: int, text: str = "text", bits: int = 63, taken: np.ndarray = np.zeros(0, np.int64)) -> DataFrame:
     """Every class's tokens, in packed rows by token bucket: tokens, index into the row's classes, classes and set sizes."""
     import pyarrow as pa
 
@@ -174,8 +207,8 @@ def postings(docs: DataFrame, width: int, buckets: int, text: str = "text") -> D
             yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
         for _, a, b, t, h in _sets(batches, width, 0):
-            counts, ids = class_ids(t, h, b - a)
-            held.append((t + texts, h, ids, counts))
+            counts, ids, digests = class_ids(t, h, b - a, bits)
+            held.append((t + texts, h, apart(ids, digests, taken), counts))
             texts += b - a
             size += len(h)
             if size >= FLUSH:
@@ -397,18 +430,24 @@ def verified(sets: DataFrame, roots: DataFrame, percent: int, block: int = BLOCK
     return placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def _linked(docs: DataFrame, width: int, percent: int, text: str, key: str, mark: str | None) -> tuple[DataFrame, DataFrame, int]:
+def _linked(docs: DataFrame, width: int, percent: int, text: str, key: str, mark: str | None, bits: int = 63) -> tuple[DataFrame, DataFrame, int]:
     """Rows of classes(), (cls, root, least, _n) of every class of a nonempty set, and the number of rows. least is the class's smallest
-    doc_id or, with a mark, its smallest (no id, doc_id, mark)."""
-    feats = materialize(classes(docs, width, text, key, mark), "classes")
+    doc_id or, with a mark, its smallest (no id, doc_id, mark). Ids that sets of different digest or size have taken are made anew: of
+    63 bits that happens about once in 4e9 different sets."""
+    feats = materialize(classes(docs, width, text, key, mark, bits), "classes")
     total = feats.count()
     buckets = 1 << max(6, (total // 4000).bit_length())
-    posted = postings(docs, width, buckets, text)
+    least = F.min(row_key() if mark else F.col("doc_id")).alias("least")
+    sets = lambda df: materialize(df.where("cls <> 0").groupBy("cls").agg(least, F.count("*").alias("_n"), ((F.min("digest") != F.max("digest")) | (F.min("n_shingles") != F.max("n_shingles"))).alias("several")), "sets")
+    members = sets(feats)
+    taken = np.sort(np.array([r.cls for r in members.where("several").select("cls").collect()], np.int64))
+    if len(taken):
+        feats = told_apart(feats, taken)
+        members = sets(feats)
+    posted = postings(docs, width, buckets, text, bits, taken)
     index = materialize(indexed(shared_tokens(posted, buckets), buckets, percent, frequent=max(64, total // 1000)), "prefix-index")
     roots = components(materialize(candidate_edges(index, percent), "candidates"))
     links = components(materialize(verified(index, roots, percent), "links"))
-    least = F.min(row_key() if mark else F.col("doc_id"))
-    members = feats.where("cls <> 0").groupBy("cls").agg(least.alias("least"), F.count("*").alias("_n"))
     rooted = members.join(links, F.col("cls") == F.col("node"), "left").select("cls", "least", "_n", F.coalesce("root", "cls").alias("root"))
     return feats, materialize(rooted, "members"), total
 
@@ -418,9 +457,9 @@ def row_key(key: str = "doc_id", mark: str = "mark") -> Column:
     return F.struct(F.col(key).isNull().alias("no_id"), F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.col(mark).alias("mark"))
 
 
-def join_components(docs: DataFrame, width: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
+def join_components(docs: DataFrame, width: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id", bits: int = 63) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: component_id is the smallest doc_id that links reach."""
-    feats, rooted, total = _linked(docs, width, percent, text, key, None)
+    feats, rooted, total = _linked(docs, width, percent, text, key, None, bits)
     sums = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n"))
     named = materialize(lookup(rooted.withColumnRenamed("_n", "_rows"), sums.withColumnRenamed("root", "r"), "root", "r", total), "components")
     named = named.where("_rows > 1 OR component_id <> least").select(F.col("cls").alias("c"), "component_id", F.col("_rows").alias("_n"))

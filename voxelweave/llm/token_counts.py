@@ -5,8 +5,8 @@ one token that ends at i follows the last token at its own start in a way that m
 lookups; the count at every prefix comes with the whole. A worker keeps these arrays by distinct pre-token; a text's count adds up
 those of its pre-tokens, and budget or truncation questions read the arrays instead of encoding again.
 
-Cases: a null text counts as empty (0 tokens, 0 bytes); repeated rows are counted each; other columns, nulls in them and clashing
-names included, stay; an empty table gives an empty table. Texts may be of any length. Special strings of the tokenizer in a text
+Cases: a null text counts as empty (0 tokens, 0 bytes); repeated rows are counted each; other columns, nulls in them included, stay,
+names clashing with the results excepted; an empty table gives an empty table. Texts may be of any length. Special strings of the tokenizer in a text
 count as one token, as in the library's default.
 """
 
@@ -76,33 +76,30 @@ class PrefixCounter:
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
         self.odd = re.compile("[^\x00-\u0557]").findall
         self.same: dict[str, bool] = {}
+        self.edges: tuple[dict, dict] = {}, {}
         self.stays: dict[tuple[int, int], bool] = {}
         self.table: dict[str, array] = {}
         self.totals = Totals(self)
 
+    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens that stand at one side of a token while merging builds it, each with the rank at which it becomes part of the
+        next; the token itself stays."""
+        found = self.edges[side].get(token)
+        if found is None:
+            inner = self.parts[token][side]
+            found = [(token, len(self.parts))] if inner == token else [(token, len(self.parts)), (inner, token), *self.edge(inner, side)[1:]]
+            self.edges[side][token] = found
+        return found
+
     def follows(self, a: int, b: int) -> bool:
-        """Whether merging leaves the border between tokens a and b alone: walks back through the merges that made the two, latest
-        first, and looks for an earlier merge across the border."""
-        limit, one, two, parts = 1 << 40, a, b, self.parts
-        while True:
-            if self.merge.get((one, two), limit) < limit:
-                return False
-            if one > two:
-                limit = one
-                one = parts[one][1]
-                if one == limit:
-                    limit = two + 1
-                    two = parts[two][0]
-                    if two + 1 == limit:
-                        return True
-            else:
-                limit = two + 1
-                two = parts[two][0]
-                if two + 1 == limit:
-                    limit = one
-                    one = parts[one][1]
-                    if one == limit:
-                        return True
+        """Whether merging leaves the border between tokens a and b alone. Replays both: a merge across the border happens if its rank
+        comes while both neighbours of the border stand. Equal ranks merge from the left."""
+        for left, left_goes in self.edge(a, 1):
+            for right, right_goes in self.edge(b, 0):
+                rank = self.merge.get((left, right))
+                if rank is not None and rank < left_goes and rank <= right_goes:
+                    return False
+        return True
 
     def prefix_counts(self, data: bytes) -> array:
         """Tokens of data[:i] for i from 0 to its length."""
@@ -174,18 +171,23 @@ class PrefixCounter:
 
     def fit(self, text: str, budget: int) -> int:
         """Characters of the longest prefix that ends at a character and whose own encoding has at most so many tokens, among the
-        prefixes up to the first pre-token that doesn't fit whole."""
+        prefixes up to the first pre-token that doesn't fit whole. Read from that pre-token's array, without encoding again."""
         ends, counts = self.boundaries(text)
         k = bisect_right(counts, budget) - 1
         while k + 1 < len(ends) and counts[k + 1] <= budget:
             k += 1
         if k + 1 == len(ends):
             return len(text)
-        piece, best = text[ends[k] : ends[k + 1]], 0
+        piece = text[ends[k] : ends[k + 1]]
         if piece in self.special_strings:
             return ends[k]
-        for n in range(1, len(piece)):
-            if counts[k] + sum(self.arrays(p)[-1] for p in self.pieces(piece[:n])) <= budget:
+        left = budget - counts[k]
+        if piece[0] == "'":  # the one kind of pre-token whose beginnings may be cut otherwise; three characters at most, or signs
+            return ends[k] + max(n for n in range(len(piece)) if sum(self.arrays(p)[-1] for p in self.pieces(piece[:n])) <= left)
+        by_byte, at, best = self.arrays(piece), 0, 0
+        for n, c in enumerate(piece[:-1], 1):
+            at += len(c.encode())
+            if by_byte[at] <= left:
                 best = n
         return ends[k] + best
 
@@ -232,7 +234,7 @@ def truncate_to_budget(df: DataFrame, path: str, budget: int, text: str = "text"
 def with_lengths(df: DataFrame, limit: int, text: str = "text") -> DataFrame:
     """n_bytes and over_limit beside n_tokens, in place of the text."""
     return df.select(
-        *[c for c in df.columns if c not in (text, "n_tokens")],
+        *[c for c in df.columns if c not in (text, "n_tokens", "n_bytes", "over_limit")],
         F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"),
         "n_tokens",
         (F.col("n_tokens") > limit).alias("over_limit"),

@@ -73,17 +73,17 @@ def parse(data: bytes) -> dict:
     return named
 
 
-def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def with_originals(pages: DataFrame, min_bytes: int = 0, share: int = 1000) -> DataFrame:
     """Adds first_id: the smallest page_id among rows of the same payload, null where the payload is alone or too small.
 
-    Payload groups are summed before the shuffle. The few groups that hold over a thousandth of all rows (so at most a thousand of
-    them) are joined by broadcast, all others by a shuffled join, so no task gets a hot group.
+    Payload groups are summed before the shuffle. The few groups that hold over one share-th of all rows (so at most that many) are
+    joined by broadcast, all others by a shuffled join, so no task gets a hot group.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", "html", F.sha1(html).alias("_key"), F.octet_length(html).alias("_bytes"))
     groups = keyed.where(F.col("_bytes") >= min_bytes).groupBy("_key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("_n"))
     groups = materialize(groups.where("_n > 1"), "warc-groups")
-    limit = pages.count() / 1000
+    limit = pages.count() / share
     hot = groups.where(F.col("_n") > limit).select(F.col("_key").alias("_hot"), F.col("first_id").alias("_hot_id"))
     cold = groups.where(F.col("_n") <= limit).select(F.col("_key").alias("_cold"), F.col("first_id").alias("_cold_id"))
     out = keyed.join(F.broadcast(hot), (F.col("_key") == F.col("_hot")) & (F.col("_bytes") >= min_bytes), "left")
@@ -147,8 +147,20 @@ def coalesced(rows, gap: int, span: int) -> Iterator[tuple[str, int, int, list]]
         yield held[0][0], held[0][1], held[-1][1] + held[-1][2], held
 
 
+def checked(x: dict) -> tuple[str, int]:
+    """Digest and bytes of the full payload: of a response as worked out from the payload that was read, and held against its headers; of
+    a revisit, which has none, as its headers tell."""
+    digest, size = x["WARC-Payload-Digest"].removeprefix("sha1:"), int(x["X-Payload-Length"])
+    if x["payload"] is None:
+        return digest, size
+    found = base32_sha1(x["payload"]), len(x["payload"])
+    if found != (digest, size):
+        raise ValueError(f"the payload of {x['WARC-Record-ID']} is not the one that its headers tell of")
+    return found
+
+
 def read_records(index: DataFrame, partition_bytes: int = 32 << 20, gap: int = 64 << 10, span: int = 4 << 20) -> DataFrame:
-    """The records of the selected index rows, read back from their archives."""
+    """The records of the selected index rows, read back from their archives; a payload that differs from its digest raises an error."""
     import pyarrow as pa
 
     total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
@@ -174,7 +186,7 @@ def read_records(index: DataFrame, partition_bytes: int = 32 << 20, gap: int = 6
             for _, offset, length in rows:
                 x = parse(zlib.decompress(data[offset - start : offset - start + length], 31))
                 page_id, refers = number(x.get("X-Page-ID")), number(x.get("X-Refers-To-Page-ID"))
-                out.append((page_id, x.get("WARC-Target-URI"), x["WARC-Type"], refers, x["WARC-Payload-Digest"].removeprefix("sha1:"), int(x["X-Payload-Length"]), x["payload"]))
+                out.append((page_id, x.get("WARC-Target-URI"), x["WARC-Type"], refers, *checked(x), x["payload"]))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return placed.mapInArrow(run, RECORD)
