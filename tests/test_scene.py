@@ -18,6 +18,9 @@ from voxelweave.operators import spatial as S
 from voxelweave.sources import views as V
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def one(spark, *columns):
     return spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
 
@@ -89,7 +92,7 @@ def test_merged_splats_keep_rotation_and_colour_bands_of_the_survivor(spark):
 
 def test_marching_cubes_sphere_is_closed(spark):
     n, radius = 12, 0.35
-    tris = U.marching_cubes(V.sdf_grid(spark, n, radius)).collect()
+    tris = U.marching_cubes(V.sdf_grid(spark, SF, n).where(f"vx < {n}")).collect()
     point = lambda t, k: tuple(round(t[f"p{k}{v}"], 6) for v in "xyz")
     faces = [(point(t, 0), point(t, 1), point(t, 2)) for t in tris]
     edges = collections.Counter(e for a, b, c in faces for e in ((a, b), (b, c), (c, a)))
@@ -127,19 +130,110 @@ def test_cube_cleaning_and_normals(spark):
 def test_occlusion(spark):
     v = spark.createDataFrame([(0, -5.0, -5.0, 0.0), (1, 5.0, -5.0, 0.0), (2, 0.0, 5.0, 0.0)], "vid long, x double, y double, z double")
     f = spark.createDataFrame([(0, 0, 1, 2)], "fid long, i0 long, i1 long, i2 long")
-    p = spark.createDataFrame([(10, 0.0, 0.0, -1.0), (11, 0.0, 0.0, 1.0), (12, 9.0, 9.0, -1.0), (0, -5.0, -5.0, 0.0)], "vid long, x double, y double, z double")
-    assert {r.vid for r in M.occluded(p, f, v, (0.0, 0.0, 5.0)).collect()} == {10}
-
-
-def test_camera_ring(spark):
-    ring = V.cameras(spark, 8)
-    picked = [r.camera_index for r in K.select_spread(ring, 4, (3.0, 0.0, 0.0)).orderBy("nth").collect()]
-    assert picked == [0, 4, 2, 6]
+    p = spark.createDataFrame([(7, 10, 0.0, 0.0, -1.0), (7, 11, 0.0, 0.0, 1.0), (7, 12, 9.0, 9.0, -1.0), (7, 0, -5.0, -5.0, 0.0)], "frame_id long, vid long, x double, y double, z double")
+    eye = spark.createDataFrame([(7, 0.0, 0.0, 5.0)], "frame_id long, ex double, ey double, ez double")
+    assert {r.vid for r in M.occluded(p, f, v, eye).collect()} == {10}
+    rng = np.random.default_rng(3)
+    pts = [(7, 100 + i, *map(float, rng.uniform(-12, 12, 2)), -1.0) for i in range(200)]
+    slanted = spark.createDataFrame([(7, 7.5, -9.0, 5.0)], eye.schema)
+    got = {r.vid for r in M.occluded(spark.createDataFrame(pts, p.schema), f, v, slanted).collect()}
+
+    def hidden(o):
+        a, b, c = (np.array(x, float) for x in ((-5, -5, 0), (5, -5, 0), (0, 5, 0)))
+        d = np.array((7.5, -9.0, 5.0)) - o
+        q = o + d * (-o[2] / d[2])
+        side = [np.cross(y - x, q - x)[2] for x, y in ((a, b), (b, c), (c, a))]
+        return min(side) > 0
+
+    assert got == {i for _, i, *o in pts if hidden(np.array(o))} and 0 < len(got) < 200
+
+
+def test_camera_rigs(spark):
+    ring = [(g, k, 3 * math.cos(k * math.pi / 4), 0.0, 3 * math.sin(k * math.pi / 4)) for g in (0, 1) for k in range(8)]
+    ring = spark.createDataFrame(ring, "rig long, camera_index long, x double, y double, z double")
+    picked = K.select_spread(ring, 4, (3.0, 0.0, 0.0)).orderBy("rig", "nth").collect()
+    assert [(r.rig, r.camera_index) for r in picked] == [(g, k) for g in (0, 1) for k in (0, 4, 2, 6)]
     some = ring.withColumn("valid", F.col("camera_index").isin(1, 2))
     assert {r.camera_index for r in K.select_spread(some, 4).collect()} == {1, 2}
+    assert {(r.cameras, r.valid) for r in K.valid_counts(some).collect()} == {(8, 2)}
     assert K.select_spread(ring, 0).count() == 0 and K.select_spread(ring.limit(0), 3).count() == 0
     w = [r.weight for r in K.isolation_weights(ring.where("camera_index % 2 = 0")).collect()]
-    assert sum(w) == pytest.approx(1) and all(x == pytest.approx(0.25) for x in w)
+    assert sum(w) == pytest.approx(2) and all(x == pytest.approx(0.25) for x in w)
+    near = {(r.target, r.nth): r.source for r in K.source_views(ring.where("rig = 0"), 2).collect()}
+    assert near[0, 0] == 1 and near[0, 1] == 7 and near[4, 0] == 3
+    frames = ring.select("rig", "camera_index").crossJoin(spark.range(2).withColumnRenamed("id", "frame_id")).where("NOT (frame_id = 1 AND camera_index = 1)")
+    got = {(r.rig, r.frame_id, r.target): list(r.sources) for r in K.training_samples(frames, K.source_views(ring, 2), every=4).collect()}
+    assert got[0, 0, 0] == [1, 7] and got[0, 1, 0] == [7] and set(k[2] for k in got if k[1] == 0) == {0, 4}
+    split = K.split(spark.range(100).withColumnRenamed("id", "k"), "k", 0.8, 42)
+    assert {r.split: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 80, "val": 20}
+    assert K.split(spark.range(1).withColumnRenamed("id", "k"), "k", 0.1, 1).first().split == "train"
+
+
+def test_numbers_and_sums_over_ranges(spark):
+    from voxelweave.operators.sync import numbered
+
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), (F.col("id") % 3).alias("v"))
+    got = {r.k: r.n for r in numbered(rows, "k", "n").collect()}
+    assert got == {k: k for k in range(1000)}
+    value = {r.k: r.v for r in rows.collect()}
+    sums = {r.k: r.s for r in M.prefix_sum(rows, "k", "v", "s").collect()}
+    assert sums == {k: sum(value[i] for i in range(k)) for k in range(1000)}
+
+
+def test_view_matrices_and_boxes(spark):
+    m = np.array(G.look_at((0, 0, 5), (0, 0, 0)))
+    assert (m @ [0, 0, 0, 1])[:3] == pytest.approx([0, 0, -5]) and (m @ [1, 0, 5, 1])[:3] == pytest.approx([1, 0, 0])
+    p = np.array(G.perspective(math.pi / 2, 1.0, 0.1, 100.0))
+    near, far = p @ [0, 0, -0.1, 1], p @ [0, 0, -100, 1]
+    assert near[2] / near[3] == pytest.approx(-1) and far[2] / far[3] == pytest.approx(1)
+    assert G.orbit((1, 2, 3), 2.0, 0.0, 0.0) == pytest.approx((1, 2, 5))
+    low, high = lit(-1, -1, -1), lit(1, 1, 1)
+    r = one(spark, G.ray_box(lit(0, 0, 5), lit(0, 0, -1), low, high), G.ray_box(lit(0, 0, 5), lit(0, 0, 1), low, high), G.ray_box(lit(2, 0, 5), lit(0, 0, -1), low, high), G.ray_box(lit(0, 0, 0), lit(1, 1, 0), low, high))
+    assert list(r) == [True, False, False, True]
+    turn, shift = F.array(*[F.array(*map(F.lit, row)) for row in ((0.0, -1.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0))]), F.array(*map(F.lit, (1.0, 2.0, 3.0)))
+    assert list(one(spark, *G.camera_position(turn, shift))) == pytest.approx([-2, 1, -3])
+
+
+def test_mesh_pipeline_and_flat_arrays(spark):
+    v, f = cube(spark)
+    bad = f.unionByName(spark.createDataFrame([(12, 0, 0, 1)], f.schema))
+    loose = v.unionByName(spark.createDataFrame([(99, 9.0, 9.0, 9.0)], v.schema))
+    vertices, faces, metrics = M.pipeline(bad, loose)
+    assert (vertices.count(), faces.count()) == (8, 12)
+    rows = {r.stage: r for r in metrics.collect()}
+    assert (rows["input"].faces, rows["clean"].faces, rows["output"].vertices) == (13, 12, 8) and rows["output"].valid and rows["output"].kept == pytest.approx(12 / 13)
+    assert all(abs(r.nx) + abs(r.ny) + abs(r.nz) > 0 for r in vertices.collect())
+    flat = M.to_flat(f.withColumn("mesh_id", F.lit(5)), v.withColumn("mesh_id", F.lit(5)))
+    back_v, back_f = M.from_flat(flat)
+    assert sorted(tuple(r)[1:] for r in back_v.collect()) == sorted(map(tuple, v.collect()))
+    assert sorted(tuple(r)[1:] for r in back_f.collect()) == sorted(map(tuple, f.collect()))
+    assert M.from_flat(spark.createDataFrame([(1, [1.0], [2])], "mesh_id long, positions array<double>, indices array<long>"))[0].count() == 0
+    uv = M.unwrap(f, v).collect()
+    assert {r.chart for r in uv} == set(range(6)) and all(0 <= r.u <= 1 and 0 <= r.v <= 1 for r in uv)
+
+
+def test_legacy_rigs(spark, tmp_path):
+    import json
+
+    from voxelweave.functions import lens as L
+
+    (tmp_path / "a.json").write_text(json.dumps({"focal": 900, "image_width": 640, "image_height": 480, "win_translate": [2, -3], "k1_deg2": 0.1, "k3_deg6": 0.3, "rotate": [0, 0, math.pi / 2], "translate": [1, 2, 3], "serial_number": 77, "colTrans_mat": [1, 0, 0, 0, 1, 0, 0, 0, 1]}))
+    (tmp_path / "b.json").write_text(json.dumps({"x_focallen": 800, "cx": 300, "cy": 200, "radial_poly": [0, 0.5, 0.25, 0.125], "extrinsics": {"mtx": [1, 0, 0, 4, 0, 1, 0, 5, 0, 0, 1, 6, 0, 0, 0, 1]}}))
+    a, b = L.legacy_rig(spark, str(tmp_path)).orderBy("camera_index").collect()
+    assert (a.kind, a.serial, a.fx, a.fy, a.cx, a.cy) == ("recorder", 77, 900, 900, 322, 237) and list(a.dist_coeffs) == [0.1, 0, 0, 0, 0.3] and list(a.translation) == [1, 2, 3]
+    assert np.allclose(a.rotation, [[0, -1, 0], [1, 0, 0], [0, 0, 1]], atol=1e-12) and a.color_correction[1] == [0, 1, 0]
+    assert (b.kind, b.serial, b.width, b.height, b.fy, b.cx) == ("solver", 1, 1920, 1080, 800, 300) and list(b.dist_coeffs) == [0.5, 0.25, 0, 0, 0.125] and list(b.translation) == [4, 5, 6] and b.color_correction is None
+
+
+def test_flow_and_masks(spark):
+    value = lambda x, y: ((x * 31 + y * 17 + x * y) % 101) / 100.0
+    rows = [(f, x, y, value(x - f, y)) for f in (0, 1) for x in range(16) for y in range(16)]
+    img = spark.createDataFrame(rows, "frame_id long, x long, y long, v double")
+    got = {(r.bx, r.by): (r.dx, r.dy) for r in I.flow(img).collect()}
+    assert got == {(i, j): (1, 0) for i in (0, 1) for j in (0, 1)}
+    px = img.select("frame_id", F.lit(0).alias("camera_index"), "x", "y", "v")
+    half = px.select("frame_id", "camera_index", "x", "y", F.lit(0.5).alias("mask")).where("x < 8")
+    assert I.masked(px, half, "v").agg(F.sum("v")).first()[0] == pytest.approx(px.agg(F.sum(F.when(F.col("x") < 8, F.col("v") / 2).otherwise(F.col("v")))).first()[0])
 
 
 def test_gutters_are_filled_in_each_frame(spark):
@@ -152,7 +246,7 @@ def test_gutters_are_filled_in_each_frame(spark):
 
 
 def test_image_filters(spark):
-    img = V.pixels(spark, 2, 12, 9)
+    img = V.pixels(spark, SF, 12, 9).where("frame_id < 2")
     same = {r.frame_id: r.psnr for r in I.psnr_by_frame(img, img).collect()}
     assert set(same.values()) == {100.0}
     assert all(r.ssim == pytest.approx(1) for r in I.ssim_by_frame(img, img).collect())

@@ -203,19 +203,101 @@ def glb(document: dict, buffer: bytes) -> bytes:
     return out + (struct.pack("<II", len(buffer), GLB_BIN) + buffer if buffer else b"")
 
 
-def mesh_glb(positions: np.ndarray, normals: np.ndarray, indices: np.ndarray) -> bytes:
-    """A mesh with positions, normals and u32 indices; an empty mesh has a scene without nodes."""
+class _Buffer:
+    """The binary part of a glTF file: views and accessors as parts come in, each at a multiple of four bytes."""
+
+    def __init__(self):
+        self.data, self.views, self.accessors = bytearray(), [], []
+
+    def view(self, part: bytes, target: int | None = None) -> int:
+        self.data += b"\0" * (-len(self.data) % 4)
+        self.views.append({"buffer": 0, "byteOffset": len(self.data), "byteLength": len(part)} | ({"target": target} if target else {}))
+        self.data += part
+        return len(self.views) - 1
+
+    def accessor(self, values: np.ndarray, kind: str, component: int, target: int | None = None, bounds: bool = False, normalised: bool = False) -> int:
+        own = {"bufferView": self.view(np.ascontiguousarray(values).tobytes(), target), "componentType": component, "count": len(values), "type": kind}
+        if bounds and len(values):
+            own |= {"min": np.min(values, 0).tolist(), "max": np.max(values, 0).tolist()}
+        self.accessors.append(own | ({"normalized": True} if normalised else {}))
+        return len(self.accessors) - 1
+
+    def document(self, **more) -> dict:
+        return {"asset": {"version": "2.0", "generator": "voxelweave"}, "scene": 0, "scenes": [{"nodes": [0]}], "nodes": [{"mesh": 0}], **more, "accessors": self.accessors, "bufferViews": self.views, "buffers": [{"byteLength": len(self.data)}]}
+
+
+_EMPTY = {"asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": []}]}
+_FLOAT, _UINT, _UBYTE = 5126, 5125, 5121  # component types; 34962 and 34963 are the targets of vertices and indices: fixed values
+
+
+def mesh_glb(positions: np.ndarray, normals: np.ndarray | None, indices: np.ndarray, uv: np.ndarray | None = None, colors: np.ndarray | None = None, texture: bytes | None = None, mime: str = "image/png") -> bytes:
+    """A mesh with positions and u32 indices, and whatever of normals, texture coordinates, 8-bit RGBA vertex colours and an embedded
+    texture there is; an empty mesh has a scene without nodes."""
     if not len(positions) or not len(indices):
-        return glb({"asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": []}]}, b"")
-    parts = [np.ascontiguousarray(positions, "<f4").tobytes(), np.ascontiguousarray(normals, "<f4").tobytes(), np.ascontiguousarray(indices, "<u4").tobytes()]
-    views, at = [], 0
-    for p, target in zip(parts, (34962, 34962, 34963), strict=True):
-        views.append({"buffer": 0, "byteOffset": at, "byteLength": len(p), "target": target})
-        at += len(p)
-    accessors = [
-        {"bufferView": 0, "componentType": 5126, "count": len(positions), "type": "VEC3", "min": positions.min(0).tolist(), "max": positions.max(0).tolist()},
-        {"bufferView": 1, "componentType": 5126, "count": len(normals), "type": "VEC3"},
-        {"bufferView": 2, "componentType": 5125, "count": int(np.size(indices)), "type": "SCALAR"},
-    ]
-    document = {"asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": [0]}], "nodes": [{"mesh": 0}], "meshes": [{"primitives": [{"attributes": {"POSITION": 0, "NORMAL": 1}, "indices": 2}]}], "accessors": accessors, "bufferViews": views, "buffers": [{"byteLength": at}]}
-    return glb(document, b"".join(parts))
+        return glb(_EMPTY, b"")
+    b = _Buffer()
+    attributes = {"POSITION": b.accessor(np.asarray(positions, "<f4"), "VEC3", _FLOAT, 34962, bounds=True)}
+    if normals is not None:
+        attributes["NORMAL"] = b.accessor(np.asarray(normals, "<f4"), "VEC3", _FLOAT, 34962)
+    if uv is not None:
+        attributes["TEXCOORD_0"] = b.accessor(np.asarray(uv, "<f4"), "VEC2", _FLOAT, 34962)
+    if colors is not None:
+        attributes["COLOR_0"] = b.accessor(np.asarray(colors, "u1"), "VEC4", _UBYTE, 34962, normalised=True)
+    primitive = {"attributes": attributes, "indices": b.accessor(np.asarray(indices, "<u4").reshape(-1), "SCALAR", _UINT, 34963)}
+    more: dict = {"meshes": [{"primitives": [primitive]}]}
+    if texture is not None and uv is not None:
+        more |= {"images": [{"bufferView": b.view(texture), "mimeType": mime}], "samplers": [{}], "textures": [{"source": 0, "sampler": 0}], "materials": [{"pbrMetallicRoughness": {"baseColorTexture": {"index": 0}, "metallicFactor": 0.0, "roughnessFactor": 1.0}}]}
+        primitive["material"] = 0
+    return glb(b.document(**more), bytes(b.data))
+
+
+#: Names of the splat attributes in a glTF point primitive, and of the two extensions: fixed values.
+SPLAT_EXTENSION, CHUNK_EXTENSION = "KHR_gaussian_splatting", "KHR_gaussian_splatting_compression_spz"
+
+
+def splats_glb(positions, scales, quats, opacity, sh) -> bytes:
+    """Splats as points with their attributes as they are: rotation x, y, z, w, log scale, opacity, and colour bands of three by degree."""
+    p = np.asarray(positions, "<f4").reshape(-1, 3)
+    if not len(p):
+        return glb(_EMPTY, b"")
+    b = _Buffer()
+    q = np.asarray(quats, "<f4").reshape(-1, 4)
+    sh = np.asarray(sh, "<f4").reshape(len(p), -1, 3)
+    attributes = {
+        "POSITION": b.accessor(p, "VEC3", _FLOAT, 34962, bounds=True),
+        "_ROTATION": b.accessor(q[:, [1, 2, 3, 0]], "VEC4", _FLOAT, 34962),
+        "_SCALE": b.accessor(np.log(np.maximum(np.asarray(scales, "<f4").reshape(-1, 3), 1e-10)), "VEC3", _FLOAT, 34962),
+        "_OPACITY": b.accessor(np.asarray(opacity, "<f4").reshape(-1), "SCALAR", _FLOAT, 34962),
+    }
+    degree = int(round(sh.shape[1] ** 0.5)) - 1
+    for d in range(degree + 1):
+        for i in range(2 * d + 1):
+            attributes[f"_SH_DEGREE_{d}_COEF_{i}"] = b.accessor(sh[:, d * d + i], "VEC3", _FLOAT, 34962)
+    primitive = {"mode": 0, "attributes": attributes, "extensions": {SPLAT_EXTENSION: {"degree": degree}}}
+    return glb(b.document(extensionsUsed=[SPLAT_EXTENSION], meshes=[{"primitives": [primitive]}]), bytes(b.data))
+
+
+def chunk_glb(chunk: bytes, splats: int, frame: int = 0) -> bytes:
+    """A compressed chunk inside a glTF file, with its buffer header, as points whose attributes the extension unpacks."""
+    if not splats:
+        return glb(_EMPTY, b"")
+    b = _Buffer()
+    view = b.view(spz_buffer(chunk, splats, frame))
+    primitive = {"mode": 0, "attributes": {}, "extensions": {SPLAT_EXTENSION: {"extensions": {CHUNK_EXTENSION: {"bufferView": view, "count": splats}}}}}
+    return glb(b.document(extensionsUsed=[SPLAT_EXTENSION, CHUNK_EXTENSION], extensionsRequired=[CHUNK_EXTENSION], meshes=[{"primitives": [primitive]}]), bytes(b.data))
+
+
+def floats(data: bytes, count: int) -> np.ndarray:
+    """A flat float buffer as count rows; its stride is what the length gives."""
+    values = np.frombuffer(data, "<f4")
+    return values.reshape(count, -1) if count else values.reshape(0, 0)
+
+
+def parse_glb(data: bytes) -> tuple[dict, bytes]:
+    """The document and the binary chunk (empty if there is none) of a binary glTF."""
+    magic, version, total = GLB.unpack_from(data)
+    if magic != GLB_MAGIC or version != 2 or total != len(data):
+        raise ValueError("not a binary glTF")
+    size, _ = struct.unpack_from("<II", data, 12)
+    document, at = json.loads(data[20 : 20 + size]), 20 + size
+    return document, data[at + 8 :] if at < total else b""

@@ -59,3 +59,21 @@ def texture_weight(n_dot_c: Column, distance: Column) -> Column:
 
 def psnr(mse: Column) -> Column:
     return F.when(mse < 1e-10, F.lit(100.0)).otherwise(-10 * F.log10(mse))
+
+
+def warmup_cosine(step: Column, steps: Column, rate: float, warmup: int) -> Column:
+    """A learning rate that rises over the warm-up and falls along a half cosine."""
+    return F.when(step < warmup, rate * (step + 1) / warmup).otherwise(0.5 * rate * (1 + F.cos(3.141592653589793 * (step - warmup) / (steps - warmup))))
+
+
+def backoff_ms(attempt: Column, first: int = 1000, most: int = 16000) -> Column:
+    """Wait before a further attempt: doubled each time, up to a limit."""
+    return F.least(F.lit(first) * F.pow(F.lit(2), attempt), F.lit(most)).cast("long")
+
+
+def quality(fps: Column, latency_ms: Column | None = None) -> Column:
+    """good, fair or poor by frames a second, and by latency if it is given; the worse of both."""
+    rank = F.when(fps >= 28, 0).when(fps >= 15, 1).otherwise(2)
+    if latency_ms is not None:
+        rank = F.greatest(rank, F.when(latency_ms < 100, 0).when(latency_ms < 300, 1).otherwise(2))
+    return F.element_at(F.array(F.lit("good"), F.lit("fair"), F.lit("poor")), rank + 1)

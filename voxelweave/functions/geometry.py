@@ -51,6 +51,59 @@ def transform(m: list[list[Column | float]], p: Vec) -> Vec:
     return tuple(sum((F.lit(0.0) + r[i] * p[i] for i in range(3)), F.lit(0.0)) + r[3] for r in m[:3])
 
 
+def rotated(r: Column, p: Vec, back: bool = False) -> Vec:
+    """A vector by a rotation held as an array of rows, or by its transpose."""
+    at = lambda i, k: r[k][i] if back else r[i][k]
+    return tuple(at(i, 0) * p[0] + at(i, 1) * p[1] + at(i, 2) * p[2] for i in range(3))
+
+
+def camera_position(r: Column, t: Column) -> Vec:
+    """Place in the world of a camera whose rotation and shift lead from the world to it: -R^T t."""
+    return tuple(-x for x in rotated(r, (t[0], t[1], t[2]), back=True))
+
+
+def look_at(eye: tuple[float, float, float], target: tuple[float, float, float], up: tuple[float, float, float] = (0.0, 1.0, 0.0)) -> list[list[float]]:
+    """View matrix (4 x 4, rows) of a viewer that looks along -z at the target; a handful of numbers, worked out on the driver."""
+    import numpy as np
+
+    z = np.subtract(eye, target).astype(float)
+    z /= max(np.linalg.norm(z), 1e-12)
+    x = np.cross(up, z)
+    x /= max(np.linalg.norm(x), 1e-12)
+    m = np.eye(4)
+    m[:3, :3] = x, np.cross(z, x), z
+    m[:3, 3] = -m[:3, :3] @ np.asarray(eye, float)
+    return m.tolist()
+
+
+def perspective(fov_y: float, aspect: float, near: float, far: float) -> list[list[float]]:
+    """Projection matrix (4 x 4, rows) to clip space with depths from -1 to 1; the angle is in radians."""
+    import math
+
+    f = 1 / math.tan(fov_y / 2)
+    return [[f / aspect, 0.0, 0.0, 0.0], [0.0, f, 0.0, 0.0], [0.0, 0.0, (far + near) / (near - far), 2 * far * near / (near - far)], [0.0, 0.0, -1.0, 0.0]]
+
+
+def orbit(target: tuple[float, float, float], distance: float, azimuth: float, elevation: float) -> tuple[float, float, float]:
+    """Place of a viewer on a sphere around the target."""
+    import math
+
+    return (target[0] + distance * math.cos(elevation) * math.sin(azimuth), target[1] + distance * math.sin(elevation), target[2] + distance * math.cos(elevation) * math.cos(azimuth))
+
+
+def ray_box(o: Vec, d: Vec, low: Vec, high: Vec) -> Column:
+    """Whether a ray meets an axis-aligned box at or after its start. Axes along which the ray does not move only ask whether it starts
+    between the box's sides."""
+    enter, leave, inside = [F.lit(0.0)], [], F.lit(True)
+    for p, v, a, b in zip(o, d, low, high, strict=True):
+        still = F.abs(v) < 1e-12
+        t0, t1 = (F.when(~still, (x - p) / F.when(~still, v)) for x in (a, b))
+        enter.append(F.coalesce(F.least(t0, t1), F.lit(0.0)))
+        leave.append(F.coalesce(F.greatest(t0, t1), F.lit(float("inf"))))
+        inside = inside & (~still | ((p >= a) & (p <= b)))
+    return inside & (F.greatest(*enter) <= F.least(*leave))
+
+
 def rigid_inverse(m: list[list[Column | float]]) -> list[list[Column]]:
     """Transposed rotation, and minus that times the shift."""
     r = [[F.lit(0.0) + m[j][i] for j in range(3)] for i in range(3)]

@@ -41,14 +41,25 @@ class Cylinder(Backend):
         return pd.DataFrame({"frame_id": frame_id, "pair": pair, "splat_id": pair * self.splats + i, "px": 0.3 * np.cos(a), "py": (i % 10) / 10, "pz": 0.3 * np.sin(a), "opacity": 0.5 + (i % 5) / 10})
 
 
+_READY: dict = {}
+
+
+def _ready(backend: Backend) -> Backend:
+    """The backend of this worker, initialised when it is first asked for and kept for the frames that follow."""
+    key = (type(backend).__module__, type(backend).__qualname__, repr(sorted(vars(backend).items())))
+    if key not in _READY:
+        backend.initialize()
+        _READY[key] = backend
+    return _READY[key]
+
+
 def infer(frames: DataFrame, backend: Backend) -> DataFrame:
     """Splats of frames (camera_index, frame_id, path): cameras in order are paired, frames with fewer than two give none."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("camera_index")
-        backend.initialize()
-        out = [backend.process(int(p["frame_id"].iloc[0]), k // 2, p["path"].iloc[k : k + 2].to_list()) for k in range(0, len(p) - 1, 2)]
-        backend.shutdown()
+        own = _ready(backend)
+        out = [own.process(int(p["frame_id"].iloc[0]), k // 2, p["path"].iloc[k : k + 2].to_list()) for k in range(0, len(p) - 1, 2)]
         return pd.concat(out) if out else pd.DataFrame(columns=[c.split(" ")[0] for c in SPLATS.split(", ")])
 
     return frames.select("camera_index", F.col("frame_id").cast("long").alias("frame_id"), "path").groupBy("frame_id").applyInPandas(run, SPLATS)

@@ -52,24 +52,46 @@ def decode_frames(payloads: DataFrame, how: str = "blob") -> DataFrame:
     return payloads.select("frame_id", "payload").mapInPandas(run, f"frame_id long, {SPLAT}")
 
 
-def encode_sequence(splats: DataFrame, interval: int) -> DataFrame:
+def encode_sequence(splats: DataFrame, interval: int, forced: DataFrame | None = None) -> DataFrame:
     """(frame_id, key_id, is_keyframe, payload): every so-many-th frame a keyframe chunk, the others deltas against their last one if
-    it has as many splats, else keyframes too. A group is one keyframe interval, so intervals run in parallel."""
+    they hold the same splats by id, else keyframes too; so are the frames asked for in forced (frame_id). A group is one keyframe
+    interval, so intervals run in parallel."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         rows, key = [], None
         for frame_id, f in p.groupby("frame_id", sort=True):
+            ids = f["splat_id"].sort_values().to_numpy()
             a = _arrays(f)
             own = {"position": a[0], "scale": a[1], "rotation": a[2], "opacity": a[3], "sh": a[4]}
-            if key is None or len(own["opacity"]) != len(key[1]["opacity"]):
+            if key is None or f["forced"].iloc[0] or not np.array_equal(ids, key[2]):
                 data = B.spz_keyframe(*a)
-                key = (frame_id, B.spz_decode(data))
+                key = (frame_id, B.spz_decode(data), ids)
                 rows.append((frame_id, frame_id, True, data))
             else:
                 rows.append((frame_id, key[0], False, B.spz_delta(key[1], own)))
         return pd.DataFrame(rows, columns=["frame_id", "key_id", "is_keyframe", "payload"])
 
-    return splats.withColumn("gop", F.floor(F.col("frame_id") / interval)).groupBy("gop").applyInPandas(run, "frame_id long, key_id long, is_keyframe boolean, payload binary")
+    marked = splats.withColumn("forced", F.lit(False))
+    if forced is not None:
+        asked = forced.select("frame_id", F.lit(True).alias("_f")).distinct()
+        marked = splats.join(asked, "frame_id", "left").withColumn("forced", F.coalesce("_f", F.lit(False))).drop("_f")
+    return marked.withColumn("gop", F.floor(F.col("frame_id") / interval)).groupBy("gop").applyInPandas(run, "frame_id long, key_id long, is_keyframe boolean, payload binary")
+
+
+def encode_deltas(key: DataFrame, frames: DataFrame) -> DataFrame:
+    """(frame_id, splats, payload): delta chunks of frames that hold the same splats as a keyframe (splat rows of one frame)."""
+
+    def run(name: tuple, k: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        if f.empty:
+            return pd.DataFrame(columns=["frame_id", "splats", "payload"])
+        was = B.spz_decode(B.spz_keyframe(*_arrays(k)))
+        a = _arrays(f)
+        own = {"position": a[0], "rotation": a[2], "opacity": a[3]}
+        return pd.DataFrame({"frame_id": [f["frame_id"].iloc[0]], "splats": [len(f)], "payload": [B.spz_delta(was, own)]})
+
+    ids = frames.select("frame_id").distinct().withColumnRenamed("frame_id", "_for")
+    k = key.drop("frame_id").crossJoin(F.broadcast(ids))  # a row for each frame
+    return k.groupBy("_for").cogroup(frames.withColumn("_for", F.col("frame_id")).groupBy("_for")).applyInPandas(run, "frame_id long, splats long, payload binary")
 
 
 def wire(packets: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Depth fusion: unprojection, multi-view consistency, signed-distance folding, surface crossings and marching cubes.
 
-Cameras are a small dimension and are always broadcast; pixels and voxels meet by equi-joins on (camera, pixel) and voxel index.
+Tables hold many frames (frame_id); cameras, pixels and voxels of a frame meet by equi-joins on frame, camera, pixel and voxel index, so
+frames are spread over the cluster and no frame sees another's cameras. A rig has a row for each frame and camera: intrinsics fx, fy, cx,
+cy, rotation (rows) and translation from the world to the camera, and optionally the image's width and height.
 """
 
 from __future__ import annotations
@@ -21,70 +23,134 @@ def usable(depth: DataFrame, near: float, far: float) -> DataFrame:
 
 
 def unproject(depth: DataFrame, rig: DataFrame, near: float, far: float) -> DataFrame:
-    """World points of usable pixels. rig: camera_index, fx, fy, cx, cy, tx, ty, tz (position; axes as the world's)."""
-    p = usable(depth, near, far).join(F.broadcast(rig), "camera_index")
+    """World points of usable pixels."""
+    p = usable(depth, near, far).join(rig, ["frame_id", "camera_index"])
     v = G.unproject(F.col("x"), F.col("y"), F.col("depth"), F.col("fx"), F.col("fy"), F.col("cx"), F.col("cy"))
-    w = G.add(v, G.vec(names=("tx", "ty", "tz")))
-    return p.select("camera_index", "x", "y", *[c.alias(n) for c, n in zip(w, ("wx", "wy", "wz"), strict=True)])
+    t = F.col("translation")
+    w = G.rotated(F.col("rotation"), G.sub(v, (t[0], t[1], t[2])), back=True)
+    return p.select("frame_id", "camera_index", "x", "y", *[c.alias(n) for c, n in zip(w, ("wx", "wy", "wz"), strict=True)])
 
 
 def seen_in(points: DataFrame, rig: DataFrame, keep: Column | None = None) -> DataFrame:
-    """Each point once for every camera that has it in front, with its rounded pixel there (half to even)."""
-    r = rig.select(*[F.col(c).alias(f"r_{c}") for c in rig.columns])
-    c = G.sub(G.vec(names=("wx", "wy", "wz")), G.vec("r_", ("tx", "ty", "tz")))
+    """Each point once for every camera of its frame that has it in front and in the image, with its rounded pixel there (half to even)."""
+    r = rig.select("frame_id", *[F.col(c).alias(f"r_{c}") for c in rig.columns if c != "frame_id"])
+    t = F.col("r_translation")
+    c = G.add(G.rotated(F.col("r_rotation"), G.vec(names=("wx", "wy", "wz"))), (t[0], t[1], t[2]))
     u, v = G.project(c, F.col("r_fx"), F.col("r_fy"), F.col("r_cx"), F.col("r_cy"))
-    out = points.join(F.broadcast(r), F.lit(True) if keep is None else keep)
-    return out.withColumns({"z": c[2], "px": F.rint(u).cast("long"), "py": F.rint(v).cast("long")}).where("z > 0")
+    out = points.join(r, "frame_id")
+    out = out if keep is None else out.where(keep)
+    out = out.withColumns({"z": c[2], "px": F.rint(u).cast("long"), "py": F.rint(v).cast("long")}).where("z > 0")
+    if "width" in rig.columns:
+        out = out.where("px >= 0 AND py >= 0 AND px < r_width AND py < r_height")
+    return out
+
+
+def _met(there: DataFrame, depth: DataFrame, *more: str) -> DataFrame:
+    """What seen_in() found, with the foreground depth d at its pixel."""
+    d = depth.where("alpha >= 128").select("frame_id", F.col("camera_index").alias("r_camera_index"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("depth").alias("d"), *[F.col(c).alias(f"d_{c}") for c in more])
+    return there.join(d, ["frame_id", "r_camera_index", "px", "py"])
+
+
+def consistency(points: DataFrame, depth: DataFrame, rig: DataFrame, tau: float, least_cos: float | None = None) -> DataFrame:
+    """1 plus the other cameras whose depth at the point's pixel agrees within tau; with least_cos, points have a world normal nx, ny, nz and
+    a camera counts only if the cosine between it and the way to the camera is no less."""
+    agree = _met(seen_in(points, rig, F.col("camera_index") != F.col("r_camera_index")), depth).where(F.abs(F.col("z") - F.col("d")) < tau)
+    if least_cos is not None:
+        way = G.normalize(G.sub(G.camera_position(F.col("r_rotation"), F.col("r_translation")), G.vec(names=("wx", "wy", "wz"))))
+        agree = agree.where(G.dot(G.vec(names=("nx", "ny", "nz")), way) >= least_cos)
+    key = ["frame_id", "camera_index", "x", "y"]
+    n = agree.groupBy(*key).agg(F.count("*").alias("n"))
+    return points.join(n, key, "left").withColumn("views", 1 + F.coalesce("n", F.lit(0))).drop("n")
+
 
+def with_world_normals(points: DataFrame, depth: DataFrame, rig: DataFrame, fx: float, fy: float, cx: float, cy: float) -> DataFrame:
+    """Points of unproject() with their pixel's normal turned into the world."""
+    key = ["frame_id", "camera_index", "x", "y"]
+    n = depth_normals(depth, fx, fy, cx, cy).join(rig.select("frame_id", "camera_index", "rotation"), key[:2])
+    w = G.rotated(F.col("rotation"), G.vec(names=("nx", "ny", "nz")), back=True)
+    return points.join(n.select(*key, *[c.alias(k) for c, k in zip(w, ("nx", "ny", "nz"), strict=True)]), key)
 
-def consistency(points: DataFrame, depth: DataFrame, rig: DataFrame, tau: float) -> DataFrame:
-    """1 plus the other cameras whose depth at the point's pixel agrees within tau."""
-    there = seen_in(points, rig, F.col("camera_index") != F.col("r_camera_index"))
-    d = depth.where("alpha >= 128").select(F.col("camera_index").alias("d_c"), F.col("x").alias("d_x"), F.col("y").alias("d_y"), F.col("depth").alias("d"))
-    agree = there.join(d, (F.col("r_camera_index") == F.col("d_c")) & (F.col("px") == F.col("d_x")) & (F.col("py") == F.col("d_y"))).where(F.abs(F.col("z") - F.col("d")) < tau)
-    n = agree.groupBy("camera_index", "x", "y").agg(F.count("*").alias("n"))
-    return points.join(n, ["camera_index", "x", "y"], "left").withColumn("views", 1 + F.coalesce("n", F.lit(0))).drop("n")
+
+def fuse(depth: DataFrame, rig: DataFrame, near: float, far: float, tau: float, views: int, least_cos: float | None = None, lens: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Point-cloud fusion: the points of all cameras that so many cameras agree on. lens (fx, fy, cx, cy) for normals, which the angle
+    condition needs."""
+    points = unproject(depth, rig, near, far)
+    if lens is not None:
+        points = with_world_normals(points, depth, rig, *lens)
+    return consistency(points, depth, rig, tau, least_cos).where(F.col("views") >= views)
 
 
 def depth_normals(depth: DataFrame, fx: float, fy: float, cx: float, cy: float) -> DataFrame:
     """Camera-space normals from the four neighbours; towards the viewer where one is missing."""
-    c = depth.select("camera_index", "x", "y", "depth")
+    c = depth.select("frame_id", "camera_index", "x", "y", "depth")
     steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k, i, j in (("r", -1, 0), ("l", 1, 0), ("d", 0, -1), ("u", 0, 1))])
-    moved = c.select("camera_index", F.explode(steps).alias("s"), "x", "y", "depth")
-    moved = moved.select("camera_index", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"), F.col("s.k").alias("k"), "depth")
-    near = moved.groupBy("camera_index", "x", "y").agg(*[F.max(F.when(F.col("k") == k, F.col("depth"))).alias(k) for k in "rldu"])
-    p = c.join(near, ["camera_index", "x", "y"], "left")
+    moved = c.select("frame_id", "camera_index", F.explode(steps).alias("s"), "x", "y", "depth")
+    moved = moved.select("frame_id", "camera_index", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"), F.col("s.k").alias("k"), "depth")
+    near = moved.groupBy("frame_id", "camera_index", "x", "y").agg(*[F.max(F.when(F.col("k") == k, F.col("depth"))).alias(k) for k in "rldu"])
+    p = c.join(near, ["frame_id", "camera_index", "x", "y"], "left")
     at = lambda i, j, d: G.unproject(F.col("x") + i, F.col("y") + j, F.col(d), fx, fy, cx, cy)
     n = G.normalize(G.cross(G.sub(at(0, 1, "d"), at(0, -1, "u")), G.sub(at(1, 0, "r"), at(-1, 0, "l"))))
     whole = F.col("r").isNotNull() & F.col("l").isNotNull() & F.col("d").isNotNull() & F.col("u").isNotNull()
-    return p.select("camera_index", "x", "y", *[F.when(whole, v).otherwise(w).alias(k) for v, w, k in zip(n, (0.0, 0.0, -1.0), ("nx", "ny", "nz"), strict=True)])
+    return p.select("frame_id", "camera_index", "x", "y", *[F.when(whole, v).otherwise(w).alias(k) for v, w, k in zip(n, (0.0, 0.0, -1.0), ("nx", "ny", "nz"), strict=True)])
 
 
-def reproject(depth: DataFrame, shift: tuple[float, float, float], fx: float, fy: float, cx: float, cy: float, width: int, height: int) -> DataFrame:
-    """Depth seen by a camera that moved: pixels are re-keyed, the most confident wins a pixel, then the nearest."""
+def reproject(depth: DataFrame, shift: tuple[float, float, float], fx: float, fy: float, cx: float, cy: float, width: int, height: int, threshold: float = 0.0) -> DataFrame:
+    """Depth seen by a camera that moved: pixels of enough confidence are re-keyed, the most confident wins a pixel, then the nearest."""
     w = G.sub(G.unproject(F.col("x"), F.col("y"), F.col("depth"), fx, fy, cx, cy), tuple(F.lit(s) for s in shift))
     u, v = G.project(w, fx, fy, cx, cy)
-    out = depth.select("camera_index", F.rint(u).cast("long").alias("px"), F.rint(v).cast("long").alias("py"), w[2].alias("z"), "confidence").where("z > 0")
+    out = depth.where(F.col("confidence") >= threshold).select("frame_id", "camera_index", F.rint(u).cast("long").alias("px"), F.rint(v).cast("long").alias("py"), w[2].alias("z"), "confidence").where("z > 0")
     out = out.where(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1))
-    return out.groupBy("camera_index", "px", "py").agg(F.max_by("z", F.struct("confidence", -F.col("z"))).alias("depth"), F.max("confidence").alias("confidence"))
-
-
-def tsdf(voxels: DataFrame, depth: DataFrame, rig: DataFrame, truncation: float, cap: float = 128.0) -> DataFrame:
-    """Truncated signed distance of each voxel over the cameras in order: a running mean whose weight is capped."""
-    there = seen_in(voxels, rig)
-    d = depth.where("alpha >= 128").select(F.col("camera_index").alias("d_c"), F.col("x").alias("d_x"), F.col("y").alias("d_y"), F.col("depth").alias("d"))
-    hit = there.join(d, (F.col("r_camera_index") == F.col("d_c")) & (F.col("px") == F.col("d_x")) & (F.col("py") == F.col("d_y"))).withColumn("sdf", F.col("d") - F.col("z")).where(F.col("sdf") >= -truncation)
-    held = hit.groupBy("voxel_id").agg(F.array_sort(F.collect_list(F.struct(F.col("r_camera_index").alias("c"), F.least(F.lit(1.0), F.col("sdf") / truncation).alias("t")))).alias("ts"))
-    zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("w"))
-    fold = F.aggregate("ts", zero, lambda s, x: F.struct(((s["t"] * s["w"] + x["t"]) / (s["w"] + 1)).alias("t"), F.least(F.lit(cap), s["w"] + 1).alias("w")))
-    return held.select("voxel_id", fold.alias("f")).select("voxel_id", F.col("f.t").alias("tsdf"), F.col("f.w").alias("weight"))
-
-
-def crossings(grid: DataFrame) -> DataFrame:
-    """Where the distance changes sign between a voxel and its next one along x, y or z: axis, and place between the two."""
+    return out.groupBy("frame_id", "camera_index", "px", "py").agg(F.max_by("z", F.struct("confidence", -F.col("z"))).alias("depth"), F.max("confidence").alias("confidence"))
+
+
+def tsdf(voxels: DataFrame, depth: DataFrame, rig: DataFrame, truncation: float, cap: float = 128.0, by_angle: bool = False, color: str | None = None) -> DataFrame:
+    """Truncated signed distance of each voxel over the cameras in order: a running mean whose weight is capped. by_angle weighs a camera by
+    the cosine of the view ray, 0.1 at least. color names a column of the depth table from 0 to 255 that is folded along, cut to whole
+    numbers at each step."""
+    hit = _met(seen_in(voxels, rig), depth, *([color] if color else [])).withColumn("sdf", F.col("d") - F.col("z")).where(F.col("sdf") >= -truncation)
+    weight = F.lit(1.0)
+    if by_angle:
+        t = F.col("r_translation")
+        c = G.add(G.rotated(F.col("r_rotation"), G.vec(names=("wx", "wy", "wz"))), (t[0], t[1], t[2]))
+        weight = F.greatest(F.lit(0.1), F.col("z") / G.length(c))
+    seen = F.struct(F.col("r_camera_index").alias("c"), F.least(F.lit(1.0), F.col("sdf") / truncation).alias("t"), weight.alias("w"), (F.col(f"d_{color}").cast("double") if color else F.lit(0.0)).alias("v"))
+    held = hit.groupBy("voxel_id").agg(F.array_sort(F.collect_list(seen)).alias("ts"))
+    zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("w"), F.lit(0.0).alias("v"))
+
+    def add(s, x):
+        w = F.least(F.lit(cap), s["w"] + x["w"])
+        share = x["w"] / w
+        return F.struct(((s["t"] * s["w"] + x["t"] * x["w"]) / w).alias("t"), w.alias("w"), F.floor(s["v"] * (1 - share) + x["v"] * share).cast("double").alias("v"))
+
+    out = held.select("voxel_id", F.aggregate("ts", zero, add).alias("f")).select("voxel_id", F.col("f.t").alias("tsdf"), F.col("f.w").alias("weight"), F.col("f.v").alias("color"))
+    return out if color else out.drop("color")
+
+
+def observed(grid: DataFrame, least_weight: float = 1.0) -> DataFrame:
+    """Voxels that were seen often enough for a surface."""
+    return grid.where(F.col("weight") >= least_weight)
+
+
+def surface_points(grid: DataFrame, far: float = 0.99) -> DataFrame:
+    """Crossings between observed voxels, from ones not far from the surface, with the normal along the gradient of the distance: central
+    differences, 0 along an axis where a neighbour is missing."""
+    keep = observed(grid)
+    near = crossings(keep.where(F.abs("sdf") <= far).select("vx", "vy", "vz", "sdf"), keep)
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(l).alias("l")) for k, i, j, l in (("xa", 1, 0, 0), ("xb", -1, 0, 0), ("ya", 0, 1, 0), ("yb", 0, -1, 0), ("za", 0, 0, 1), ("zb", 0, 0, -1))])
+    moved = grid.select("vx", "vy", "vz", "sdf", F.explode(steps).alias("s")).select((F.col("vx") + F.col("s.i")).alias("vx"), (F.col("vy") + F.col("s.j")).alias("vy"), (F.col("vz") + F.col("s.l")).alias("vz"), F.col("s.k").alias("k"), "sdf")
+    ends = moved.groupBy("vx", "vy", "vz").agg(*[F.max(F.when(F.col("k") == k, F.col("sdf"))).alias(k) for k in ("xa", "xb", "ya", "yb", "za", "zb")])
+    g = tuple(F.coalesce(F.col(f"{c}b") - F.col(f"{c}a"), F.lit(0.0)) for c in "xyz")
+    n = G.length(g)
+    unit = [F.when(n > 1e-8, x / n).otherwise(x).alias(k) for x, k in zip(g, ("nx", "ny", "nz"), strict=True)]
+    return near.join(ends, ["vx", "vy", "vz"]).select("vx", "vy", "vz", "axis", "t", *unit)
+
+
+def crossings(grid: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Where the distance changes sign between a voxel and its next one along x, y or z (of others, if given): axis, and place between the
+    two."""
     steps = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for a, i, j, k in (("x", 1, 0, 0), ("y", 0, 1, 0), ("z", 0, 0, 1))])
     a = grid.select("vx", "vy", "vz", F.col("sdf").alias("s0"), F.explode(steps).alias("s")).select("vx", "vy", "vz", "s0", F.col("s.axis").alias("axis"), (F.col("vx") + F.col("s.i")).alias("bx"), (F.col("vy") + F.col("s.j")).alias("by"), (F.col("vz") + F.col("s.k")).alias("bz"))
-    b = grid.select(F.col("vx").alias("bx"), F.col("vy").alias("by"), F.col("vz").alias("bz"), F.col("sdf").alias("s1"))
+    b = (grid if others is None else others).select(F.col("vx").alias("bx"), F.col("vy").alias("by"), F.col("vz").alias("bz"), F.col("sdf").alias("s1"))
     return a.join(b, ["bx", "by", "bz"]).where("(s0 < 0) <> (s1 < 0)").select("vx", "vy", "vz", "axis", G.edge_crossing(F.col("s0"), F.col("s1")).alias("t"))
 
 

@@ -98,3 +98,28 @@ def ssim_by_frame(pixels: DataFrame, other: DataFrame) -> DataFrame:
 def summary(scores: DataFrame, value: str) -> DataFrame:
     v = F.round(value, 4)
     return scores.agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
+def masked(images: DataFrame, masks: DataFrame, value: str) -> DataFrame:
+    """Pixels times the mask of the same frame, camera and place; pixels without a mask stay."""
+    key = ["frame_id", "camera_index", "x", "y"]
+    return images.join(masks, key, "left").select(*key, (F.col(value) * F.coalesce("mask", F.lit(1.0))).alias(value))
+
+
+def gate(scores: DataFrame, value: str, least: float = 20.0) -> DataFrame:
+    """How many frames fall below a score, the worst one, and a warning if their mean does."""
+    verdict = F.when(F.avg(value) < least, "warning").otherwise("ok")
+    return scores.agg(F.count("*").alias("frames"), F.count_if(F.col(value) < least).alias("poor"), F.min(value).alias("least"), verdict.alias("verdict"))
+
+
+def flow(pixels: DataFrame, reach: int = 2, block: int = 8) -> DataFrame:
+    """(frame_id, bx, by, dx, dy, error): the shift within reach that best explains each block of a frame from the frame before it, by mean
+    absolute difference; ties go to the shorter shift, then by dx and dy. Shifts that leave the image count by what is left in it."""
+    shifts = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])
+    now = pixels.select("frame_id", "x", "y", F.col("v").alias("now"), F.explode(shifts).alias("s"))
+    now = now.select("frame_id", "now", "s.dx", "s.dy", F.floor(F.col("x") / block).alias("bx"), F.floor(F.col("y") / block).alias("by"), (F.col("x") - F.col("s.dx")).alias("x"), (F.col("y") - F.col("s.dy")).alias("y"))
+    before = pixels.select((F.col("frame_id") + 1).alias("frame_id"), "x", "y", "v")
+    cost = now.join(before, ["frame_id", "x", "y"]).groupBy("frame_id", "bx", "by", "dx", "dy").agg(F.round(F.avg(F.abs(F.col("now") - F.col("v"))), 9).alias("error"))
+    size = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
+    best = cost.groupBy("frame_id", "bx", "by").agg(F.min(F.struct("error", size.alias("size"), "dx", "dy")).alias("b"))
+    return best.select("frame_id", "bx", "by", "b.dx", "b.dy", "b.error")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxelweave.functions import geometry as G
+from voxelweave.operators.sync import by_range, numbered
 
 
 def with_corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -51,11 +52,89 @@ def vertex_normals(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def compaction(faces: DataFrame) -> DataFrame:
-    """(vid, new_id): used vertices renumbered in the order of their first use. Ranks come from a global sort: the numbers of each
-    range partition, then the rows in it."""
+    """(vid, new_id): used vertices renumbered in the order of their first use, by ranges of that order."""
     corners = faces.select("fid", F.posexplode(F.array("i0", "i1", "i2")).alias("k", "vid"))
-    first = corners.groupBy("vid").agg(F.min(F.struct("fid", "k")).alias("f"))
-    return first.select("vid", (F.row_number().over(Window.orderBy("f")) - 1).cast("long").alias("new_id"))
+    first = corners.groupBy("vid").agg(F.min(F.struct("fid", "k")).alias("f")).select("vid", "f.fid", "f.k")
+    return numbered(first, ["fid", "k"], "new_id").select("vid", "new_id")
+
+
+def prefix_sum(rows: DataFrame, order: str | list[str], value: str, out: str) -> DataFrame:
+    """Sum of the values before each row in an order over all rows: ranges of the order are summed on their own, then what is before each
+    range is added."""
+    order = [order] if isinstance(order, str) else order
+    dealt = by_range(rows, order)
+    sums = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(out, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
+def compacted(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) with new ids and without unused vertices."""
+    ids = compaction(faces)
+    out = faces
+    for k in range(3):
+        out = out.join(ids.select(F.col("vid").alias(f"i{k}"), F.col("new_id").alias(f"n{k}")), f"i{k}")
+    kept = vertices.join(ids, "vid").select(F.col("new_id").alias("vid"), *[c for c in vertices.columns if c != "vid"])
+    return kept, out.select("fid", *[F.col(f"n{k}").alias(f"i{k}") for k in range(3)])
+
+
+def unwrap(faces: DataFrame, vertices: DataFrame, margin: float = 0.01) -> DataFrame:
+    """(fid, corner, vid, chart, u, v): planar charts. A face belongs to the axis and side that its normal is nearest to; the six charts lie
+    in the cells of a 3 x 2 grid, each scaled to its own bounds. Stands in for a chart search."""
+    n = _normal()
+    size = [F.abs(c) for c in n]
+    axis = F.when((size[0] >= size[1]) & (size[0] >= size[2]), 0).when(size[1] >= size[2], 1).otherwise(2)
+    f = with_corners(faces, vertices).withColumn("axis", axis)
+    facing = F.when(F.col("axis") == 0, n[0]).when(F.col("axis") == 1, n[1]).otherwise(n[2])
+    f = f.withColumn("chart", 2 * F.col("axis") + (facing < 0).cast("int"))
+    place = lambda s: (F.when(F.col("axis") == 0, F.col(f"{s}y")).otherwise(F.col(f"{s}x")), F.when(F.col("axis") == 2, F.col(f"{s}y")).otherwise(F.col(f"{s}z")))
+    corners = F.array(*[F.struct(F.lit(k).alias("corner"), F.col(f"i{k}").alias("vid"), place(s)[0].alias("a"), place(s)[1].alias("b")) for k, s in enumerate("abc")])
+    c = f.select("fid", "chart", F.inline(corners))
+    box = c.groupBy("chart").agg(*[g(x).alias(f"{m}{x}") for x in "ab" for m, g in (("lo", F.min), ("hi", F.max))])  # six rows at most
+    c = c.join(F.broadcast(box), "chart")
+    span = lambda x: F.when(F.col(f"hi{x}") > F.col(f"lo{x}"), F.col(f"hi{x}") - F.col(f"lo{x}")).otherwise(1.0)
+    cell = lambda x, at, of: (at + margin + (1 - 2 * margin) * (F.col(x) - F.col(f"lo{x}")) / span(x)) / of
+    return c.select("fid", "corner", "vid", "chart", cell("a", F.expr("chart div 2"), 3).alias("u"), cell("b", F.col("chart") % 2, 2).alias("v"))
+
+
+def pipeline(faces: DataFrame, vertices: DataFrame, size: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vertices, faces, metrics): a mesh validated, cleaned, simplified if a cell size is given, compacted, and given normals. metrics has
+    a row for each stage with its counts, and the share of faces that are left. What later stages read again is persisted."""
+    stages = [("input", vertices, faces)]
+    good = clean(faces, vertices).persist()
+    stages.append(("clean", vertices, good))
+    if size is not None:
+        vertices, good = (x.persist() for x in cluster(vertices, good, size))
+        stages.append(("simplify", vertices, good))
+    vertices, good = (x.persist() for x in compacted(good, vertices))
+    vertices = vertices.join(vertex_normals(good, vertices), "vid", "left")
+    stages.append(("output", vertices, good))
+    rows = None
+    for nth, (name, v, f) in enumerate(stages):
+        row = validity(f, v.select("vid")).select(F.lit(nth).alias("nth"), F.lit(name).alias("stage"), "vertices", "faces", "valid")
+        rows = row if rows is None else rows.unionByName(row)
+    first = faces.agg(F.count("*").alias("_first"))
+    metrics = rows.crossJoin(F.broadcast(first)).withColumn("kept", F.when(F.col("_first") > 0, F.col("faces") / F.col("_first")).otherwise(0.0)).drop("_first")
+    return vertices, good, metrics
+
+
+def from_flat(meshes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of rows that hold whole meshes: mesh_id, positions (x, y, z one after the other) and indices (three to a face).
+    Ids count from 0 in each mesh; what is left over of a last triple is ignored."""
+    triples = lambda c: F.transform(F.sequence(F.lit(0), F.expr(f"size({c}) div 3 - 1")), lambda i: F.slice(c, 3 * i + 1, 3))
+    v = meshes.where("size(positions) >= 3").select("mesh_id", F.posexplode(triples("positions")).alias("vid", "p"))
+    f = meshes.where("size(indices) >= 3").select("mesh_id", F.posexplode(triples("indices")).alias("fid", "i"))
+    return v.select("mesh_id", F.col("vid").cast("long").alias("vid"), *[F.col("p")[k].alias(c) for k, c in enumerate("xyz")]), f.select("mesh_id", F.col("fid").cast("long").alias("fid"), *[F.col("i")[k].cast("long").alias(f"i{k}") for k in range(3)])
+
+
+def to_flat(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """One row for each mesh, its positions and indices one after the other; the inverse of from_flat(). A row holds a whole mesh, as its
+    file does."""
+    row = lambda df, key, cols: df.groupBy("mesh_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(key, F.array(*cols).alias("a")))), lambda r: r["a"])).alias("flat"))
+    p = row(vertices, "vid", ["x", "y", "z"]).withColumnRenamed("flat", "positions")
+    i = row(faces, "fid", ["i0", "i1", "i2"]).withColumnRenamed("flat", "indices")
+    return p.join(i, "mesh_id", "left").select("mesh_id", "positions", F.coalesce("indices", F.array().cast("array<long>")).alias("indices"))
 
 
 def cluster(vertices: DataFrame, faces: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
@@ -70,22 +149,39 @@ def cluster(vertices: DataFrame, faces: DataFrame, size: float) -> tuple[DataFra
     return cells.select(F.col("new_id").alias("vid"), "x", "y", "z"), out
 
 
-def occluded(points: DataFrame, faces: DataFrame, vertices: DataFrame, camera: tuple[float, float, float], cell: float = 4.0) -> DataFrame:
-    """Points (vid, x, y, z) whose segment to the camera meets a face that is not theirs. Segments and faces meet in the cells that
-    their xy boxes cover, so the join is an equi-join."""
-    eye = tuple(F.lit(float(c)) for c in camera)
-
-    def cells(df: DataFrame, xs: list, ys: list) -> DataFrame:
-        low = lambda v: F.floor(F.least(*v) / cell).cast("long")
-        high = lambda v: F.floor(F.greatest(*v) / cell).cast("long")
-        return df.withColumn("gx", F.explode(F.sequence(low(xs), high(xs)))).withColumn("gy", F.explode(F.sequence(low(ys), high(ys))))
-
-    f = cells(with_corners(faces, vertices), [F.col(f"{s}x") for s in "abc"], [F.col(f"{s}y") for s in "abc"])
-    p = cells(points.select(F.col("vid").alias("pid"), *[F.col(c).alias(f"p{c}") for c in "xyz"]), [F.col("px"), eye[0]], [F.col("py"), eye[1]])
-    o = G.vec("p")
+def occluded(points: DataFrame, faces: DataFrame, vertices: DataFrame, eyes: DataFrame, cell: float = 4.0) -> DataFrame:
+    """Points (frame_id, vid, x, y, z) whose segment to their frame's eye (frame_id, ex, ey, ez) meets a face that is not theirs. A segment
+    is in the xy cells that it passes, a face in those of its box, so the join is an equi-join; crowded cells are split by AQE."""
+    at = lambda v: F.floor(v / cell).cast("long")
+    corner = lambda c, f: f(*[F.col(f"{s}{c}") for s in "abc"])
+    f = with_corners(faces, vertices)
+    for g, c in (("gx", "x"), ("gy", "y")):
+        f = f.withColumn(g, F.explode(F.sequence(at(corner(c, F.least)), at(corner(c, F.greatest)))))
+    p = points.select("frame_id", F.col("vid").alias("pid"), *[F.col(c).alias(f"p{c}") for c in "xyz"]).join(eyes, "frame_id")
+    p = p.withColumn("gx", F.explode(F.sequence(at(F.least("px", "ex")), at(F.greatest("px", "ex")))))
+    # where the segment enters and leaves the column of cells
+    slope = (F.col("ey") - F.col("py")) / F.when(F.col("ex") != F.col("px"), F.col("ex") - F.col("px"))
+    low, high = F.greatest(F.col("gx") * cell, F.least("px", "ex")), F.least((F.col("gx") + 1) * cell, F.greatest("px", "ex"))
+    y0, y1 = (F.coalesce(F.col("py") + slope * (x - F.col("px")), y) for x, y in ((low, F.col("py")), (high, F.col("ey"))))
+    slack = 1e-9 * cell
+    p = p.withColumn("gy", F.explode(F.sequence(at(F.least(y0, y1) - slack), at(F.greatest(y0, y1) + slack))))
+    o, eye = G.vec("p"), G.vec(names=("ex", "ey", "ez"))
     t = G.ray_triangle(o, G.sub(eye, o), G.vec("a"), G.vec("b"), G.vec("c"))
     own = (F.col("pid") == F.col("i0")) | (F.col("pid") == F.col("i1")) | (F.col("pid") == F.col("i2"))
-    return p.join(f, ["gx", "gy"]).where(~own & (t > 1e-6) & (t < 1 - 1e-6)).select(F.col("pid").alias("vid")).distinct()
+    return p.join(f, ["gx", "gy"]).where(~own & (t > 1e-6) & (t < 1 - 1e-6)).select("frame_id", F.col("pid").alias("vid")).distinct()
+
+
+def texel_views(texels: DataFrame, faces: DataFrame, vertices: DataFrame, cameras: DataFrame, least: float = 0.25) -> DataFrame:
+    """Each texel with the cameras of its frame that its face looks towards: cosine (n_dot_c) and distance. texels: frame_id, fid, tx, ty,
+    w0, w1, w2; cameras: frame_id, camera_index, x, y, z."""
+    corners = with_corners(faces, vertices)
+    n = G.normalize(_normal())
+    f = corners.select("fid", *[F.col(f"{s}{c}") for s in "abc" for c in "xyz"], *[x.alias(k) for x, k in zip(n, ("nx", "ny", "nz"), strict=True)])
+    place = [sum((F.col(w) * F.col(f"{s}{c}") for w, s in (("w0", "a"), ("w1", "b"), ("w2", "c"))), F.lit(0.0)).alias(f"p{c}") for c in "xyz"]
+    t = texels.join(f, "fid").select("frame_id", "fid", "tx", "ty", "nx", "ny", "nz", *place)
+    c = cameras.select("frame_id", "camera_index", *[F.col(k).alias(f"c{k}") for k in "xyz"])
+    way = G.sub(G.vec("c"), G.vec("p"))
+    return t.join(c, "frame_id").withColumns({"distance": G.length(way), "n_dot_c": G.dot(G.vec(names=("nx", "ny", "nz")), G.normalize(way))}).where(F.col("n_dot_c") >= least).select("frame_id", "fid", "tx", "ty", "camera_index", "n_dot_c", "distance")
 
 
 def texels(faces: DataFrame, uv: DataFrame, size: int, eps: float = -1e-3) -> DataFrame:

@@ -105,3 +105,23 @@ def cell_runs(splats: DataFrame, size: float) -> DataFrame:
 def bounds(splats: DataFrame) -> DataFrame:
     """Bounding box of each frame."""
     return splats.groupBy("frame_id").agg(*[f(c).alias(f"{n}_{c}") for c in ("px", "py", "pz") for n, f in (("min", F.min), ("max", F.max))])
+
+
+def keyframe_deltas(splats: DataFrame, interval: int) -> DataFrame:
+    """Splats of the frames between keyframes against their last keyframe, by splat_id: moved (with the differences), added, or removed
+    (those of the keyframe that the frame lacks)."""
+    cols = ("px", "py", "pz", "qw", "qx", "qy", "qz")
+    key = F.col("frame_id") - F.col("frame_id") % interval
+    now = splats.where(F.col("frame_id") % interval != 0).withColumn("key_id", key)
+    k = splats.where(F.col("frame_id") % interval == 0).select(F.col("frame_id").alias("key_id"), "splat_id", *[F.col(c).alias(f"k_{c}") for c in cols])
+    base = now.select("frame_id", "key_id").distinct().join(k, "key_id")  # what a keyframe has, for each of its frames
+    rows = base.join(now.select("frame_id", "splat_id", *cols, "opacity"), ["frame_id", "splat_id"], "full")
+    kind = F.when(F.col("k_px").isNull(), "added").when(F.col("px").isNull(), "removed").otherwise("moved")
+    return rows.select("frame_id", "splat_id", kind.alias("kind"), *[(F.col(c) - F.col(f"k_{c}")).alias(f"d{c}") for c in cols], "opacity")
+
+
+def concatenated(parts: dict[int, DataFrame]) -> DataFrame:
+    """The partial results of several workers as one table, each row with its worker."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [p.withColumn("worker_id", F.lit(w).cast("long")) for w, p in parts.items()])

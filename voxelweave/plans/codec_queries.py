@@ -15,19 +15,42 @@ def blob_sizes(spark, d):
     return D.encode_frames(V.splats(spark, d)).select("frame_id", "splats", F.octet_length("payload").cast("long").alias("bytes"))
 
 
-@query("blob_round_trip")
+_RANKED = f"{V.SPLATS}, n AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY splat_id) - 1 AS k FROM splats)"
+
+
+def _q(x: str, top: int) -> str:
+    return f"floor(least(1, greatest(0, {x}))*{top}+0.5)/{top}"
+
+
+@query(
+    "blob_round_trip",
+    f"""WITH {_RANKED}, b AS (SELECT frame_id, CAST(min(px) - ((max(px)-min(px))*0.001 + 1e-6) AS FLOAT) AS lo, CAST(max(px) + ((max(px)-min(px))*0.001 + 1e-6) AS FLOAT) AS hi FROM splats GROUP BY 1)
+SELECT frame_id, k AS splat_id, round(CAST(lo AS DOUBLE) + {_q("(px - CAST(lo AS DOUBLE)) / CAST(hi - lo AS DOUBLE)", 65535)} * (CAST(hi AS DOUBLE) - CAST(lo AS DOUBLE)), 5) AS px, round({_q("opacity", 255)}, 6) AS opacity, round({_q("(sh[1]+5)/10", 255)}*10-5, 5) AS sh0 FROM n JOIN b USING (frame_id)""",
+)
 def blob_round_trip(spark, d):
-    return D.decode_frames(D.encode_frames(V.splats(spark, d))).select("frame_id", "splat_id", "px", "opacity")
+    out = D.decode_frames(D.encode_frames(V.splats(spark, d)))
+    return out.select("frame_id", "splat_id", F.round("px", 5).alias("px"), F.round("opacity", 6).alias("opacity"), F.round(F.col("sh")[0], 5).alias("sh0"))
 
 
-@query("spz_round_trip", f"WITH {V.SPLATS}, n AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY splat_id) - 1 AS k FROM splats) SELECT frame_id, k AS splat_id, round(least(1, greatest(0, opacity)) * 255) / 255 AS opacity FROM n")
+@query(
+    "spz_round_trip",
+    f"""WITH {_RANKED}, b AS (SELECT frame_id, min(py) AS lo, max(py) AS hi FROM splats GROUP BY 1)
+SELECT frame_id, k AS splat_id, round(round_even(least(1, greatest(0, opacity)) * 255, 0) / 255, 6) AS opacity, round(lo + round_even((py-lo)/(hi-lo)*65535, 0)/65535*(hi-lo), 4) AS py, round(sx, 4) AS sx, round(round_even((qw+1)/2*255, 0)/255*2-1, 6) AS qw, round(round_even(least(1, greatest(0, (sh[48]+5)/10))*255, 0)/255*10-5, 6) AS sh47 FROM n JOIN b USING (frame_id)""",
+)
 def spz_round_trip(spark, d):
-    return D.decode_frames(D.encode_frames(V.splats(spark, d), "spz"), "spz").select("frame_id", "splat_id", "opacity")
+    out = D.decode_frames(D.encode_frames(V.splats(spark, d), "spz"), "spz")
+    return out.select("frame_id", "splat_id", F.round("opacity", 6).alias("opacity"), F.round("py", 4).alias("py"), F.round("sx", 4).alias("sx"), F.round("qw", 6).alias("qw"), F.round(F.col("sh")[47], 6).alias("sh47"))
 
 
-@query("sequence_keyframes")
+@query(
+    "sequence_keyframes",
+    f"""WITH {V.STABLE}, r AS (SELECT * FROM splats WHERE splat_id <= 12 AND (splat_id <= 6 OR frame_id // 5 % 2 = 1)), i AS (SELECT frame_id, frame_id // 5 AS gop, string_agg(splat_id::VARCHAR, ',' ORDER BY splat_id) AS ids FROM r GROUP BY 1),
+l AS (SELECT *, lag(ids) OVER (PARTITION BY gop ORDER BY frame_id) AS before FROM i), k AS (SELECT frame_id, gop, before IS NULL OR before <> ids AS is_keyframe FROM l)
+SELECT frame_id, max(CASE WHEN is_keyframe THEN frame_id END) OVER (PARTITION BY gop ORDER BY frame_id) AS key_id, is_keyframe FROM k""",
+)
 def sequence_keyframes(spark, d):
-    return D.encode_sequence(V.splats(spark, d), 5).select("frame_id", "key_id", "is_keyframe")
+    s = V.stable_splats(spark, d).where("splat_id <= 12 AND (splat_id <= 6 OR frame_id div 5 % 2 = 1)")
+    return D.encode_sequence(s, 5).select("frame_id", "key_id", "is_keyframe")
 
 
 _KIND = "CASE type WHEN 'keyframe' THEN 0 WHEN 'delta' THEN 1 ELSE 2 END"
@@ -40,7 +63,18 @@ def packet_round_trip(spark, d):
     return out.select("kind", "flags", "frame_id", "timestamp_ms", F.col("payload").cast("string").cast("long").alias("event_id"))
 
 
-@query("splat_composite")
+@query(
+    "splat_composite",
+    f"""WITH {V.SPLATS}, g AS (SELECT frame_id, splat_id, px AS x, py AS y, pz + 3 AS z, sx*0.02 AS sx, sy*0.02 AS sy, sz*0.02 AS sz, qw, qx, qy, qz, opacity, least(1, greatest(0, 0.28209479*sh[1]+0.5)) AS red FROM splats WHERE pz + 3 > 0.1),
+m AS (SELECT *, (1-2*(qy*qy+qz*qz))*sx AS a1, 2*(qx*qy-qw*qz)*sy AS a2, 2*(qx*qz+qw*qy)*sz AS a3, 2*(qx*qy+qw*qz)*sx AS b1, (1-2*(qx*qx+qz*qz))*sy AS b2, 2*(qy*qz-qw*qx)*sz AS b3, 2*(qx*qz-qw*qy)*sx AS c1, 2*(qy*qz+qw*qx)*sy AS c2, (1-2*(qx*qx+qy*qy))*sz AS c3 FROM g),
+j AS (SELECT *, 40/z*a1 - 40*x/(z*z)*c1 AS u1, 40/z*a2 - 40*x/(z*z)*c2 AS u2, 40/z*a3 - 40*x/(z*z)*c3 AS u3, 40/z*b1 - 40*y/(z*z)*c1 AS v1, 40/z*b2 - 40*y/(z*z)*c2 AS v2, 40/z*b3 - 40*y/(z*z)*c3 AS v3 FROM m),
+p AS (SELECT frame_id, splat_id, z, opacity, red, x/z*40+24 AS u, y/z*40+16 AS v, u1*u1+u2*u2+u3*u3+0.3 AS a, u1*v1+u2*v2+u3*v3 AS b, v1*v1+v2*v2+v3*v3+0.3 AS c FROM j),
+q AS (SELECT *, 3*sqrt((a+c)/2 + sqrt(greatest(0, (a-c)*(a-c)/4 + b*b))) AS r FROM p),
+t AS (SELECT *, unnest(range(greatest(0, CAST(floor(v-r) AS BIGINT)), greatest(0, least(31, CAST(ceil(v+r) AS BIGINT))) + 1)) AS y FROM (SELECT *, unnest(range(greatest(0, CAST(floor(u-r) AS BIGINT)), greatest(0, least(47, CAST(ceil(u+r) AS BIGINT))) + 1)) AS x FROM q)),
+f AS (SELECT *, exp(-4.5 * (c*(x+0.5-u)*(x+0.5-u) - 2*b*(x+0.5-u)*(y+0.5-v) + a*(y+0.5-v)*(y+0.5-v))/(a*c-b*b)/9) * opacity AS alpha FROM t),
+o AS (SELECT *, coalesce(product(1-alpha) OVER (PARTITION BY frame_id, x, y ORDER BY z, splat_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS left_over FROM f WHERE alpha >= 1/255.0::DOUBLE)
+SELECT frame_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(sum(left_over*alpha*red), 4) AS r, round(sum(left_over*alpha), 4) AS coverage FROM o GROUP BY 1, 2, 3""",
+)
 def splat_composite(spark, d):
     s = V.splats(spark, d).withColumns({"pz": F.col("pz") + 3, "sx": F.col("sx") * 0.02, "sy": F.col("sy") * 0.02, "sz": F.col("sz") * 0.02})
     return R.composite(R.project_splats(s, 40.0, 40.0, 24.0, 16.0), 48, 32).select("frame_id", "x", "y", F.round("r", 4).alias("r"), F.round("coverage", 4).alias("coverage"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxelweave.functions import color as C
+from voxelweave.functions import lens as L
 from voxelweave.plans.registry import query
 from voxelweave.sources import views as V
 
@@ -13,8 +14,9 @@ from voxelweave.sources import views as V
 @query("frame_range_step", f"WITH {V.ARRIVALS}, r AS (SELECT min(frame_id) AS lo FROM arrivals) SELECT frame_id, count(*) AS arrivals FROM arrivals, r WHERE frame_id BETWEEN lo + 10 AND lo + 100 AND (frame_id - lo - 10) % 3 = 0 GROUP BY 1")
 def frame_range_step(spark, d):
     a = V.arrivals(spark, d)
-    lo = a.agg(F.min("frame_id")).first()[0] + 10
-    return a.where(F.col("frame_id").between(lo, lo + 90) & ((F.col("frame_id") - lo) % 3 == 0)).groupBy("frame_id").agg(F.count("*").alias("arrivals"))
+    lo = F.col("lo") + 10
+    rows = a.crossJoin(F.broadcast(a.agg(F.min("frame_id").alias("lo"))))  # one row
+    return rows.where(F.col("frame_id").between(lo, lo + 90) & ((F.col("frame_id") - lo) % 3 == 0)).groupBy("frame_id").agg(F.count("*").alias("arrivals"))
 
 
 @query("ring_of_four", f"WITH {V.ARRIVALS} SELECT worker_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY timestamp_ms DESC, event_id DESC) AS k FROM arrivals) WHERE k <= 4")
@@ -23,10 +25,10 @@ def ring_of_four(spark, d):
     return V.arrivals(spark, d).withColumn("k", F.row_number().over(w)).where("k <= 4").select("worker_id", "event_id")
 
 
-@query("nth_targets", f"WITH {V.CAMERAS} SELECT camera_index FROM (SELECT camera_index, row_number() OVER (ORDER BY camera_index) - 1 AS k FROM cameras) WHERE k % 3 = 0 ORDER BY camera_index LIMIT 2")
+@query("nth_targets", f"WITH {V.CAMERAS} SELECT rig, camera_index FROM (SELECT *, row_number() OVER (PARTITION BY rig ORDER BY camera_index) - 1 AS k FROM cameras) WHERE k % 3 = 0 AND k < 6")
 def nth_targets(spark, d):
-    k = F.row_number().over(Window.orderBy("camera_index")) - 1
-    return V.cameras(spark).select("camera_index", k.alias("k")).where("k % 3 = 0").orderBy("camera_index").limit(2).select("camera_index")
+    k = F.row_number().over(Window.partitionBy("rig").orderBy("camera_index")) - 1
+    return V.cameras(spark, d).select("rig", "camera_index", k.alias("k")).where("k % 3 = 0 AND k < 6").select("rig", "camera_index")
 
 
 @query("sample_k", "SELECT p_partkey FROM part ORDER BY md5(CAST(p_partkey AS VARCHAR) || ':42'), p_partkey LIMIT 25")
@@ -41,10 +43,19 @@ def file_names(spark, d):
     return V.table(spark, d, "supplier").select("s_suppkey", F.regexp_extract(name, r"cam_(\d+)", 1).cast("int").alias("camera_index"), F.format_string("sequence_%06d", "s_suppkey").alias("folder"))
 
 
-@query("intrinsics_scale", "SELECT i AS camera_index, round(1000.0::DOUBLE * 512 / (1920 - i), 6) AS fx, round((960.0::DOUBLE - i / 2.0::DOUBLE) * 512 / (1920 - i), 6) AS cx FROM range(8) t(i)")
+@query("intrinsics_scale", f"WITH {V.CAMERAS} SELECT rig, camera_index, round(1000.0::DOUBLE * 512 / (1920 - camera_index), 6) AS fx, round((960.0::DOUBLE - camera_index / 2.0::DOUBLE - rig % 3) * 512 / (1920 - camera_index), 6) AS cx FROM cameras")
 def intrinsics_scale(spark, d):
-    i = F.col("id")
-    return spark.range(8).select(i.alias("camera_index"), F.round(F.lit(1000.0) * 512 / (1920 - i), 6).alias("fx"), F.round((960.0 - i / 2) * 512 / (1920 - i), 6).alias("cx"))
+    i = F.col("camera_index")
+    k = V.cameras(spark, d).select("rig", "camera_index", F.lit(1000.0).alias("fx"), F.lit(1000.0).alias("fy"), (960.0 - i / 2).alias("cx"), F.lit(540.0).alias("cy"), (1920 - i).alias("width"), F.lit(1080).alias("height"))
+    out = L.scaled_intrinsics(k, 512, 512, left=F.col("rig") % 3)
+    return out.select("rig", "camera_index", F.round("fx", 6).alias("fx"), F.round("cx", 6).alias("cx"))
+
+
+@query("undistorted", f"WITH {V.DEPTH}, n AS (SELECT frame_id, camera_index, x, y, (x-16.0::DOUBLE)/30 AS u, (y-12.0::DOUBLE)/30 AS v FROM depth), r AS (SELECT *, u*u+v*v AS q FROM n) SELECT frame_id, camera_index, x, y, round(30*(u*(1-0.1::DOUBLE*q+0.01::DOUBLE*q*q-0.001::DOUBLE*q*q*q) + 2*0.002::DOUBLE*u*v + 0.001::DOUBLE*(q+2*u*u)) + 16, 6) AS sx, round(30*(v*(1-0.1::DOUBLE*q+0.01::DOUBLE*q*q-0.001::DOUBLE*q*q*q) + 0.002::DOUBLE*(q+2*v*v) + 2*0.001::DOUBLE*u*v) + 12, 6) AS sy FROM r")
+def undistorted(spark, d):
+    lens = F.array(*[F.lit(k) for k in (-0.1, 0.01, 0.002, 0.001, -0.001)])
+    p = L.distorted_places(V.depth(spark, d).select("frame_id", "camera_index", "x", "y"), 30.0, 30.0, 16.0, 12.0, lens)
+    return p.select("frame_id", "camera_index", "x", "y", F.round("sx", 6).alias("sx"), F.round("sy", 6).alias("sy"))
 
 
 @query("losses", f"WITH {V.SPLATS} SELECT frame_id, round(avg(abs(opacity - least(1, greatest(0, opacity)) )), 6) AS l1, round(avg(-(o*ln(o) + (1-o)*ln(1-o))), 6) AS entropy, round(avg(greatest(0, greatest(sx, sy, sz) - 1.1)), 6) AS scale_over FROM (SELECT *, least(1-1e-6, greatest(1e-6, opacity)) AS o FROM splats) GROUP BY 1")
@@ -68,35 +79,68 @@ def hex_codec(spark, d):
     return V.table(spark, d, "nation").select("n_nationkey", code.alias("code"), F.unhex(code).cast("string").alias("back"))
 
 
-@query("worker_health", f"WITH {V.ARRIVALS} SELECT worker_id, max(timestamp_ms) AS seen_ms, max(timestamp_ms) >= (SELECT max(timestamp_ms) FROM arrivals) - 600000 AS healthy FROM arrivals GROUP BY 1")
+@query("worker_health", f"WITH {V.ARRIVALS} SELECT worker_id, max(timestamp_ms) AS seen_ms, max(timestamp_ms) >= (SELECT max(timestamp_ms) FROM arrivals) - 5000 AS healthy FROM arrivals GROUP BY 1")
 def worker_health(spark, d):
     a = V.arrivals(spark, d).groupBy("worker_id").agg(F.max("timestamp_ms").alias("seen_ms"))
     now = a.agg(F.max("seen_ms").alias("now"))
-    return a.crossJoin(F.broadcast(now)).select("worker_id", "seen_ms", (F.col("seen_ms") >= F.col("now") - 600_000).alias("healthy"))
+    return a.crossJoin(F.broadcast(now)).select("worker_id", "seen_ms", (F.col("seen_ms") >= F.col("now") - 5000).alias("healthy"))
+
+
+_SAMPLES = "s AS (SELECT o_orderkey, o_custkey AS key, (o_orderkey % 10)/10.0::DOUBLE AS n, (o_orderkey % 7)/3.0::DOUBLE - 1 AS c, (o_orderkey % 13)/10.0::DOUBLE AS u, (o_orderkey % 11)/10.0::DOUBLE AS v, (o_orderkey % 17)/17.0::DOUBLE AS col FROM orders), w AS (SELECT *, n*greatest(c,0)*pow(least(1, greatest(0, n/0.26)), 2)*(3-2*least(1, greatest(0, n/0.26))) AS w FROM s)"
+
 
+def _samples(spark, d):
+    """Texture samples from orders: key, facing and viewing cosines, place in the image, colour."""
+    i = F.col("o_orderkey")
+    return V.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("key"), ((i % 10) / 10.0).alias("n_dot_c"), ((i % 7) / 3.0 - 1).alias("c_dot_v"), ((i % 13) / 10.0).alias("tex_u"), ((i % 11) / 10.0).alias("tex_v"), ((i % 17) / 17.0).alias("col"))
 
-@query("view_weights", "SELECT i AS k, round(n*greatest(c,0)*t*t*(3-2*t), 6) AS w FROM (SELECT i, n, c, least(1, greatest(0, n/0.26)) AS t FROM (SELECT i, (i % 10)/10.0::DOUBLE AS n, (i % 7)/3.0::DOUBLE - 1 AS c FROM range(200) t(i)))")
+
+@query("view_weights", f"WITH {_SAMPLES} SELECT o_orderkey, round(w, 6) AS w FROM w")
 def view_weights(spark, d):
-    i = F.col("id")
-    return spark.range(200).select(i.alias("k"), F.round(C.view_weight((i % 10) / 10.0, (i % 7) / 3.0 - 1), 6).alias("w"))
+    return _samples(spark, d).select("o_orderkey", F.round(C.view_weight(F.col("n_dot_c"), F.col("c_dot_v")), 6).alias("w"))
 
 
-@query(
-    "view_dependent_blend",
-    """WITH s AS (SELECT i % 50 AS key, (i % 10)/10.0::DOUBLE AS n, (i % 7)/3.0::DOUBLE - 1 AS c, (i % 13)/10.0::DOUBLE AS u, (i % 11)/10.0::DOUBLE AS v, (i % 17)/17.0::DOUBLE AS col FROM range(2000) t(i)),
-w AS (SELECT *, n*greatest(c,0)*pow(least(1, greatest(0, n/0.26)), 2)*(3-2*least(1, greatest(0, n/0.26))) AS w FROM s) SELECT key, round(sum(w*col)/sum(w), 6) AS col, count(*) AS views FROM w WHERE w >= 0.01 AND u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1 GROUP BY 1""",
-)
+@query("view_dependent_blend", f"WITH {_SAMPLES} SELECT key, round(sum(w*col)/sum(w), 6) AS col, count(*) AS views FROM w WHERE w >= 0.01 AND u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1 GROUP BY 1")
 def view_dependent_blend(spark, d):
     from voxelweave.operators import render as R
 
-    i = F.col("id")
-    s = spark.range(2000).select((i % 50).alias("key"), ((i % 10) / 10.0).alias("n_dot_c"), ((i % 7) / 3.0 - 1).alias("c_dot_v"), ((i % 13) / 10.0).alias("tex_u"), ((i % 11) / 10.0).alias("tex_v"), ((i % 17) / 17.0).alias("col"))
-    return R.view_blend(s).select("key", F.round("col", 6).alias("col"), "views")
+    return R.view_blend(_samples(spark, d)).select("key", F.round("col", 6).alias("col"), "views")
 
 
-@query("segment_lookup", "WITH s AS (SELECT i AS segment, i*30 AS a, i*30+29 AS b FROM range(20) t(i)) SELECT f AS frame, segment FROM range(0, 700, 7) t(f) JOIN s ON f BETWEEN a AND b")
+@query("segment_lookup", f"WITH {V.SEGMENTS} SELECT o_orderkey, segment FROM orders JOIN segments ON o_custkey BETWEEN start_frame AND end_frame")
 def segment_lookup(spark, d):
     from voxelweave.sources import readers
 
-    s = spark.range(20).select(F.col("id").alias("segment"), (F.col("id") * 30).alias("start_frame"), (F.col("id") * 30 + 29).alias("end_frame"), F.lit("u").alias("url"))
-    return readers.segment_of(s, spark.range(0, 700, 7).select(F.col("id").alias("frame"))).select("frame", "segment")
+    wanted = V.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("frame"))
+    return readers.segment_of(V.segments(spark, d), wanted).select("o_orderkey", "segment")
+
+
+@query("color_correction", f"WITH {V.PIXELS} SELECT frame_id, x, y, round(0.9::DOUBLE*v + 0.1::DOUBLE*v*v, 6) AS r, round(0.05::DOUBLE*v + 0.95::DOUBLE*(1-v), 6) AS b FROM pixels")
+def color_correction(spark, d):
+    v = F.col("v")
+    rgb = C.correct((v, v * v, 1 - v), [[0.9, 0.1, 0.0], [0.0, 1.0, 0.0], [0.05, 0.0, 0.95]])
+    return V.pixels(spark, d).select("frame_id", "x", "y", F.round(rgb[0], 6).alias("r"), F.round(rgb[2], 6).alias("b"))
+
+
+@query("kept_checkpoints", "SELECT c_nationkey AS run, c_custkey AS step FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS b FROM customer) WHERE k <= 3 OR b = 1")
+def kept_checkpoints(spark, d):
+    from voxelweave.operators import report as P
+
+    c = V.table(spark, d, "customer").select(F.col("c_nationkey").alias("run"), F.col("c_custkey").alias("step"), F.col("c_acctbal").alias("loss"))
+    return P.kept_checkpoints(c, 3).select("run", "step")
+
+
+@query("epoch_losses", "SELECT c_nationkey AS run, c_custkey // 30 AS epoch, round(avg(c_acctbal), 6) AS loss, count(*) AS steps FROM customer GROUP BY 1, 2")
+def epoch_losses(spark, d):
+    from voxelweave.operators import report as P
+
+    c = V.table(spark, d, "customer").select(F.col("c_nationkey").alias("run"), F.expr("c_custkey div 30").alias("epoch"), F.col("c_acctbal").cast("double").alias("loss"))
+    return P.epoch_losses(c).withColumn("loss", F.round("loss", 6))
+
+
+@query("harness_summary", f"WITH {V.ARRIVALS}, f AS (SELECT frame_id, count(*) AS splats, max(timestamp_ms) - min(timestamp_ms) AS ms FROM arrivals GROUP BY 1) SELECT count(*) AS frames, round(avg(splats), 4) AS mean_splats, round(avg(ms), 4) AS mean_ms, round(1000 / avg(ms), 4) AS fps FROM f")
+def harness_summary(spark, d):
+    from voxelweave.operators import report as P
+
+    f = V.arrivals(spark, d).groupBy("frame_id").agg(F.count("*").alias("splats"), (F.max("timestamp_ms") - F.min("timestamp_ms")).alias("ms"))
+    return P.harness_summary(f).select("frames", *[F.round(c, 4).alias(c) for c in ("mean_splats", "mean_ms", "fps")])

@@ -216,14 +216,24 @@ def depth_sorted_rank(spark, d):
 
 @query(
     "delta_vs_keyframe",
-    f"""WITH {V.SPLATS}, p AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY splat_id) AS at FROM splats), k AS (SELECT * FROM p WHERE frame_id % 5 = 0)
-SELECT p.frame_id, p.at, p.splat_id, round(p.px-k.px,6) AS dpx, round(p.py-k.py,6) AS dpy, round(p.pz-k.pz,6) AS dpz, round(p.qw-k.qw,6) AS dqw, round(p.opacity,6) AS opacity
-FROM p JOIN k ON k.frame_id = p.frame_id - p.frame_id % 5 AND k.at = p.at WHERE p.frame_id % 5 <> 0""",
+    f"""WITH {V.STABLE}, n AS (SELECT *, frame_id - frame_id % 5 AS key_id FROM splats), k AS (SELECT * FROM splats WHERE frame_id % 5 = 0), m AS (SELECT DISTINCT frame_id, key_id FROM n WHERE frame_id % 5 <> 0)
+SELECT n.frame_id, n.splat_id, CASE WHEN k.splat_id IS NULL THEN 'added' ELSE 'moved' END AS kind, round(n.px-k.px,6) AS dpx, round(n.py-k.py,6) AS dpy, round(n.pz-k.pz,6) AS dpz, round(n.qw-k.qw,6) AS dqw, round(n.opacity,6) AS opacity
+FROM n LEFT JOIN k ON k.frame_id = n.key_id AND k.splat_id = n.splat_id WHERE n.frame_id % 5 <> 0
+UNION ALL SELECT m.frame_id, k.splat_id, 'removed', NULL, NULL, NULL, NULL, NULL FROM m JOIN k ON k.frame_id = m.key_id WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.frame_id = m.frame_id AND n.splat_id = k.splat_id)""",
 )
 def delta_vs_keyframe(spark, d):
-    at = F.row_number().over(Window.partitionBy("frame_id").orderBy("splat_id")).cast("long")
-    cols = ("px", "py", "pz", "qw")
-    p = V.splats(spark, d).select("frame_id", "splat_id", *cols, "opacity").withColumn("at", at)
-    k = p.where("frame_id % 5 = 0").select(F.col("frame_id").alias("key_id"), F.col("at"), *[F.col(c).alias(f"k_{c}") for c in cols])
-    rows = p.where("frame_id % 5 <> 0").withColumn("key_id", F.col("frame_id") - F.col("frame_id") % 5).join(k, ["key_id", "at"])
-    return rows.select("frame_id", "at", "splat_id", *[r6(F.col(c) - F.col(f"k_{c}")).alias(f"d{c}") for c in cols], r6(F.col("opacity")).alias("opacity"))
+    rows = S.keyframe_deltas(V.stable_splats(spark, d), 5)
+    return rows.select("frame_id", "splat_id", "kind", *[r6(F.col(c)).alias(c) for c in ("dpx", "dpy", "dpz", "dqw", "opacity")])
+
+
+@query("keyframe_boxes", f"WITH {V.STABLE} SELECT frame_id, count(*) AS splats, round(min(px), 6) AS min_px, round(max(pz), 6) AS max_pz FROM splats GROUP BY 1")
+def keyframe_boxes(spark, d):
+    s = V.stable_splats(spark, d)
+    return S.bounds(s).join(s.groupBy("frame_id").agg(F.count("*").alias("splats")), "frame_id").select("frame_id", "splats", r6(F.col("min_px")).alias("min_px"), r6(F.col("max_pz")).alias("max_pz"))
+
+
+@query("concatenated_partials", f"WITH {V.SPLATS} SELECT worker_id, frame_id, count(*) AS splats FROM splats GROUP BY 1, 2")
+def concatenated_partials(spark, d):
+    s = V.splats(spark, d)
+    parts = {w: s.where(F.col("worker_id") == w).drop("worker_id") for w in range(4)}
+    return S.concatenated(parts).groupBy("worker_id", "frame_id").agg(F.count("*").alias("splats"))

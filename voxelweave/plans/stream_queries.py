@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxelweave.functions import color as C
 from voxelweave.operators import sync as Y
 from voxelweave.plans.registry import query
 from voxelweave.sources import views as V
@@ -48,10 +49,7 @@ def worker_miss_streak(spark, d):
 
 @query("mux_order", f"WITH {V.PACKETS} SELECT event_id, worker_id, row_number() OVER (PARTITION BY worker_id ORDER BY frame_id, (type = 'video')::INT, timestamp_ms, event_id) AS place FROM packets")
 def mux_order(spark, d):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("worker_id").orderBy("frame_id", (F.col("type") == "video").cast("int"), "timestamp_ms", "event_id")
-    return V.packets(spark, d).select("event_id", "worker_id", F.row_number().over(w).cast("long").alias("place"))
+    return Y.mux_places(V.packets(spark, d)).select("event_id", "worker_id", "place")
 
 
 _HOLD = f"""{V.PACKETS}, g AS (SELECT worker_id, frame_id, min(timestamp_ms) AS ms FROM packets WHERE type <> 'video' GROUP BY 1, 2),
@@ -72,22 +70,22 @@ def video_expired(spark, d):
 
 @query(
     "bitrate_2s",
-    f"""WITH {V.PACKETS}, b AS (SELECT event_id, timestamp_ms, min(timestamp_ms) OVER w AS lo, count(*) OVER w AS n, sum(bytes) OVER w AS s FROM packets WINDOW w AS (PARTITION BY worker_id ORDER BY timestamp_ms RANGE BETWEEN 600000 PRECEDING AND CURRENT ROW))
+    f"""WITH {V.PACKETS}, b AS (SELECT event_id, timestamp_ms, min(timestamp_ms) OVER w AS lo, count(*) OVER w AS n, sum(bytes) OVER w AS s FROM packets WINDOW w AS (PARTITION BY worker_id ORDER BY timestamp_ms RANGE BETWEEN 2000 PRECEDING AND CURRENT ROW))
 SELECT event_id, CASE WHEN n >= 2 AND timestamp_ms > lo THEN round(CAST(s AS DOUBLE)*8*1000/(timestamp_ms-lo), 4) END AS bps FROM b""",
 )
 def bitrate_2s(spark, d):
-    return Y.bitrate(V.packets(spark, d), 600_000).select("event_id", F.round("bps", 4).alias("bps"))
+    return Y.bitrate(V.packets(spark, d)).select("event_id", F.round("bps", 4).alias("bps"))
 
 
 @query(
     "queue_action_changes",
-    f"""WITH {V.PACKETS}, q AS (SELECT event_id, worker_id, timestamp_ms, count(*) OVER (PARTITION BY worker_id ORDER BY timestamp_ms RANGE BETWEEN 43200000 PRECEDING AND CURRENT ROW) AS depth FROM packets),
-a AS (SELECT *, CASE WHEN depth >= 60 THEN 'skip_video' WHEN depth >= 30 THEN 'drop_delta' ELSE 'none' END AS action FROM q),
+    f"""WITH {V.PACKETS}, q AS (SELECT event_id, worker_id, timestamp_ms, count(*) OVER (PARTITION BY worker_id ORDER BY timestamp_ms RANGE BETWEEN 2000 PRECEDING AND CURRENT ROW) AS depth FROM packets),
+a AS (SELECT *, CASE WHEN depth >= 9 THEN 'skip_video' WHEN depth >= 6 THEN 'drop_delta' ELSE 'none' END AS action FROM q),
 l AS (SELECT *, coalesce(lag(action) OVER (PARTITION BY worker_id ORDER BY timestamp_ms, event_id), 'none') AS before FROM a)
 SELECT event_id, worker_id, depth, action FROM l WHERE action <> before""",
 )
 def queue_action_changes(spark, d):
-    return Y.queue_actions(V.packets(spark, d), window_ms=43_200_000).select("event_id", "worker_id", "depth", "action")
+    return Y.queue_actions(V.packets(spark, d), high=6, full=9).select("event_id", "worker_id", "depth", "action")
 
 
 @query("packet_counters", f"WITH {V.PACKETS} SELECT worker_id, count(*) FILTER (type='video') AS videos, count(*) FILTER (type='keyframe') AS keyframes, count(*) FILTER (type='delta') AS deltas, CAST(sum(bytes) AS BIGINT) AS bytes FROM packets GROUP BY 1")
@@ -100,9 +98,9 @@ def track_accept(spark, d):
     return V.packets(spark, d).where((F.col("type") == "video") & F.col("worker_id").isin(0, 2)).groupBy("worker_id").agg(F.count("*").alias("accepted"))
 
 
-@query("fps_trailing", f"WITH {V.ARRIVALS} SELECT event_id, count(*) OVER (PARTITION BY worker_id ORDER BY timestamp_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) AS frames FROM arrivals")
+@query("fps_trailing", f"WITH {V.ARRIVALS} SELECT event_id, count(*) OVER (PARTITION BY worker_id ORDER BY timestamp_ms RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW) AS frames FROM arrivals")
 def fps_trailing(spark, d):
-    return Y.trailing_count(V.arrivals(spark, d), 3_600_000).select("event_id", "frames")
+    return Y.trailing_count(V.arrivals(spark, d), 1000).select("event_id", "frames")
 
 
 @query(
@@ -119,10 +117,20 @@ def worker_avg_bytes(spark, d):
     return V.arrivals(spark, d).groupBy("worker_id").agg(F.round(F.coalesce(F.avg("bytes"), F.lit(0.0)), 4).alias("mean"))
 
 
-@query("quality_class", f"WITH {V.ARRIVALS}, f AS (SELECT frame_id, count(*) AS fps FROM arrivals GROUP BY 1) SELECT CASE WHEN fps >= 28 THEN 'good' WHEN fps >= 15 THEN 'fair' ELSE 'poor' END AS quality, count(*) AS frames FROM f GROUP BY 1")
+@query("quality_class", f"WITH {V.ARRIVALS}, f AS (SELECT frame_id, count(*) AS fps, max(timestamp_ms) - min(timestamp_ms) AS ms FROM arrivals GROUP BY 1), c AS (SELECT CASE WHEN fps >= 28 THEN 0 WHEN fps >= 15 THEN 1 ELSE 2 END AS a, CASE WHEN ms - 700 < 100 THEN 0 WHEN ms - 700 < 300 THEN 1 ELSE 2 END AS e FROM f) SELECT CASE greatest(a, e) WHEN 0 THEN 'good' WHEN 1 THEN 'fair' ELSE 'poor' END AS quality, count(*) AS frames FROM c GROUP BY 1")
 def quality_class(spark, d):
-    f = V.arrivals(spark, d).groupBy("frame_id").agg(F.count("*").alias("fps"))
-    return f.groupBy(F.when(F.col("fps") >= 28, "good").when(F.col("fps") >= 15, "fair").otherwise("poor").alias("quality")).agg(F.count("*").alias("frames"))
+    f = V.arrivals(spark, d).groupBy("frame_id").agg(F.count("*").alias("fps"), (F.max("timestamp_ms") - F.min("timestamp_ms") - 700).alias("ms"))
+    return f.groupBy(C.quality(F.col("fps"), F.col("ms")).alias("quality")).agg(F.count("*").alias("frames"))
+
+
+@query(
+    "adaptive_sends",
+    f"""WITH {V.PACKETS}, q AS (SELECT *, count(*) OVER (PARTITION BY worker_id ORDER BY timestamp_ms RANGE BETWEEN 2000 PRECEDING AND CURRENT ROW) AS depth FROM packets WHERE bytes > 0)
+SELECT worker_id, type, count(*) AS packets, count(*) FILTER (NOT (type = 'video' AND depth >= 9 OR type = 'delta' AND depth >= 6)) AS sent FROM q GROUP BY 1, 2""",
+)
+def adaptive_sends(spark, d):
+    out = Y.adapted(V.packets(spark, d), high=6, full=9)
+    return out.groupBy("worker_id", "type").agg(F.count("*").alias("packets"), F.count_if("sent").alias("sent"))
 
 
 @query("gop_id", f"WITH {V.PACKETS}, n AS (SELECT event_id, row_number() OVER (PARTITION BY worker_id ORDER BY event_id) - 1 AS nth FROM packets) SELECT event_id, nth // 30 AS gop, nth % 30 AS place, nth % 30 = 0 AS keyframe FROM n")

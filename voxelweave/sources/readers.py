@@ -1,4 +1,4 @@
-"""Readers of capture folders, rigs, manifests and blobs."""
+"""Readers of capture folders, rigs, manifests and blobs. Older calibrations: voxelweave.functions.lens.legacy_rig."""
 
 from __future__ import annotations
 
@@ -42,13 +42,6 @@ def rig(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def legacy_kind(row: DataFrame) -> DataFrame:
-    """Adds kind: solver-style if it has that style's fields, else recorder-style."""
-    has = [F.col(c).isNotNull() for c in ("x_focallen", "radial_poly") if c in row.columns]
-    solver = has[0] if len(has) == 1 else (has[0] | has[1]) if has else F.lit(False)
-    return row.withColumn("kind", F.when(solver, "solver").otherwise("recorder"))
-
-
 def manifest_frames(spark: SparkSession, path: str) -> DataFrame:
     """One row per frame of a manifest, with its segment."""
     m = spark.read.schema(MANIFEST).option("multiLine", "true").json(path)
@@ -56,11 +49,13 @@ def manifest_frames(spark: SparkSession, path: str) -> DataFrame:
     return s.select("fps", "segment", "s.start_frame", "s.end_frame", "s.url", F.inline("s.frames"))
 
 
-def segment_of(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The segment that each wanted frame lies in; manifests are small, so they are broadcast up to a checked size."""
+def segment_of(manifest: DataFrame, wanted: DataFrame, block: int = 1024) -> DataFrame:
+    """The segment that each wanted frame lies in. Segments and frames meet in blocks of frames, a segment in each block that it covers, so
+    the join is an equi-join however many segments there are."""
     s = manifest.select("segment", "start_frame", "end_frame", "url").distinct()
-    small = s.count() <= 100_000
-    return wanted.join(F.broadcast(s) if small else s, F.col("frame").between(F.col("start_frame"), F.col("end_frame")))
+    s = s.withColumn("_block", F.explode(F.sequence(F.floor(F.col("start_frame") / block), F.floor(F.col("end_frame") / block))))
+    rows = wanted.withColumn("_block", F.floor(F.col("frame") / block))
+    return rows.join(s, "_block").where(F.col("frame").between(F.col("start_frame"), F.col("end_frame"))).drop("_block")
 
 
 def padded_sources(samples: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,16 +45,21 @@ def splats_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stable_splats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splats whose ids stand for the same splat in each frame: their place in it, less those that a frame misses."""
+    at = F.row_number().over(Window.partitionBy("frame_id").orderBy("splat_id")).cast("long")
+    return splats(spark, sf_dir).withColumn("splat_id", at).where("(splat_id + frame_id) % 9 <> 0")
+
+
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partial results as they arrive at the aggregator: an hour is a frame, a user is one of four workers (or cameras)."""
+    """Partial results as they arrive at the aggregator: an hour of the events is a second and a frame, a user is one of four workers."""
     ts = F.col("ts").cast("timestamp")
-    us = F.unix_micros(ts)
     return table(spark, sf_dir, "events").select(
         "event_id",
         F.expr("unix_micros(cast(ts as timestamp)) div 3600000000").alias("frame_id"),
         (F.col("user_id") % 4).alias("worker_id"),
         ts.alias("arrival_ts"),
-        F.floor(us / 1000).cast("long").alias("timestamp_ms"),
+        F.expr("unix_micros(cast(ts as timestamp)) div 3600000").alias("timestamp_ms"),
         F.round(F.col("value") * 100).cast("long").alias("bytes"),
         "event_type",
     )
@@ -65,40 +71,86 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrivals(spark, sf_dir).where("event_type <> 'error'").withColumn("type", kind).drop("event_type")
 
 
-def cameras(spark: SparkSession, n: int = 8, radius: float = 3.0) -> DataFrame:
-    """A ring of cameras that look at the origin."""
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A captured frame for each supplier: what rigs, depth maps, volumes, meshes and images below are repeated by."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("frame_id"))
+
+
+def _repeated(rows: DataFrame, n: int, out: str = "i") -> DataFrame:
+    return rows.withColumn(out, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+
+
+def cameras(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
+    """For each frame a rig: a ring of cameras that look at the origin, of its own radius, some above the plane, some not valid."""
     a = F.col("camera_index") * (2 * 3.141592653589793 / n)
-    return spark.range(n).select(F.col("id").alias("camera_index")).select("camera_index", (F.cos(a) * radius).alias("x"), F.lit(0.0).alias("y"), (F.sin(a) * radius).alias("z"))
+    r = 3.0 + (F.col("rig") % 5) * 0.1
+    c = _repeated(frames(spark, sf_dir).withColumnRenamed("frame_id", "rig"), n, "camera_index")
+    return c.select("rig", "camera_index", (F.cos(a) * r).alias("x"), ((3 * F.col("camera_index") + F.col("rig")) % 4 * 0.1).alias("y"), (F.sin(a) * r).alias("z"), ((F.col("rig") + F.col("camera_index")) % 7 != 0).alias("valid"))
+
+
+def depth(spark: SparkSession, sf_dir: str, views: int = 3, width: int = 32, height: int = 24) -> DataFrame:
+    """Depth maps, masks and grey values, one row per pixel."""
+    px = _repeated(frames(spark, sf_dir), views * width * height).select("frame_id", F.expr(f"i div {width * height}").alias("camera_index"), F.expr(f"i % {width}").alias("x"), F.expr(f"(i div {width}) % {height}").alias("y"))
+    return px.select("frame_id", "camera_index", "x", "y", F.expr("1.5D + 0.01D * ((7 * x + 13 * y + 3 * camera_index + frame_id) % 11)").alias("depth"), F.expr("CASE WHEN (x + y + frame_id) % 7 <> 0 THEN 255 ELSE 0 END").alias("alpha"), F.expr("((x + 2 * y + camera_index) % 10) / 10.0D").alias("grey"))
 
 
-def depth(spark: SparkSession, views: int = 3, width: int = 64, height: int = 48) -> DataFrame:
-    """Depth maps and masks, one row per pixel."""
-    px = spark.range(views * width * height).select(F.expr(f"id div {width * height}").alias("camera_index"), F.expr(f"id % {width}").alias("x"), F.expr(f"(id div {width}) % {height}").alias("y"))
-    return px.select("camera_index", "x", "y", F.expr("1.5 + 0.01D * ((7 * x + 13 * y + 3 * camera_index) % 11)").cast("double").alias("depth"), F.expr("CASE WHEN (x + y) % 7 <> 0 THEN 255 ELSE 0 END").alias("alpha"))
+def depth_rig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three cameras of each frame side by side, turned a little about the y axis: intrinsics, rotation and shift from world to camera."""
+    c = _repeated(frames(spark, sf_dir), 3, "camera_index")
+    cos, sin = F.cos(F.col("camera_index") * 0.02), F.sin(F.col("camera_index") * 0.02)
+    o, e = F.lit(0.0), F.lit(1.0)
+    turn = F.array(F.array(cos, o, sin), F.array(o, e, o), F.array(-sin, o, cos))
+    shift = F.array(F.col("camera_index") * -0.1, o, F.col("camera_index") * 0.01)
+    return c.select("frame_id", "camera_index", *[F.lit(v).alias(k) for k, v in (("fx", 30.0), ("fy", 30.0), ("cx", 16.0), ("cy", 12.0))], turn.alias("rotation"), shift.alias("translation"))
 
 
-def sdf_grid(spark: SparkSession, n: int = 16, radius: float = 0.35) -> DataFrame:
-    """Signed distance to a sphere at the centres of an n x n x n grid over the unit cube."""
-    ix = spark.range(n**3).select(F.expr(f"id % {n}").alias("vx"), F.expr(f"(id div {n}) % {n}").alias("vy"), F.expr(f"id div {n * n}").alias("vz"))
-    c = [(F.col(v) + 0.5) / n - 0.5 for v in ("vx", "vy", "vz")]
-    return ix.withColumn("sdf", F.sqrt(c[0] * c[0] + c[1] * c[1] + c[2] * c[2]) - radius)
+def voxels(spark: SparkSession, sf_dir: str, n: int = 12) -> DataFrame:
+    """Centres of an n x n x n volume for each frame."""
+    i = F.col("i")
+    return _repeated(frames(spark, sf_dir), n**3).select("frame_id", (F.col("frame_id") * n**3 + i).alias("voxel_id"), ((i % n + 0.5) * 0.05 - 0.3).alias("wx"), ((F.expr(f"i div {n}") % n + 0.5) * 0.05 - 0.3).alias("wy"), ((F.expr(f"i div {n * n}") + 0.5) * 0.05 + 1.3).alias("wz"))
 
 
-def height_field(spark: SparkSession, n: int = 24) -> tuple[DataFrame, DataFrame]:
-    """(vertices, faces) of an n x n height field with two triangles to a cell."""
-    v = spark.range(n * n).select(F.col("id").alias("vid"), F.expr(f"id div {n}").alias("i"), F.expr(f"id % {n}").alias("j"))
-    vertices = v.select("vid", F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), (F.expr("(31 * i + 17 * j) % 10") / 100.0).alias("z"))
-    cells = v.where(f"i < {n - 1} AND j < {n - 1}")
+def sdf_grid(spark: SparkSession, sf_dir: str, n: int = 12) -> DataFrame:
+    """Signed distance to a sphere, of each frame's own radius, at the centres of an n x n x n brick; bricks lie apart along x. Voxels also
+    hold how often they were seen, and a colour."""
+    v = _repeated(frames(spark, sf_dir), n**3).select("frame_id", F.expr(f"i % {n}").alias("lx"), F.expr(f"(i div {n}) % {n}").alias("vy"), F.expr(f"i div {n * n}").alias("vz"))
+    c = [(F.col(k) + 0.5) / n - 0.5 for k in ("lx", "vy", "vz")]
+    sdf = F.sqrt(c[0] * c[0] + c[1] * c[1] + c[2] * c[2]) - (0.35 - (F.col("frame_id") % 7) * 0.02)
+    return v.select((F.col("frame_id") * 2 * n + F.col("lx")).alias("vx"), "vy", "vz", sdf.alias("sdf"), ((F.col("lx") + F.col("vy") + F.col("vz")) % 5).cast("double").alias("weight"))
+
+
+def height_field(spark: SparkSession, sf_dir: str, n: int = 24) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of an n x n height field for each frame, 1000 apart along x, with two triangles to a cell."""
+    v = _repeated(frames(spark, sf_dir), n * n).select("frame_id", (F.col("frame_id") * n * n + F.col("i")).alias("vid"), F.expr(f"i div {n}").alias("row"), F.expr(f"i % {n}").alias("j"))
+    vertices = v.select("frame_id", "vid", (F.col("row") + 1000 * F.col("frame_id")).cast("double").alias("x"), F.col("j").cast("double").alias("y"), (F.expr("(31 * row + 17 * j + frame_id) % 10") / 100.0).alias("z"))
+    cells = v.where(f"row < {n - 1} AND j < {n - 1}")
     two = F.array(F.struct((2 * F.col("vid")).alias("fid"), F.col("vid").alias("i0"), (F.col("vid") + n).alias("i1"), (F.col("vid") + 1).alias("i2")), F.struct((2 * F.col("vid") + 1).alias("fid"), (F.col("vid") + 1).alias("i0"), (F.col("vid") + n).alias("i1"), (F.col("vid") + n + 1).alias("i2")))
     return vertices, cells.select(F.inline(two))
 
 
-def pixels(spark: SparkSession, frames: int = 4, width: int = 48, height: int = 32) -> DataFrame:
+def eyes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A viewpoint low over each frame's height field."""
+    return frames(spark, sf_dir).select("frame_id", (1000 * F.col("frame_id") + 11.3).alias("ex"), (11.7 + F.col("frame_id") % 3).alias("ey"), F.lit(0.4).alias("ez"))
+
+
+def overhead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four cameras above each frame's height field."""
+    c = _repeated(frames(spark, sf_dir), 4, "camera_index")
+    return c.select("frame_id", "camera_index", (1000 * F.col("frame_id") + 4.3 + 5 * F.col("camera_index")).alias("x"), (18.1 - 4 * F.col("camera_index")).alias("y"), (2.7 + F.col("camera_index")).alias("z"))
+
+
+def pixels(spark: SparkSession, sf_dir: str, width: int = 48, height: int = 32) -> DataFrame:
     """Grey frames with values in [0, 1], one row per pixel."""
-    px = spark.range(frames * width * height).select(F.expr(f"id div {width * height}").alias("frame_id"), F.expr(f"id % {width}").alias("x"), F.expr(f"(id div {width}) % {height}").alias("y"))
+    px = _repeated(frames(spark, sf_dir), width * height).select("frame_id", F.expr(f"i % {width}").alias("x"), F.expr(f"i div {width}").alias("y"))
     return px.withColumn("v", F.expr("((x * 31 + y * 17 + frame_id * 7) % 101) / 100.0D"))
 
 
+def segments(spark: SparkSession, sf_dir: str, span: int = 30) -> DataFrame:
+    """A stream's segments: as many frames as there are customers, so many to a segment."""
+    key = F.expr(f"c_custkey div {span}")
+    return table(spark, sf_dir, "customer").groupBy(key.alias("segment")).agg(F.min("c_custkey").alias("start_frame"), F.max("c_custkey").alias("end_frame")).withColumn("url", F.format_string("seg_%05d", "segment"))
+
+
 # The same views for the independent engine.
 SPLATS = """e0 AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] AS e FROM embeddings),
 e1 AS (SELECT *, sqrt(e[7]*e[7]+e[8]*e[8]+e[9]*e[9]+e[10]*e[10]) AS nq FROM e0),
@@ -107,17 +159,24 @@ splats AS (SELECT vec_id AS splat_id, CAST(label AS BIGINT) AS frame_id, vec_id
  (e[11]+1)/2 AS opacity, e[12:59] AS sh FROM e1)"""
 SPLATS_BIG = """splats AS (SELECT o_orderkey AS splat_id, o_custkey % 64 AS frame_id, o_orderkey % 4 AS worker_id, o_totalprice/500000 AS px,
  (o_orderkey % 97)/97.0::DOUBLE AS py, (o_custkey % 89)/89.0::DOUBLE AS pz, ((o_orderkey % 100)+1)/100.0::DOUBLE AS opacity FROM orders)"""
-ARRIVALS = """arrivals AS (SELECT event_id, epoch_us(ts) // 3600000000 AS frame_id, user_id % 4 AS worker_id, epoch_us(ts) AS us, epoch_us(ts) // 1000 AS timestamp_ms,
+STABLE = SPLATS.replace("splats AS (", "splats0 AS (") + """,
+splats AS (SELECT * EXCLUDE (place) REPLACE (place AS splat_id) FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY splat_id) AS place FROM splats0) WHERE (place + frame_id) % 9 <> 0)"""
+ARRIVALS = """arrivals AS (SELECT event_id, epoch_us(ts) // 3600000000 AS frame_id, user_id % 4 AS worker_id, epoch_us(ts) // 3600000 AS timestamp_ms,
  CAST(round(value * 100) AS BIGINT) AS bytes, event_type FROM events)"""
 PACKETS = ARRIVALS + """, packets AS (SELECT event_id, frame_id, worker_id, timestamp_ms, bytes,
  CASE event_type WHEN 'view' THEN 'video' WHEN 'signup' THEN 'keyframe' WHEN 'click' THEN 'delta' WHEN 'purchase' THEN 'delta' END AS type
  FROM arrivals WHERE event_type <> 'error')"""
-CAMERAS = """cameras AS (SELECT i AS camera_index, cos(i * (2 * 3.141592653589793 / 8)) * 3 AS x, 0.0::DOUBLE AS y, sin(i * (2 * 3.141592653589793 / 8)) * 3 AS z FROM range(8) t(i))"""
-DEPTH = """depth AS (SELECT c AS camera_index, x, y, CAST(1.5 + 0.01::DOUBLE * ((7*x + 13*y + 3*c) % 11) AS DOUBLE) AS depth,
- CASE WHEN (x + y) % 7 <> 0 THEN 255 ELSE 0 END AS alpha FROM range(3) a(c), range(64) b(x), range(48) d(y))"""
-SDF = """sdf_grid AS (SELECT x AS vx, y AS vy, z AS vz, sqrt(((x+0.5::DOUBLE)/16-0.5)*((x+0.5::DOUBLE)/16-0.5)+((y+0.5::DOUBLE)/16-0.5)*((y+0.5::DOUBLE)/16-0.5)+((z+0.5::DOUBLE)/16-0.5)*((z+0.5::DOUBLE)/16-0.5)) - 0.35 AS sdf
- FROM range(16) a(x), range(16) b(y), range(16) c(z))"""
-MESH = """vertices AS (SELECT i*24+j AS vid, CAST(i AS DOUBLE) AS x, CAST(j AS DOUBLE) AS y, ((31*i+17*j) % 10)/100.0::DOUBLE AS z FROM range(24) a(i), range(24) b(j)),
-faces AS (SELECT 2*(i*24+j) AS fid, i*24+j AS i0, i*24+j+24 AS i1, i*24+j+1 AS i2 FROM range(23) a(i), range(23) b(j)
- UNION ALL SELECT 2*(i*24+j)+1, i*24+j+1, i*24+j+24, i*24+j+25 FROM range(23) a(i), range(23) b(j))"""
-PIXELS = """pixels AS (SELECT f AS frame_id, x, y, ((x*31 + y*17 + f*7) % 101)/100.0::DOUBLE AS v FROM range(4) a(f), range(48) b(x), range(32) c(y))"""
+FRAMES = "frames AS (SELECT s_suppkey AS frame_id FROM supplier)"
+CAMERAS = f"""{FRAMES}, cameras AS (SELECT frame_id AS rig, i AS camera_index, cos(i * (2 * 3.141592653589793 / 8)) * (3.0::DOUBLE + (frame_id % 5) * 0.1::DOUBLE) AS x, (3 * i + frame_id) % 4 * 0.1::DOUBLE AS y,
+ sin(i * (2 * 3.141592653589793 / 8)) * (3.0::DOUBLE + (frame_id % 5) * 0.1::DOUBLE) AS z, (frame_id + i) % 7 <> 0 AS valid FROM frames, range(8) t(i))"""
+DEPTH = f"""{FRAMES}, depth AS MATERIALIZED (SELECT frame_id, c AS camera_index, x, y, 1.5::DOUBLE + 0.01::DOUBLE * ((7*x + 13*y + 3*c + frame_id) % 11) AS depth,
+ CASE WHEN (x + y + frame_id) % 7 <> 0 THEN 255 ELSE 0 END AS alpha, ((x + 2*y + c) % 10)/10.0::DOUBLE AS grey FROM frames, range(3) a(c), range(32) b(x), range(24) d(y)),
+rig AS (SELECT c, cos(c * 0.02::DOUBLE) AS co, sin(c * 0.02::DOUBLE) AS si, c * -0.1::DOUBLE AS tx, c * 0.01::DOUBLE AS tz FROM range(3) r(c))"""
+VOXELS = """voxels AS (SELECT frame_id, frame_id * 1728 + i AS voxel_id, (i % 12 + 0.5::DOUBLE)*0.05-0.3 AS wx, ((i // 12) % 12 + 0.5::DOUBLE)*0.05-0.3 AS wy, (i // 144 + 0.5::DOUBLE)*0.05+1.3 AS wz FROM frames, range(1728) t(i))"""
+SDF = f"""{FRAMES}, sdf_grid AS MATERIALIZED (SELECT frame_id * 24 + x AS vx, y AS vy, z AS vz, sqrt(((x+0.5::DOUBLE)/12-0.5)*((x+0.5::DOUBLE)/12-0.5)+((y+0.5::DOUBLE)/12-0.5)*((y+0.5::DOUBLE)/12-0.5)+((z+0.5::DOUBLE)/12-0.5)*((z+0.5::DOUBLE)/12-0.5))
+ - (0.35::DOUBLE - (frame_id % 7) * 0.02::DOUBLE) AS sdf, CAST((x + y + z) % 5 AS DOUBLE) AS weight FROM frames, range(12) a(x), range(12) b(y), range(12) c(z))"""
+MESH = f"""{FRAMES}, vertices AS MATERIALIZED (SELECT frame_id, frame_id*576+i*24+j AS vid, CAST(i + 1000*frame_id AS DOUBLE) AS x, CAST(j AS DOUBLE) AS y, ((31*i+17*j+frame_id) % 10)/100.0::DOUBLE AS z FROM frames, range(24) a(i), range(24) b(j)),
+faces AS MATERIALIZED (SELECT 2*(o+i*24+j) AS fid, o+i*24+j AS i0, o+i*24+j+24 AS i1, o+i*24+j+1 AS i2 FROM (SELECT frame_id*576 AS o FROM frames), range(23) a(i), range(23) b(j)
+ UNION ALL SELECT 2*(o+i*24+j)+1, o+i*24+j+1, o+i*24+j+24, o+i*24+j+25 FROM (SELECT frame_id*576 AS o FROM frames), range(23) a(i), range(23) b(j))"""
+PIXELS = f"""{FRAMES}, pixels AS MATERIALIZED (SELECT frame_id, x, y, ((x*31 + y*17 + frame_id*7) % 101)/100.0::DOUBLE AS v FROM frames, range(48) b(x), range(32) c(y))"""
+SEGMENTS = "segments AS (SELECT c_custkey // 30 AS segment, min(c_custkey) AS start_frame, max(c_custkey) AS end_frame FROM customer GROUP BY 1)"

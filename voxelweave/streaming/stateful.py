@@ -135,18 +135,37 @@ class KeyframeClock:
         return {"since": self.since}
 
 
-def _processor(make, step, schema_names):
+def _processor(make, step, schema_names, timeout_ms: int | None = None, late=None):
+    """A runner of a step class whose state is small: a few frames in flight, as JSON. With a timeout, late(machine) is asked for rows when
+    so much time has passed without a row of the key."""
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
     class Runner(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.held = handle.getValueState("state", "json string")
 
+        def _machine(self):
+            return make(json.loads(self.held.get()[0]) if self.held.exists() else None)
+
+        def _rows(self, key, found) -> pd.DataFrame:
+            return pd.DataFrame([(key[0], *r) for r in found], columns=schema_names)
+
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            machine = make(json.loads(self.held.get()[0]) if self.held.exists() else None)
-            out = [(key[0], *r) for part in rows for row in part.itertuples(index=False) for r in step(machine, row)]
+            machine = self._machine()
+            out = [r for part in rows for row in part.itertuples(index=False) for r in step(machine, row)]
+            self.held.update((json.dumps(machine.state()),))
+            if timeout_ms is not None:
+                for at in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(at)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + timeout_ms)
+            yield self._rows(key, out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            machine = self._machine()
+            out = late(machine)
             self.held.update((json.dumps(machine.state()),))
-            yield pd.DataFrame(out, columns=schema_names)
+            yield self._rows(key, out)
 
         def close(self) -> None:
             pass
@@ -161,15 +180,76 @@ def sync_stream(arrivals: DataFrame, cameras: int, pending: int = 25) -> DataFra
     return arrivals.groupBy("rig").transformWithStateInPandas(runner, "rig string, frame_id long", "append", "none")
 
 
-def quorum_stream(partials: DataFrame, workers: int, quorum: int = 3, timeout_ms: int = 200) -> DataFrame:
-    """(rig, frame_id, why, workers, at_ms) as frames are released. partials: rig, frame_id, worker_id, at_ms; a stream."""
-    step = lambda m, r: [(f, why, len(w), at) for f, why, w, at in m.push(int(r.frame_id), int(r.worker_id), int(r.at_ms))]
-    runner = _processor(lambda s: Quorum(workers, quorum, timeout_ms, state=s), step, ["rig", "frame_id", "why", "workers", "at_ms"])
-    return partials.groupBy("rig").transformWithStateInPandas(runner, "rig string, frame_id long, why string, workers int, at_ms long", "append", "none")
+def quorum_stream(partials: DataFrame, workers: int, quorum: int = 3, timeout_ms: int = 200, timers: bool = True) -> DataFrame:
+    """(rig, frame_id, why, workers, at_ms) as frames are released. partials: rig, frame_id, worker_id, at_ms; a stream. A row without a
+    worker drains the rig. With timers, frames that no further row comes for are released after the timeout of processing time."""
+    flat = lambda found: [(f, why, len(w), at) for f, why, w, at in found]
+    step = lambda m, r: flat(m.drain(int(r.at_ms)) if pd.isna(r.worker_id) else m.push(int(r.frame_id), int(r.worker_id), int(r.at_ms)))
+    late = lambda m: flat(m.tick(max((p["first"] for p in m.pending.values()), default=0) + timeout_ms))
+    runner = _processor(lambda s: Quorum(workers, quorum, timeout_ms, state=s), step, ["rig", "frame_id", "why", "workers", "at_ms"], timeout_ms if timers else None, late)
+    return partials.groupBy("rig").transformWithStateInPandas(runner, "rig string, frame_id long, why string, workers int, at_ms long", "append", "processingTime" if timers else "none")
 
 
 def mux_stream(packets: DataFrame, hold_ms: int = 500) -> DataFrame:
-    """(rig, kind, frame_id, timestamp_ms) in sending order. packets: rig, kind, frame_id, timestamp_ms; a stream."""
-    step = lambda m, r: m.push(r.kind, int(r.frame_id), int(r.timestamp_ms))
+    """(rig, kind, frame_id, timestamp_ms) in sending order. packets: rig, kind, frame_id, timestamp_ms; a stream. A packet of kind "end"
+    flushes what is held and passes on as the last one."""
+    step = lambda m, r: m.flush() if r.kind == "end" else m.push(r.kind, int(r.frame_id), int(r.timestamp_ms))
     runner = _processor(lambda s: Mux(hold_ms, s), step, ["rig", "kind", "frame_id", "timestamp_ms"])
     return packets.groupBy("rig").transformWithStateInPandas(runner, "rig string, kind string, frame_id long, timestamp_ms long", "append", "none")
+
+
+class Reassembly:
+    """Packets of a byte stream that comes in pieces: what is left after the last whole packet waits for the next piece."""
+
+    def __init__(self, state: dict | None = None):
+        self.rest = bytes.fromhex((state or {}).get("rest", ""))
+
+    def push(self, piece: bytes) -> list[tuple]:
+        from voxelweave.functions import binary as B
+
+        found, self.rest = B.parse_packets(self.rest + piece)
+        return found
+
+    def state(self) -> dict:
+        return {"rest": self.rest.hex()}
+
+
+def packet_stream(pieces: DataFrame) -> DataFrame:
+    """(rig, kind, flags, frame_id, timestamp_ms, payload) of byte streams. pieces: rig, seq, piece; a stream."""
+
+    def step(machine, row):
+        return machine.push(bytes(row.piece))
+
+    names = ["rig", "kind", "flags", "frame_id", "timestamp_ms", "payload"]
+    runner = _processor(Reassembly, step, names)
+    return pieces.groupBy("rig").transformWithStateInPandas(runner, "rig string, kind int, flags int, frame_id long, timestamp_ms long, payload binary", "append", "none")
+
+
+def keyframe_stream(frames: DataFrame, interval: int) -> DataFrame:
+    """(rig, frame_id, is_keyframe) of frames as they come. frames: rig, frame_id, forced boolean; a stream."""
+    step = lambda m, r: [(int(r.frame_id), bool(m.push(bool(r.forced))))]
+    runner = _processor(lambda s: KeyframeClock(interval, s), step, ["rig", "frame_id", "is_keyframe"])
+    return frames.groupBy("rig").transformWithStateInPandas(runner, "rig string, frame_id long, is_keyframe boolean", "append", "none")
+
+
+class MattingMean:
+    """A camera's alpha over time: each frame's values fold into the last ones; another resolution starts anew."""
+
+    def __init__(self, keep: float = 0.6, state: dict | None = None):
+        self.keep, self.before = keep, (state or {}).get("alpha")
+
+    def push(self, alpha: list[float]) -> list[float]:
+        if self.before is not None and len(self.before) == len(alpha):
+            alpha = [self.keep * b + (1 - self.keep) * a for a, b in zip(alpha, self.before, strict=True)]
+        self.before = list(alpha)
+        return self.before
+
+    def state(self) -> dict:
+        return {"alpha": self.before}
+
+
+def matting_stream(mattes: DataFrame, keep: float = 0.6) -> DataFrame:
+    """(rig, frame_id, alpha) smoothed per camera. mattes: rig (a camera), frame_id, alpha array<double>; a stream."""
+    step = lambda m, r: [(int(r.frame_id), m.push(list(r.alpha)))]
+    runner = _processor(lambda s: MattingMean(keep, s), step, ["rig", "frame_id", "alpha"])
+    return mattes.groupBy("rig").transformWithStateInPandas(runner, "rig string, frame_id long, alpha array<double>", "append", "none")
