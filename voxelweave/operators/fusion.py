@@ -55,11 +55,12 @@ def consistency(points: DataFrame, depth: DataFrame, rig: DataFrame, tau: float,
     """1 plus the other cameras whose depth at the point's pixel agrees within tau; with least_cos, points have a world normal nx, ny, nz and
     a camera counts only if the cosine between it and the way to the camera is no less."""
     agree = _met(seen_in(points, rig, F.col("camera_index") != F.col("r_camera_index")), depth).where(F.abs(F.col("z") - F.col("d")) < tau)
-    if least_cos is not None:
+    facing = F.lit(True)
+    if least_cos is not None:  # counted in the aggregate, where common parts are worked out once
         way = G.normalize(G.sub(G.camera_position(F.col("r_rotation"), F.col("r_translation")), G.vec(names=("wx", "wy", "wz"))))
-        agree = agree.where(G.dot(G.vec(names=("nx", "ny", "nz")), way) >= least_cos)
+        facing = G.dot(G.vec(names=("nx", "ny", "nz")), way) >= least_cos
     key = ["frame_id", "camera_index", "x", "y"]
-    n = agree.groupBy(*key).agg(F.count("*").alias("n"))
+    n = agree.groupBy(*key).agg(F.count_if(facing).alias("n"))
     return points.join(n, key, "left").withColumn("views", 1 + F.coalesce("n", F.lit(0))).drop("n")
 
 
@@ -88,10 +89,13 @@ def depth_normals(depth: DataFrame, fx: float, fy: float, cx: float, cy: float)
     moved = moved.select("frame_id", "camera_index", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"), F.col("s.k").alias("k"), "depth")
     near = moved.groupBy("frame_id", "camera_index", "x", "y").agg(*[F.max(F.when(F.col("k") == k, F.col("depth"))).alias(k) for k in "rldu"])
     p = c.join(near, ["frame_id", "camera_index", "x", "y"], "left")
+    # step by step, so that what is used several times stands in a column of its own
     at = lambda i, j, d: G.unproject(F.col("x") + i, F.col("y") + j, F.col(d), fx, fy, cx, cy)
-    n = G.normalize(G.cross(G.sub(at(0, 1, "d"), at(0, -1, "u")), G.sub(at(1, 0, "r"), at(-1, 0, "l"))))
-    whole = F.col("r").isNotNull() & F.col("l").isNotNull() & F.col("d").isNotNull() & F.col("u").isNotNull()
-    return p.select("frame_id", "camera_index", "x", "y", *[F.when(whole, v).otherwise(w).alias(k) for v, w, k in zip(n, (0.0, 0.0, -1.0), ("nx", "ny", "nz"), strict=True)])
+    for name, v in (("v", G.sub(at(0, 1, "d"), at(0, -1, "u"))), ("h", G.sub(at(1, 0, "r"), at(-1, 0, "l")))):
+        p = p.withColumns({f"{name}{c}": x for c, x in zip("xyz", v, strict=True)})
+    p = p.withColumns({f"n{c}": x for c, x in zip("xyz", G.cross(G.vec("v"), G.vec("h")), strict=True)}).withColumn("size", G.length(G.vec("n")))
+    unit = [F.when(F.col("size").isNull(), w).when(F.col("size") < 1e-12, 0.0).otherwise(F.col(f"n{c}") / F.col("size")).alias(f"n{c}") for c, w in zip("xyz", (0.0, 0.0, -1.0), strict=True)]
+    return p.select("frame_id", "camera_index", "x", "y", *unit)
 
 
 def reproject(depth: DataFrame, shift: tuple[float, float, float], fx: float, fy: float, cx: float, cy: float, width: int, height: int, threshold: float = 0.0) -> DataFrame:

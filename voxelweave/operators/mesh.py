@@ -166,9 +166,17 @@ def occluded(points: DataFrame, faces: DataFrame, vertices: DataFrame, eyes: Dat
     slack = 1e-9 * cell
     p = p.withColumn("gy", F.explode(F.sequence(at(F.least(y0, y1) - slack), at(F.greatest(y0, y1) + slack))))
     o, eye = G.vec("p"), G.vec(names=("ex", "ey", "ez"))
-    t = G.ray_triangle(o, G.sub(eye, o), G.vec("a"), G.vec("b"), G.vec("c"))
     own = (F.col("pid") == F.col("i0")) | (F.col("pid") == F.col("i1")) | (F.col("pid") == F.col("i2"))
-    return p.join(f, ["gx", "gy"]).where(~own & (t > 1e-6) & (t < 1 - 1e-6)).select("frame_id", F.col("pid").alias("vid")).distinct()
+    # cheap tests first: seen from above, the corners must not all lie on one side of the segment, nor the face beside its ends or height
+    side = [(F.col(f"{k}x") - F.col("px")) * (F.col("ey") - F.col("py")) - (F.col(f"{k}y") - F.col("py")) * (F.col("ex") - F.col("px")) for k in "abc"]
+    across = (F.least(*side) <= 1e-9) & (F.greatest(*side) >= -1e-9)
+    for c in "xyz":
+        across = across & (corner(c, F.least) <= F.greatest(f"p{c}", f"e{c}")) & (corner(c, F.greatest) >= F.least(f"p{c}", f"e{c}"))
+    near = p.join(f, ["gx", "gy"]).where(~own & across)
+    t = G.ray_triangle(o, G.sub(eye, o), G.vec("a"), G.vec("b"), G.vec("c"))
+    # in an aggregate, where common parts are worked out once; a filter would be pushed into the join's condition, which has them many times
+    met = near.groupBy("frame_id", F.col("pid").alias("vid")).agg(F.max((t > 1e-6) & (t < 1 - 1e-6)).alias("met"))
+    return met.where("met").select("frame_id", "vid")
 
 
 def texel_views(texels: DataFrame, faces: DataFrame, vertices: DataFrame, cameras: DataFrame, least: float = 0.25) -> DataFrame:
