@@ -94,6 +94,29 @@ def test_near_copies_of_rows_that_share_an_id_or_have_none(spark):
     assert corpus_pipeline.near_copies_stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_stages_of_odd_tables(spark, tmp_path):
+    rng = random.Random(10)
+    d = str(tmp_path)
+    spark.createDataFrame([(1, words(rng, 30, 4000))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    clash = {c: "own" for c in ("keep", "hits", "items", "n_hit", "first", "_n", "kept", "spans", "carry", "contaminated", "n_words", "low_quality")}
+    texts = [(i, words(rng, 80, 4000)) for i in range(6)] + [(None, words(rng, 80, 4000)), (None, words(rng, 80, 4000)), (3, words(rng, 80, 4000)), (7, None), (8, ""), (9, "one")]
+    rows = [(i, t, None, None, None, *clash.values()) for i, t in texts]
+    docs = spark.createDataFrame(rows, DOCS + "".join(f", {c} string" for c in clash))
+    whole = {t for _, t in texts if t and len(t) > 10}
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, d), stage(spark, docs.limit(0), d)
+        assert none.count() == 0, name
+        if name == "byte-level BPE":
+            assert out.count() == len(rows)
+            continue
+        assert out.dtypes == docs.dtypes == none.dtypes
+        got = out.collect()
+        assert whole <= {r.text for r in got}, name
+        assert all(r[c] == "own" for r in got for c in clash), name
+        assert [r.lang for r in got] == [None] * len(got)
+
+
 def test_registry():
     names = queries.queries()
     assert [n for k in range(1, 11) for n in names if re.match(rf"op{k}_", n)] == [n for n in names if n != "pipeline"] and "pipeline" in names

@@ -270,6 +270,90 @@ def test_language_id(spark, none):
     assert language_id.fit(none) == {} and language_id.predict(frame, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_letters_and_marks():
+    assert not language_id.has_letter("\u00bd \u00b2 12 \u2167 !?") and language_id.has_letter("12 \u0915") and language_id.has_letter("\u00aa")
+    model = language_id.Classifier({"aa": b"some words of it " * 20, "bb": b"other things here " * 20}, 3)
+    assert model.predict("\u00bd \u00b2 12") == ("und", 0.0, 0.0) and model.predict(None)[0] == "und" == model.predict("")[0]
+    assert language_id.plain("Ne\u0301e, \u0939\u093f\u0928!2") == "ne\u0301e \u0939\u093f\u0928 " and language_id.plain("\u00c9T\u00c9\u00b2x") == "\u00e9t\u00e9 x "
+    both = model.predict("some words of it " * 400)
+    assert both[0] == "aa" and 0 <= both[1] <= 1 and both[2] > 0
+
+
+def test_language_rows(spark):
+    frame = spark.createDataFrame([(1, "some words", "aa", 1.0, "x"), (1, "some words", "aa", 2.0, "y"), (None, "word", "bb", 3.0, "z"), (2, "word", None, None, None)], "doc_id long, text string, lang string, score double, lang_pred string")
+    model = language_id.fit(frame)
+    assert set(model) == {"aa", "bb"} and model == language_id.fit(frame.repartition(3))
+    out = language_id.predict(frame, model)
+    assert out.columns.count("score") == out.columns.count("lang_pred") == 1 and out.count() == 4
+    tie = language_id.predict(frame, {"b": b"same same same", "a": b"same same same"}).first()
+    assert tie.lang_pred == "b"  # the order of the dictionaries, which fit() gives by labelled texts, then name
+
+
+def test_clashing_names(spark):
+    frame = spark.createDataFrame([(1, "a b c", 7, "own", 5)], "doc_id long, text string, n_bytes long, over_limit string, n_hit long")
+    out = token_counts.with_lengths(token_counts.count_tokens(frame, JSON), 512)
+    assert sorted(out.columns) == ["doc_id", "n_bytes", "n_hit", "n_tokens", "over_limit"] and out.first().n_bytes == 5
+    clash = frame.withColumns({c: F.lit("own") for c in ("n_tokens", "ids_sha256", "ids", "decoded")})
+    done = byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(clash, RANKS, P.PATTERN), RANKS, P.PATTERN))
+    assert len(done.columns) == len(set(done.columns)) and done.first().n_tokens > 0
+    clash = frame.withColumns({c: F.lit("own") for c in ("hits", "items", "n_items", "items_sha256", "contaminated", "n_words")})
+    got = decontaminate.with_verdict(decontaminate.find_hits(clash, spark.createDataFrame([(1, "b c")], "item_id long, text string")))
+    assert len(got.columns) == len(set(got.columns)) and got.first().n_hit == 2
+    pages = spark.createDataFrame([(1, "u", "x", "own", 3)], "page_id long, url string, html string, payload_digest string, length long")
+    assert warc.read_records(warc.write_archives(pages)).first().payload_bytes == 1
+
+
+def test_lookups_of_hot_and_other_keys(spark):
+    from voxelweave.llm.common import lookup
+
+    left = spark.createDataFrame([(i, i % 7 if i % 2 else 3) for i in range(400)] + [(900, None), (901, 99)], "id long, k long")
+    right = left.where("k < 6").groupBy("k").agg(F.count("*").alias("_n")).withColumn("v", F.col("k") * 10).withColumnRenamed("k", "key")
+    want = sorted((i, k, None if k is None or k >= 6 else 10 * k) for i, k in map(tuple, left.collect()))
+    order = lambda r: (r[0], r[1] or -1, r[2] or -1)
+    for share in (1, 4, 10**6):  # all shuffled, the hot key by broadcast, all by broadcast
+        assert sorted((tuple(r) for r in lookup(left, right, "k", "key", 402, share).collect()), key=order) == sorted(want, key=order)
+    pages = spark.createDataFrame([(i, f"u{i}", "same" if i % 3 else f"t{i % 5}") for i in range(60)], "page_id long, url string, html string")
+    found = [sorted(map(tuple, warc.with_originals(pages, share=s).select("page_id", "first_id").collect())) for s in (1, 2, 10**6)]
+    assert found[0] == found[1] == found[2] and dict(found[0])[2] == 1
+
+
+def test_a_payload_that_differs_from_its_digest_is_no_record():
+    raw = warc.record(1, "u", b"payload", warc.base32_sha1(b"payload"), None, "1970-01-01T00:00:00Z")
+    assert warc.checked(warc.parse(raw)) == (warc.base32_sha1(b"payload"), 7)
+    with pytest.raises(ValueError):
+        warc.checked(warc.parse(raw.replace(b"payload", b"paylaod")))
+
+
+def test_budgets_equal_a_scan_of_prefixes(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(JSON)
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    counter = token_counts.PrefixCounter(JSON)
+    for text in ("internationalisation of words", "it's 'llama'", "\u65e5\u672c\u8a9e and   spaces", "x" * 300, "\u00e9" * 40):
+        ends, counts = counter.boundaries(text)
+        for budget in range(0, size(text) + 2):
+            k = max(i for i, c in enumerate(counts) if c <= budget)
+            last = ends[min(k + 1, len(ends) - 1)]
+            best = max((n for n in range(ends[k], last + 1) if size(text[:n]) <= budget and (n < last or k + 1 == len(ends) or n == ends[k])), default=ends[k])
+            assert counter.fit(text, budget) == (len(text) if k + 1 == len(ends) else best), (text, budget)
+    frame = spark.createDataFrame([(1, "internationalisation of words"), (2, None)], "doc_id long, text string")
+    assert {r.doc_id: r.kept_chars for r in token_counts.truncate_to_budget(frame, JSON, 1).collect()} == {1: counter.fit("internationalisation of words", 1), 2: 0}
+    rows = {r.doc_id: [tuple(x) for x in r.prefix_tokens] for r in token_counts.prefix_table(frame, JSON).collect()}
+    assert rows[1] == list(zip(*counter.boundaries("internationalisation of words"), strict=True)) and rows[2] == [(0, 0)]
+
+
+def test_runs_of_hit_words():
+    assert decontaminate.joined([(0, 2), (1, 3), (5, 6), (3, 7), (9, 10)]) == [(0, 7), (9, 10)]
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    automaton.add_word(" aa aa ", (2, 7, ("1", "2")))
+    automaton.make_automaton()
+    n, runs, items = decontaminate.scan("aa " * 200_000, automaton)
+    assert (n, runs, items) == (200_000, [(0, 200_000, 0, 599_999)], {"1", "2"})
+
+
 def test_quality(spark, none):
     rng = random.Random(4)
     def make(kind):
@@ -287,6 +371,11 @@ def test_quality(spark, none):
     out = {r.doc_id: r.keep for r in quality.judge(frame, model).collect()}
     right = [out[i] == (kinds[i % 10] == "clean") for i in range(600)]
     assert sum(right) / len(right) > 0.97 and not out[700] and not out[701]
+    again = quality.fit(frame.repartition(5), spark.createDataFrame(marks[:-1], "doc_id long, quality int, toxic int"))
+    assert (again["quality"][0] == model["quality"][0]).all() and (again["toxic"][0] == model["toxic"][0]).all()
+    rates = dict(zip(model["accuracies"]["labellers"], model["accuracies"]["quality"].transpose(1, 0, 2), strict=True))
+    assert rates["symbols"][1][1] > 0.9 > 0.1 > rates["symbols"][0][1]  # says bad of bad texts, and not of good ones
+    assert rates["rating"][1][1] > 5 * rates["rating"][0][1]
     blind = quality.fit(frame, None)
     assert {r.keep for r in quality.judge(frame.where("doc_id IN (6, 7)"), blind).collect()} == {False}
     assert quality.judge(none, quality.fit(none, None)).count() == 0

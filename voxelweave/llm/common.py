@@ -15,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir; one of our own only where that is unset and all run on one
+    machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="voxelweave-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

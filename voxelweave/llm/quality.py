@@ -72,12 +72,25 @@ def measures(text: str, words: Counter) -> dict[str, float]:
     }
 
 
+def repetition(text: str) -> dict[str, float]:
+    """What two more labellers look at, of sampled texts alone: how far a text packs, and the share of word triples said before."""
+    data, words = text.encode(), text.lower().split()
+    triples = Counter(zip(words, words[1:], words[2:], strict=False))
+    n = triples.total()
+    return {"packed": len(zlib.compress(data, 6)) / max(1, len(data)), "triples": 1 - len(triples) / n if n >= 20 else 0.0, "bytes": float(len(data))}
+
+
 def _vote(x: float | None, bad, good) -> int:
     return -1 if x is None else 1 if bad(x) else 0 if good(x) else -1
 
 
-def quality_votes(m: dict[str, float], rating: int | None) -> list[int]:
-    """Votes of the quality labellers: 1 bad, 0 good, -1 abstains. The rating's is the last."""
+#: The quality labellers in the order of their votes.
+LABELLERS = ("symbols", "shouting", "distinct", "top", "pipes", "lines", "length", "packed", "triples", "rating")
+
+
+def quality_votes(m: dict[str, float], r: dict[str, float], rating: int | None) -> list[int]:
+    """Votes of the quality labellers: 1 bad, 0 good, -1 abstains. The rating's is the last; the two before it look at repetition() and
+    share nothing with what the scorer sees."""
     long = m.get("tokens", 0) >= 20
     return [
         _vote(m.get("symbols"), lambda x: x > 0.35, lambda x: x < 0.1),
@@ -87,6 +100,8 @@ def quality_votes(m: dict[str, float], rating: int | None) -> list[int]:
         _vote(m.get("pipes"), lambda x: x > 0.2, lambda x: x < 0.02),
         _vote(m.get("lines") if m.get("tokens", 0) >= 40 else None, lambda x: x > 0.6, lambda x: x < 0.2),
         _vote(m.get("length"), lambda x: x < 1.5 or x > 20, lambda x: 3 < x < 12),
+        _vote(r["packed"] if r["bytes"] >= 400 else None, lambda x: x < 0.12, lambda x: 0.25 < x < 0.75),
+        _vote(r["triples"] if long else None, lambda x: x > 0.6, lambda x: x < 0.1),
         -1 if rating is None else 1 - int(rating > 0),
     ]
 
@@ -150,24 +165,26 @@ def telling(features: list[np.ndarray], q: np.ndarray, least: int, share: float)
 
 
 def fit(docs: DataFrame, ratings: DataFrame | None, text: str = "text", key: str = "doc_id") -> dict:
-    """The model, on the driver, from a sample whose size the constants bound."""
-    place = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+    """The model, on the driver, from a sample whose size the constants bound: the first texts in the order of a hash, so each fit of the
+    same tables takes the same."""
+    place = lambda seed, *columns: F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) / float(1 << 40)
     total = docs.count()
     rows: list[tuple] = []
     if ratings is not None:
         rated = ratings.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
         n = max(1, rated.count())
-        picked = rated.where(F.pmod(F.xxhash64(F.lit(3), "_k"), F.lit(1 << 30)) / float(1 << 30) < 1.2 * RATED / n).limit(RATED)
+        picked = rated.withColumn("_p", place(3, "_k")).where(F.col("_p") < (1.2 * RATED + 100) / n).orderBy("_p", "_k").limit(RATED)
         found = docs.join(F.broadcast(picked), F.col(key) == F.col("_k"))  # at most RATED rows are broadcast
-        rows = [tuple(r) for r in found.where(F.length(text) <= SAMPLE_CHARS).select(text, "quality", "toxic").limit(RATED).collect()]
-    others = docs.where((F.length(text) <= SAMPLE_CHARS) & (place(4) < 1.2 * OTHERS / max(1, total))).select(text).limit(OTHERS)
-    rows += [(r[0], None, None) for r in others.collect()]
+        found = found.where(F.length(text) <= SAMPLE_CHARS).orderBy("_p", F.xxhash64(text)).select(text, "quality", "toxic")
+        rows = [tuple(r) for r in found.limit(RATED).collect()]
+    others = docs.where(F.length(text) <= SAMPLE_CHARS).select(text, place(4, key, text).alias("_p")).where(F.col("_p") < (1.2 * OTHERS + 100) / max(1, total))
+    rows += [(r[0], None, None) for r in others.orderBy("_p", text).limit(OTHERS).collect()]
     rows = sorted({(t, q, x) for t, q, x in rows if t}, key=lambda r: zlib.crc32(r[0].encode()))
     words = [words_of(t) for t, _, _ in rows]
     measured = [measures(t, w) for (t, _, _), w in zip(rows, words, strict=True)]
     if not rows:
         return {"quality": (np.zeros(WIDTH, np.float32), -1.0), "toxic": (np.zeros(WIDTH, np.float32), -1.0), "accuracies": {}}
-    votes = np.array([quality_votes(m, q) for m, (_, q, _) in zip(measured, rows, strict=True)])
+    votes = np.array([quality_votes(m, repetition(t), q) for m, (t, q, _) in zip(measured, rows, strict=True)])
     low, low_rates, low_share = em(votes)
     quality = train([np.fromiter(quality_buckets(m), np.int32) for m in measured], low)
     features = [np.unique(np.fromiter((b for w in ws for b in word_buckets(w)), np.int32)) for ws in words]
@@ -181,7 +198,7 @@ def fit(docs: DataFrame, ratings: DataFrame | None, text: str = "text", key: str
         columns.append(np.array([-1 if x == half or not terms.any() else int(terms[f].any()) for x, f in zip(side, features, strict=True)]))
     bad, bad_rates, bad_share = em(np.stack(columns, 1))
     toxic = train(features, bad, telling(features, bad, 5, 0.8))
-    return {"quality": quality, "toxic": toxic, "accuracies": {"quality": low_rates, "quality_share": low_share, "toxic": bad_rates, "toxic_share": bad_share}}
+    return {"quality": quality, "toxic": toxic, "accuracies": {"labellers": LABELLERS, "quality": low_rates, "quality_share": low_share, "toxic": bad_rates, "toxic_share": bad_share}}
 
 
 class Known(dict):
