@@ -97,6 +97,8 @@ def test_near_copies_of_rows_that_share_an_id_or_have_none(spark):
 def test_stages_of_odd_tables(spark, tmp_path):
     rng = random.Random(10)
     d = str(tmp_path)
+    lexicon = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(4000)]
+    words = lambda rng, n, _: " ".join(rng.choice(lexicon) for _ in range(n))  # noqa: E731  without digits, as these are prose
     spark.createDataFrame([(1, words(rng, 30, 4000))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     clash = {c: "own" for c in ("keep", "hits", "items", "n_hit", "first", "_n", "kept", "spans", "carry", "contaminated", "n_words", "low_quality")}
