@@ -122,7 +122,19 @@ def bilinear_resize(spark, d):
     return I.resize(V.pixels(spark, d), 48, 32, 24, 16).select("frame_id", "tx", "ty", F.round("v", 6).alias("v"))
 
 
-@query("train_val_split")
+def _split_sql() -> str:
+    """The usual cyclic checksum of "42:key", a byte at a time over its table, which is built by rule."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)  # noqa: PLW2901
+        table.append(i)
+    step = f"xor(c >> 8, {table}[(xor(c, b) & 255) + 1])"
+    return f"""WITH s AS (SELECT c_custkey, '42:' || c_custkey AS s FROM customer), h AS (SELECT c_custkey, xor(list_reduce(list_prepend(4294967295::BIGINT, [CAST(ascii(s[i]) AS BIGINT) for i in range(1, len(s) + 1)]), lambda c, b: {step}), 4294967295::BIGINT) AS h FROM s)
+SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY h, c_custkey) <= greatest(1, floor(count(*) OVER () * 0.8)) THEN 'train' ELSE 'val' END AS split FROM h"""
+
+
+@query("train_val_split", _split_sql())
 def train_val_split(spark, d):
     return K.split(V.table(spark, d, "customer").select("c_custkey"), "c_custkey", 0.8, 42)
 
