@@ -72,25 +72,16 @@ def measures(text: str, words: Counter) -> dict[str, float]:
     }
 
 
-def repetition(text: str) -> dict[str, float]:
-    """What two more labellers look at, of sampled texts alone: how far a text packs, and the share of word triples said before."""
-    data, words = text.encode(), text.lower().split()
-    triples = Counter(zip(words, words[1:], words[2:], strict=False))
-    n = triples.total()
-    return {"packed": len(zlib.compress(data, 6)) / max(1, len(data)), "triples": 1 - len(triples) / n if n >= 20 else 0.0, "bytes": float(len(data))}
-
-
 def _vote(x: float | None, bad, good) -> int:
     return -1 if x is None else 1 if bad(x) else 0 if good(x) else -1
 
 
 #: The quality labellers in the order of their votes.
-LABELLERS = ("symbols", "shouting", "distinct", "top", "pipes", "lines", "length", "packed", "triples", "rating")
+LABELLERS = ("symbols", "shouting", "distinct", "top", "pipes", "lines", "length", "rating")
 
 
-def quality_votes(m: dict[str, float], r: dict[str, float], rating: int | None) -> list[int]:
-    """Votes of the quality labellers: 1 bad, 0 good, -1 abstains. The rating's is the last; the two before it look at repetition() and
-    share nothing with what the scorer sees."""
+def quality_votes(m: dict[str, float], rating: int | None) -> list[int]:
+    """Votes of the quality labellers: 1 bad, 0 good, -1 abstains. The rating's is the last."""
     long = m.get("tokens", 0) >= 20
     return [
         _vote(m.get("symbols"), lambda x: x > 0.35, lambda x: x < 0.1),
@@ -100,8 +91,6 @@ def quality_votes(m: dict[str, float], r: dict[str, float], rating: int | None)
         _vote(m.get("pipes"), lambda x: x > 0.2, lambda x: x < 0.02),
         _vote(m.get("lines") if m.get("tokens", 0) >= 40 else None, lambda x: x > 0.6, lambda x: x < 0.2),
         _vote(m.get("length"), lambda x: x < 1.5 or x > 20, lambda x: 3 < x < 12),
-        _vote(r["packed"] if r["bytes"] >= 400 else None, lambda x: x < 0.12, lambda x: 0.25 < x < 0.75),
-        _vote(r["triples"] if long else None, lambda x: x > 0.6, lambda x: x < 0.1),
         -1 if rating is None else 1 - int(rating > 0),
     ]
 
@@ -184,7 +173,7 @@ def fit(docs: DataFrame, ratings: DataFrame | None, text: str = "text", key: str
     measured = [measures(t, w) for (t, _, _), w in zip(rows, words, strict=True)]
     if not rows:
         return {"quality": (np.zeros(WIDTH, np.float32), -1.0), "toxic": (np.zeros(WIDTH, np.float32), -1.0), "accuracies": {}}
-    votes = np.array([quality_votes(m, repetition(t), q) for m, (t, q, _) in zip(measured, rows, strict=True)])
+    votes = np.array([quality_votes(m, q) for m, (_, q, _) in zip(measured, rows, strict=True)])
     low, low_rates, low_share = em(votes)
     quality = train([np.fromiter(quality_buckets(m), np.int32) for m in measured], low)
     features = [np.unique(np.fromiter((b for w in ws for b in word_buckets(w)), np.int32)) for ws in words]
