@@ -47,6 +47,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files that a table of materialize() reads; nothing may read it after."""
+    spark = df.sparkSession
+    for place in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, wrapping."""
     x = x.astype(np.uint64, copy=True)

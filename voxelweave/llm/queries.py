@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelweave.llm import byte_bpe, decontaminate, html_extract, jaccard_join, language_id, quality, suffix_dedup, token_counts, top_k, warc
+from voxelweave.llm import byte_bpe, centroids, decontaminate, fill_middle, html_extract, jaccard_join, language_id, minhash, quality, suffix_dedup, token_counts, top_k, warc
 from voxelweave.llm.common import table
 
 
@@ -107,6 +107,59 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+sh AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4),
+links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * k >= 80 * (na + nb - k)), e AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
+SELECT doc_id, len(s) AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) ON a = doc_id
+"""
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.sort_means(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, width=64, seed=1)
+    return found.drop("centroid")
+
+
+def _round_sql(r: int) -> str:
+    """One round in SQL: assignment d{r} to the centroids c{r}, and with it the centroids of the next round."""
+    return f"""d{r} AS MATERIALIZED (SELECT id, arg_min(n, d * 16 + n) AS n, min(d) AS d FROM (SELECT id, n, CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v.e, c.e)]) AS BIGINT) AS d FROM v, c{r} c) GROUP BY id),
+s{r} AS (SELECT n, i, sum(x) AS s, count(*) AS k FROM (SELECT n, unnest(e) AS x, unnest(range(1, 65)) AS i FROM v JOIN d{r} USING (id)) GROUP BY 1, 2),
+c{r + 1} AS MATERIALIZED (SELECT c.n, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN (SELECT n, list(CAST((s - (((s % k) + k) % k)) // k AS BIGINT) ORDER BY i) AS e FROM s{r} GROUP BY n) m USING (n))"""
+
+
+OP12_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, e) - 1 AS n, e FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, e FROM v ORDER BY 1, 2 LIMIT 16)),
+{", ".join(_round_sql(r) for r in range(4))}
+SELECT vec_id, CAST(n AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY n) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.e, ',')) AS centroid_sha256
+FROM v JOIN d3 USING (id) JOIN c3 USING (n)
+"""
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), grammar="word", seed=1, plain_percent=10, spm_percent=20)
+    return fill_middle.digests(cut).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+k AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS x, array_to_string(u[a+1:b], '') AS y, array_to_string(u[b+1:n], '') AS z FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(y) AS BIGINT) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -125,9 +178,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extract": op8_html_extract,
         "op9_decontaminate": op9_decontaminate,
         "op10_quality": op10_quality,
+        "op11_minhash": op11_minhash,
+        "op12_centroids": op12_centroids,
+        "op13_fill_middle": op13_fill_middle,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_top_k": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op9_decontaminate": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op4_top_k": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op9_decontaminate": OP9_SQL, "op11_minhash": OP11_SQL, "op12_centroids": OP12_SQL, "op13_fill_middle": OP13_SQL}
