@@ -193,6 +193,21 @@ def ply(columns: list[str], values: np.ndarray, binary: bool = True) -> bytes:
     return (head + "".join(" ".join(f"{v:.6f}" for v in row) + "\n" for row in values)).encode()
 
 
+def parse_ply(data: bytes) -> tuple[list[str], np.ndarray]:
+    """Names and float values of a vertex list, binary or text."""
+    end = data.index(b"end_header\n") + 11
+    lines = [line.split() for line in data[:end].decode("ascii").splitlines()]
+    if lines[0] != ["ply"]:
+        raise ValueError("not a PLY file")
+    names = [line[2] for line in lines if line[:2] == ["property", "float"]]
+    n = next(int(line[2]) for line in lines if line[:2] == ["element", "vertex"])
+    if any(line[1] == "binary_little_endian" for line in lines if line[0] == "format"):
+        values = np.frombuffer(data, "<f4", n * len(names), end)
+    else:
+        values = np.array(data[end:].split(), "<f4")
+    return names, values.reshape(n, len(names))
+
+
 def glb(document: dict, buffer: bytes) -> bytes:
     """A binary glTF of a JSON chunk and, if there are bytes, a binary one, both padded to four."""
     text = json.dumps(document, separators=(",", ":")).encode()

@@ -22,6 +22,11 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def oracle_sql_of(name: str) -> str:
+    """The SQL of a query that is registered already, for another that gives the same rows by another way."""
+    return _ORACLES[name]
+
+
 def _load() -> None:
     from voxelweave.plans import catalog  # noqa: F401  registers on import
 

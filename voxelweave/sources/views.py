@@ -128,6 +128,17 @@ def height_field(spark: SparkSession, sf_dir: str, n: int = 24) -> tuple[DataFra
     return vertices, cells.select(F.inline(two))
 
 
+def relief(spark: SparkSession, sf_dir: str, side: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of a mesh for each vector, its components as heights over a side x side grid. Vectors of another length are no
+    mesh; a null component has height 0."""
+    rows = table(spark, sf_dir, "embeddings").where(f"embedding IS NOT NULL AND size(embedding) = {side * side}").select(F.col("vec_id").alias("mesh_id"), F.posexplode("embedding").alias("i", "h"))
+    v = rows.select("mesh_id", F.col("i").cast("long").alias("vid"), F.expr(f"cast(i div {side} as double)").alias("x"), F.expr(f"cast(i % {side} as double)").alias("y"), (F.coalesce(F.col("h").cast("double"), F.lit(0.0)) * 4).alias("z"))
+    low = F.col("vid") < side * (side - 1)
+    cells = v.where(low & (F.col("vid") % side < side - 1)).select("mesh_id", "vid")
+    two = F.array(F.struct((2 * F.col("vid")).alias("fid"), F.col("vid").alias("i0"), (F.col("vid") + side).alias("i1"), (F.col("vid") + 1).alias("i2")), F.struct((2 * F.col("vid") + 1).alias("fid"), (F.col("vid") + 1).alias("i0"), (F.col("vid") + side).alias("i1"), (F.col("vid") + side + 1).alias("i2")))
+    return v, cells.select("mesh_id", F.inline(two))
+
+
 def eyes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A viewpoint low over each frame's height field."""
     return frames(spark, sf_dir).select("frame_id", (1000 * F.col("frame_id") + 11.3).alias("ex"), (11.7 + F.col("frame_id") % 3).alias("ey"), F.lit(0.4).alias("ez"))
@@ -178,5 +189,7 @@ SDF = f"""{FRAMES}, sdf_grid AS MATERIALIZED (SELECT frame_id * 24 + x AS vx, y
 MESH = f"""{FRAMES}, vertices AS MATERIALIZED (SELECT frame_id, frame_id*576+i*24+j AS vid, CAST(i + 1000*frame_id AS DOUBLE) AS x, CAST(j AS DOUBLE) AS y, ((31*i+17*j+frame_id) % 10)/100.0::DOUBLE AS z FROM frames, range(24) a(i), range(24) b(j)),
 faces AS MATERIALIZED (SELECT 2*(o+i*24+j) AS fid, o+i*24+j AS i0, o+i*24+j+24 AS i1, o+i*24+j+1 AS i2 FROM (SELECT frame_id*576 AS o FROM frames), range(23) a(i), range(23) b(j)
  UNION ALL SELECT 2*(o+i*24+j)+1, o+i*24+j+1, o+i*24+j+24, o+i*24+j+25 FROM (SELECT frame_id*576 AS o FROM frames), range(23) a(i), range(23) b(j))"""
+RELIEF = """rv AS MATERIALIZED (SELECT vec_id AS mesh_id, i AS vid, CAST(i // 8 AS DOUBLE) AS x, CAST(i % 8 AS DOUBLE) AS y, coalesce(CAST(embedding[i + 1] AS DOUBLE), 0) * 4 AS z FROM embeddings, range(64) t(i) WHERE len(embedding) = 64),
+rf AS MATERIALIZED (SELECT mesh_id, 2*vid AS fid, vid AS i0, vid + 8 AS i1, vid + 1 AS i2 FROM rv WHERE vid < 56 AND vid % 8 < 7 UNION ALL SELECT mesh_id, 2*vid + 1, vid + 1, vid + 8, vid + 9 FROM rv WHERE vid < 56 AND vid % 8 < 7)"""
 PIXELS = f"""{FRAMES}, pixels AS MATERIALIZED (SELECT frame_id, x, y, ((x*31 + y*17 + frame_id*7) % 101)/100.0::DOUBLE AS v FROM frames, range(48) b(x), range(32) c(y))"""
 SEGMENTS = "segments AS (SELECT c_custkey // 30 AS segment, min(c_custkey) AS start_frame, max(c_custkey) AS end_frame FROM customer GROUP BY 1)"

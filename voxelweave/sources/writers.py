@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.functions import binary as B
+from voxelweave.sources.frame_files import write_files
 
 #: The 59 attributes of a splat in a PLY file (positions, three constant colour terms, 45 others, opacity, scales, rotation): fixed order.
 PLY_COLUMNS = ["x", "y", "z", *[f"f_dc_{i}" for i in range(3)], *[f"f_rest_{i}" for i in range(45)], "opacity", *[f"scale_{i}" for i in range(3)], *[f"rot_{i}" for i in range(4)]]
@@ -69,8 +70,9 @@ def sample_metadata(samples: DataFrame, cameras: DataFrame) -> DataFrame:
     return held.select("rig", "frame_id", "target", F.to_json(F.struct(listed.alias("cameras"))).alias("cameras"), F.to_json(facts).alias("metadata"))
 
 
-def write_payloads(payloads: DataFrame, path: str) -> None:
-    payloads.write.mode("overwrite").parquet(path)
+def write_payloads(payloads: DataFrame, folder: str, pattern: str = "frame_%06d.bin", key: str = "frame_id") -> None:
+    """One file for each payload, named by its key; other files of the folder go."""
+    write_files(payloads.select(F.format_string(pattern, F.col(key)).alias("name"), "payload"), folder)
 
 
 def write_stats(rows: DataFrame, path: str) -> None:
