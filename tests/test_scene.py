@@ -160,10 +160,12 @@ def test_camera_rigs(spark):
     w = [r.weight for r in K.isolation_weights(ring.where("camera_index % 2 = 0")).collect()]
     assert sum(w) == pytest.approx(2) and all(x == pytest.approx(0.25) for x in w)
     near = {(r.target, r.nth): r.source for r in K.source_views(ring.where("rig = 0"), 2).collect()}
-    assert near[0, 0] == 1 and near[0, 1] == 7 and near[4, 0] == 3
+    assert near[0, 0] == 1 and near[0, 1] == 5 and near[4, 0] == 3  # the nearest, then the farthest from it
+    few = [(r.target, r.source) for r in K.source_views(ring.where("rig = 0 AND camera_index < 3"), 2).orderBy("target", "nth").collect()]
+    assert few == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)]
     frames = ring.select("rig", "camera_index").crossJoin(spark.range(2).withColumnRenamed("id", "frame_id")).where("NOT (frame_id = 1 AND camera_index = 1)")
     got = {(r.rig, r.frame_id, r.target): list(r.sources) for r in K.training_samples(frames, K.source_views(ring, 2), every=4).collect()}
-    assert got[0, 0, 0] == [1, 7] and got[0, 1, 0] == [7] and set(k[2] for k in got if k[1] == 0) == {0, 4}
+    assert got[0, 0, 0] == [1, 5] and got[0, 1, 0] == [5] and set(k[2] for k in got if k[1] == 0) == {0, 4}
     split = K.split(spark.range(100).withColumnRenamed("id", "k"), "k", 0.8, 42)
     assert {r.split: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 80, "val": 20}
     assert K.split(spark.range(1).withColumnRenamed("id", "k"), "k", 0.1, 1).first().split == "train"

@@ -67,13 +67,31 @@ def route(cameras: DataFrame, workers: int, mode: str) -> DataFrame:
 
 
 def source_views(cameras: DataFrame, k: int) -> DataFrame:
-    """(rig, target, source, nth): for each camera as a target the k cameras of its rig that are nearest to it, ties to the earlier one. A
-    rig of fewer gives what it has."""
-    a, b = (cameras.select("rig", *[F.col(c).alias(f"{s}_{c}") for c in ("camera_index", "x", "y", "z")]) for s in "ab")
-    d = G.length(G.sub(G.vec("a_"), G.vec("b_")))
-    near = a.join(b, "rig").where(F.col("a_camera_index") != F.col("b_camera_index"))
-    nth = F.row_number().over(Window.partitionBy("rig", "a_camera_index").orderBy(F.round(d, 9), "b_camera_index")) - 1
-    return near.select("rig", F.col("a_camera_index").alias("target"), F.col("b_camera_index").alias("source"), nth.cast("long").alias("nth")).where(F.col("nth") < k)
+    """(rig, target, source, nth): for each camera as a target k others of its rig: the nearest one, then each time the one whose direction
+    from the origin is farthest in angle from those chosen. Ties go to the earlier camera. A rig with k others or fewer gives them all in
+    their order. A rig is a group: tens of cameras."""
+    import numpy as np
+
+    def run(rig: pd.DataFrame) -> pd.DataFrame:
+        rig = rig.sort_values("camera_index")
+        ids, p = rig["camera_index"].to_numpy(), rig[["x", "y", "z"]].to_numpy(float)
+        d = p / (np.linalg.norm(p, axis=1, keepdims=True) + 1e-8)
+        angle = np.round(np.arccos(np.clip(d @ d.T, -1, 1)), 9)
+        far = np.round(np.linalg.norm(p[:, None] - p[None], axis=2), 9)
+        rows = []
+        for t in range(len(ids)):
+            others = [i for i in range(len(ids)) if i != t]
+            if len(others) > k:
+                picked = [min(others, key=lambda i: far[t, i])][:k]  # noqa: B023
+                while len(picked) < k:
+                    picked.append(max((i for i in others if i not in picked), key=lambda i: angle[i, picked].min()))  # noqa: B023
+                others = picked
+            rows += [(ids[t], ids[i], n) for n, i in enumerate(others)]
+        out = pd.DataFrame(rows, columns=["target", "source", "nth"]).astype("int64")
+        out.insert(0, "rig", rig["rig"].iloc[0])
+        return out
+
+    return cameras.select("rig", "camera_index", "x", "y", "z").groupBy("rig").applyInPandas(run, "rig long, target long, source long, nth long")
 
 
 def training_samples(frames: DataFrame, sources: DataFrame, every: int = 1) -> DataFrame:

@@ -140,26 +140,29 @@ def hold_and_release(packets: DataFrame, hold_ms: int, block: int = 1024) -> Dat
     return out.select("event_id", "worker_id", "frame_id", F.col("g.frame_id").alias("released_by"), wait.alias("wait_ms"), F.coalesce(wait > hold_ms, F.lit(True)).alias("expired"))
 
 
-def queue_actions(packets: DataFrame, high: int = 30, full: int = 60, window_ms: int = 2000) -> DataFrame:
-    """Rows at which the action for a stream's queue depth changes; depth is the packets of the trailing window."""
+def queue_actions(packets: DataFrame, high: int = 30, critical: int = 60, window_ms: int = 2000, video_tracks: int = 1) -> DataFrame:
+    """Rows at which a stream is told to act on the depth of its queue, the packets of the trailing window: from the high mark on to drop
+    deltas, from the critical one on to skip video, or to send fewer splats where there are no video tracks. An action is told when it is
+    not the one before; that the queue has drained is not told, but the next action is told again after it."""
     w = Window.partitionBy("worker_id", "_block").orderBy("timestamp_ms").rangeBetween(-window_ms, 0)
-    action = F.when(F.col("depth") >= full, "skip_video").when(F.col("depth") >= high, "drop_delta").otherwise("none")
+    worst = "skip_video" if video_tracks > 0 else "reduce_splats"
+    action = F.when(F.col("depth") >= critical, worst).when(F.col("depth") >= high, "drop_delta").otherwise("none")
     out = _blocks(packets, window_ms).withColumn("depth", F.count("*").over(w)).where("_own").withColumn("action", action)
     # the row before: in the block, or the last one of the block with rows before it
     s = Window.partitionBy("worker_id", "_block").orderBy("timestamp_ms", "event_id")
     ends = out.groupBy("worker_id", "_block").agg(F.max_by("action", F.struct("timestamp_ms", "event_id")).alias("_end"))
     ends = ends.withColumn("_handed", F.lag("_end").over(Window.partitionBy("worker_id").orderBy("_block"))).drop("_end")
     out = out.withColumn("_before", F.lag("action").over(s)).join(ends, ["worker_id", "_block"])
-    return out.where(F.col("action") != F.coalesce("_before", "_handed", F.lit("none"))).drop("_block", "_own", "_before", "_handed")
+    told = (F.col("action") != "none") & (F.col("action") != F.coalesce("_before", "_handed", F.lit("none")))
+    return out.where(told).drop("_block", "_own", "_before", "_handed")
 
 
-def adapted(packets: DataFrame, high: int = 30, full: int = 60, window_ms: int = 2000) -> DataFrame:
-    """Packets with the queue depth that they meet and whether they are sent: empty ones are no packets, deltas go from the high mark on,
-    video from the full one; keyframes always pass."""
+def adapted(packets: DataFrame, critical: int = 60, window_ms: int = 2000) -> DataFrame:
+    """Packets with the queue depth that they meet and whether they are sent: empty ones are no packets, and deltas go from the critical
+    mark on; keyframes and video pass (what the stream is told is queue_actions())."""
     w = Window.partitionBy("worker_id", "_block").orderBy("timestamp_ms").rangeBetween(-window_ms, 0)
     out = _blocks(packets.where("bytes > 0"), window_ms).withColumn("depth", F.count("*").over(w)).where("_own").drop("_block", "_own")
-    held = ((F.col("type") == "video") & (F.col("depth") >= full)) | ((F.col("type") == "delta") & (F.col("depth") >= high))
-    return out.withColumn("sent", ~held)
+    return out.withColumn("sent", ~((F.col("type") == "delta") & (F.col("depth") >= critical)))
 
 
 def mux_places(packets: DataFrame, block: int = 1024) -> DataFrame:

@@ -74,7 +74,18 @@ def fps_select_k(spark, d):
     return K.select_spread(V.cameras(spark, d), 4, viewer=(3.0, 0.0, 0.0))
 
 
-_NEAR = f"{V.CAMERAS}, s AS (SELECT a.rig, a.camera_index AS target, b.camera_index AS source, row_number() OVER (PARTITION BY a.rig, a.camera_index ORDER BY round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 9), b.camera_index) - 1 AS nth FROM cameras a JOIN cameras b ON a.rig = b.rig AND a.camera_index <> b.camera_index)"
+def _views_sql(k: int) -> str:
+    """For each target its nearest camera, then a step at a time the one with the largest least angle to those chosen. Rigs have 8 cameras."""
+    out = f"""{V.CAMERAS}, n AS (SELECT *, sqrt(x*x+y*y+z*z) + 1e-8 AS r FROM cameras), g AS MATERIALIZED (SELECT a.rig, a.camera_index AS a, b.camera_index AS b, round(acos(greatest(-1, least(1, a.x/a.r*b.x/b.r + a.y/a.r*b.y/b.r + a.z/a.r*b.z/b.r))), 9) AS angle, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 9) AS far FROM n a JOIN n b ON a.rig = b.rig AND a.camera_index <> b.camera_index),
+w0 AS (SELECT rig, a AS target, b AS source, 0::BIGINT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY rig, a ORDER BY far, b) AS k FROM g) WHERE k = 1)"""
+    for n in range(1, k):
+        out += f""", l{n} AS (SELECT w.rig, w.target, c.camera_index AS source, min(g.angle) AS least FROM w{n - 1} w JOIN cameras c ON c.rig = w.rig AND c.camera_index <> w.target JOIN g ON g.rig = w.rig AND g.a = c.camera_index AND g.b = w.source
+ WHERE NOT EXISTS (SELECT 1 FROM w{n - 1} q WHERE q.rig = w.rig AND q.target = w.target AND q.source = c.camera_index) GROUP BY 1, 2, 3),
+w{n} AS MATERIALIZED (SELECT * FROM w{n - 1} UNION ALL SELECT rig, target, source, {n}::BIGINT FROM (SELECT *, row_number() OVER (PARTITION BY rig, target ORDER BY least DESC, source) AS k FROM l{n}) WHERE k = 1)"""
+    return f"{out}, s AS (SELECT * FROM w{k - 1})"
+
+
+_NEAR = _views_sql(3)
 
 
 @query("source_views", f"WITH {_NEAR} SELECT * FROM s WHERE nth < 3")

@@ -82,10 +82,10 @@ def bitrate_2s(spark, d):
     f"""WITH {V.PACKETS}, q AS (SELECT event_id, worker_id, timestamp_ms, count(*) OVER (PARTITION BY worker_id ORDER BY timestamp_ms RANGE BETWEEN 2000 PRECEDING AND CURRENT ROW) AS depth FROM packets),
 a AS (SELECT *, CASE WHEN depth >= 9 THEN 'skip_video' WHEN depth >= 6 THEN 'drop_delta' ELSE 'none' END AS action FROM q),
 l AS (SELECT *, coalesce(lag(action) OVER (PARTITION BY worker_id ORDER BY timestamp_ms, event_id), 'none') AS before FROM a)
-SELECT event_id, worker_id, depth, action FROM l WHERE action <> before""",
+SELECT event_id, worker_id, depth, action FROM l WHERE action <> 'none' AND action <> before""",
 )
 def queue_action_changes(spark, d):
-    return Y.queue_actions(V.packets(spark, d), high=6, full=9).select("event_id", "worker_id", "depth", "action")
+    return Y.queue_actions(V.packets(spark, d), high=6, critical=9).select("event_id", "worker_id", "depth", "action")
 
 
 @query("packet_counters", f"WITH {V.PACKETS} SELECT worker_id, count(*) FILTER (type='video') AS videos, count(*) FILTER (type='keyframe') AS keyframes, count(*) FILTER (type='delta') AS deltas, CAST(sum(bytes) AS BIGINT) AS bytes FROM packets GROUP BY 1")
@@ -126,10 +126,10 @@ def quality_class(spark, d):
 @query(
     "adaptive_sends",
     f"""WITH {V.PACKETS}, q AS (SELECT *, count(*) OVER (PARTITION BY worker_id ORDER BY timestamp_ms RANGE BETWEEN 2000 PRECEDING AND CURRENT ROW) AS depth FROM packets WHERE bytes > 0)
-SELECT worker_id, type, count(*) AS packets, count(*) FILTER (NOT (type = 'video' AND depth >= 9 OR type = 'delta' AND depth >= 6)) AS sent FROM q GROUP BY 1, 2""",
+SELECT worker_id, type, count(*) AS packets, count(*) FILTER (NOT (type = 'delta' AND depth >= 9)) AS sent FROM q GROUP BY 1, 2""",
 )
 def adaptive_sends(spark, d):
-    out = Y.adapted(V.packets(spark, d), high=6, full=9)
+    out = Y.adapted(V.packets(spark, d), critical=9)
     return out.groupBy("worker_id", "type").agg(F.count("*").alias("packets"), F.count_if("sent").alias("sent"))
 
 
