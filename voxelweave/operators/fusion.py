@@ -118,7 +118,13 @@ def tsdf(voxels: DataFrame, depth: DataFrame, rig: DataFrame, truncation: float,
         c = G.add(G.rotated(F.col("r_rotation"), G.vec(names=("wx", "wy", "wz"))), (t[0], t[1], t[2]))
         weight = F.greatest(F.lit(0.1), F.col("z") / G.length(c))
     seen = F.struct(F.col("r_camera_index").alias("c"), F.least(F.lit(1.0), F.col("sdf") / truncation).alias("t"), weight.alias("w"), (F.col(f"d_{color}").cast("double") if color else F.lit(0.0)).alias("v"))
-    held = hit.groupBy("voxel_id").agg(F.array_sort(F.collect_list(seen)).alias("ts"))
+    out = folded(hit.withColumn("_seen", seen), ["voxel_id"], cap)
+    return out if color else out.drop("color")
+
+
+def folded(hit: DataFrame, keys: list[str], cap: float) -> DataFrame:
+    """(keys, tsdf, weight, color): the running mean over what each voxel met (column _seen: c, t, w, v) in the order of the cameras."""
+    held = hit.groupBy(*keys).agg(F.array_sort(F.collect_list("_seen")).alias("ts"))
     zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("w"), F.lit(0.0).alias("v"))
 
     def add(s, x):
@@ -126,8 +132,7 @@ def tsdf(voxels: DataFrame, depth: DataFrame, rig: DataFrame, truncation: float,
         share = x["w"] / w
         return F.struct(((s["t"] * s["w"] + x["t"] * x["w"]) / w).alias("t"), w.alias("w"), F.floor(s["v"] * (1 - share) + x["v"] * share).cast("double").alias("v"))
 
-    out = held.select("voxel_id", F.aggregate("ts", zero, add).alias("f")).select("voxel_id", F.col("f.t").alias("tsdf"), F.col("f.w").alias("weight"), F.col("f.v").alias("color"))
-    return out if color else out.drop("color")
+    return held.select(*keys, F.aggregate("ts", zero, add).alias("f")).select(*keys, F.col("f.t").alias("tsdf"), F.col("f.w").alias("weight"), F.col("f.v").alias("color"))
 
 
 def observed(grid: DataFrame, least_weight: float = 1.0) -> DataFrame:
