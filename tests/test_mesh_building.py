@@ -110,8 +110,7 @@ def test_what_must_not_collapse(spark):
 
 def test_a_round_takes_no_two_picks_that_touch(spark):
     v, f = tables(spark, {1: sphere(1), 2: grid(8, lambda i, j: math.sin(i) * math.cos(j))})
-    limits = S.error_limits(v, 1.0)
-    good = S.picks(S.quadrics(v, f), f, limits)
+    good = S.picks(S.quadrics(v, f), f, 1.0)
     chosen = [tuple(r) for r in S.independent(good, f).select("mesh_id", "a", "b").collect()]
     ring = {}
     for r in f.collect():

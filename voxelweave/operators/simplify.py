@@ -32,10 +32,20 @@ BORDER = 10.0
 TURN = 0.25
 
 
+#: A plane: its unit normal, distance and weight.
+PLANE = ["nx", "ny", "nz", "d", "w"]
+
+
 def _plane(n: tuple[Column, Column, Column], at: tuple[Column, Column, Column], weight: Column) -> list[Column]:
-    d = -G.dot(n, at)
-    x, y, z = n
-    return [c.alias(k) for k, c in zip(Q, [weight * p for p in (x * x, x * y, x * z, x * d, y * y, y * z, y * d, z * z, z * d, d * d)] + [weight], strict=True)]
+    return [c.alias(k) for k, c in zip(PLANE, (*n, -G.dot(n, at), weight), strict=True)]
+
+
+def _summed(planes: DataFrame) -> DataFrame:
+    """(mesh_id, vid, Q) of planes at vertices. Planes are dealt out as five numbers; products of them are made where they are summed."""
+    x, y, z, d, w = (F.col(k) for k in PLANE)
+    products = dict(zip(Q, (x * x, x * y, x * z, x * d, y * y, y * z, y * d, z * z, z * d, d * d, F.lit(1.0)), strict=True))
+    dealt = planes.repartition("mesh_id", "vid")
+    return dealt.groupBy("mesh_id", "vid").agg(*[F.sum(w * p).alias(k) for k, p in products.items()])
 
 
 def cornered(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -58,24 +68,25 @@ def edges(faces: DataFrame) -> DataFrame:
 
 
 def quadrics(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """vertices with their quadrics, in coordinates from the middle of the mesh's box (lx, ly, lz)."""
-    box = vertices.groupBy("mesh_id").agg(*[((F.min(c) + F.max(c)) / 2).alias(f"m{c}") for c in "xyz"])
-    local = vertices.join(box, "mesh_id").select("mesh_id", "vid", *[(F.col(c) - F.col(f"m{c}")).alias(f"l{c}") for c in "xyz"])
+    """vertices with their quadrics, in coordinates from the middle of the mesh's box (lx, ly, lz), and the box's squared radius (r2)."""
+    box = vertices.groupBy("mesh_id").agg(*[((F.min(c) + F.max(c)) / 2).alias(f"m{c}") for c in "xyz"]).join(radii(vertices), "mesh_id")
+    local = vertices.join(box, "mesh_id").select("mesh_id", "vid", *[(F.col(c) - F.col(f"m{c}")).alias(f"l{c}") for c in "xyz"], "r2")
     f = cornered(faces, local.select("mesh_id", "vid", *[F.col(f"l{c}").alias(c) for c in "xyz"]))
     a, b, c = (G.vec(s) for s in "abc")
     f = f.withColumns({f"n{k}": x for k, x in zip("xyz", G.cross(G.sub(b, a), G.sub(c, a)), strict=True)})
     f = f.withColumn("size", G.length(G.vec("n"))).where("size > 0")
     unit = tuple(F.col(f"n{k}") / F.col("size") for k in "xyz")
-    of_faces = f.select("mesh_id", F.explode(F.array("i0", "i1", "i2")).alias("vid"), *_plane(unit, a, F.col("size") / 2))
-    once = edges(faces).where("n = 1").select("mesh_id", "lo", "hi")
-    three = F.array(*[F.struct(F.least(f"i{i}", f"i{j}").alias("lo"), F.greatest(f"i{i}", f"i{j}").alias("hi"), *[F.col(f"{'abc'[i]}{k}").alias(f"p{k}") for k in "xyz"], *[F.col(f"{'abc'[j]}{k}").alias(f"q{k}") for k in "xyz"]) for i, j in ((0, 1), (1, 2), (2, 0))])
-    border = f.select("mesh_id", *[x.alias(f"n{k}") for k, x in zip("xyz", unit, strict=True)], F.inline(three)).join(once, ["mesh_id", "lo", "hi"])
-    way = G.sub(G.vec("q"), G.vec("p"))
-    border = border.withColumns({f"w{k}": x for k, x in zip("xyz", G.cross(way, G.vec("n")), strict=True)}).withColumn("size", G.length(G.vec("w"))).where("size > 0")
+    of_faces = f.select(F.array("i0", "i1", "i2").alias("vids"), "mesh_id", *_plane(unit, a, F.col("size") / 2))
+    # a border edge with the third corner of its face, as a triangle
+    once = sides(faces).groupBy("mesh_id", F.least("a", "b").alias("i0"), F.greatest("a", "b").alias("i1")).agg(F.count("*").alias("n"), F.min("c").alias("i2")).where("n = 1").drop("n")
+    border = cornered(once, local.select("mesh_id", "vid", *[F.col(f"l{c}").alias(c) for c in "xyz"]))
+    way = G.sub(b, a)
+    border = border.withColumns({f"n{k}": x for k, x in zip("xyz", G.cross(way, G.sub(c, a)), strict=True)}).withColumn("area", G.length(G.vec("n"))).where("area > 0")
+    border = border.withColumns({f"w{k}": x for k, x in zip("xyz", G.cross(way, tuple(F.col(f"n{k}") / F.col("area") for k in "xyz")), strict=True)}).withColumn("size", G.length(G.vec("w"))).where("size > 0")
     stands = tuple(F.col(f"w{k}") / F.col("size") for k in "xyz")
-    of_borders = border.select("mesh_id", F.explode(F.array("lo", "hi")).alias("vid"), *_plane(stands, G.vec("p"), BORDER * F.col("size") * F.col("size")))
-    sums = of_faces.unionByName(of_borders).groupBy("mesh_id", "vid").agg(*[F.sum(k).alias(k) for k in Q])
-    return local.join(sums, ["mesh_id", "vid"])  # unused vertices go
+    of_borders = border.select(F.array("i0", "i1").alias("vids"), "mesh_id", *_plane(stands, a, BORDER * F.col("size") * F.col("size")))
+    planes = of_faces.unionByName(of_borders).select("mesh_id", F.explode("vids").alias("vid"), *PLANE)
+    return local.join(_summed(planes), ["mesh_id", "vid"])  # unused vertices go
 
 
 def error_at(x: Column, y: Column, z: Column) -> Column:
@@ -85,22 +96,23 @@ def error_at(x: Column, y: Column, z: Column) -> Column:
     return F.abs(r) / q["qw"]
 
 
-def picks(state: DataFrame, faces: DataFrame, limits: DataFrame, lock_border: bool = False, salt: int = 0) -> DataFrame:
-    """(mesh_id, a, b, cost): the cheapest collapse of each vertex that may go, faces unturned, cost within the mesh's limit (mesh_id,
-    most). A salt leaves out a third of the edges, another third for another salt."""
+def picks(state: DataFrame, faces: DataFrame, target_error: float, lock_border: bool = False, salt: int = 0) -> DataFrame:
+    """(mesh_id, a, b, cost): the cheapest collapse of each vertex that may go, faces unturned, at a distance of at most a share of the mesh's
+    radius. A salt leaves out a third of the edges, another third for another salt."""
     e = edges(faces)
     ends = e.select("mesh_id", F.explode(F.array("lo", "hi")).alias("vid"), "n")
     kinds = ends.groupBy("mesh_id", "vid").agg(F.max(F.col("n") == 1).alias("border"), (F.max(F.col("n") > 2) | (F.count_if(F.col("n") == 1) > 2)).alias("locked"), F.count("*").alias("valence"))
     s = sides(faces)
     ways = e.select("mesh_id", F.inline(F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")), F.struct(F.col("hi").alias("a"), F.col("lo").alias("b")))), "n")
-    here = state.select("mesh_id", F.col("vid").alias("a"), *Q)
+    here = state.select("mesh_id", F.col("vid").alias("a"), "r2", *Q)
     there = state.select("mesh_id", F.col("vid").alias("b"), "lx", "ly", "lz")
     ka = kinds.select("mesh_id", F.col("vid").alias("a"), F.col("border").alias("ba"), F.col("locked").alias("la"), F.col("valence").alias("va"))
     kb = kinds.select("mesh_id", F.col("vid").alias("b"), F.col("valence").alias("vb"))
     may = ways if not salt else ways.where(F.pmod(F.col("a") + 7 * F.col("b") + salt, F.lit(3)) != 0)
-    may = may.join(limits, "mesh_id").join(ka, ["mesh_id", "a"]).where(~F.col("la") & (~F.col("ba") | ((F.col("n") == 1) & F.lit(not lock_border))))
-    may = may.join(kb, ["mesh_id", "b"]).where("NOT (va = 3 AND vb = 3)").join(here, ["mesh_id", "a"]).join(there, ["mesh_id", "b"])
-    may = may.withColumn("cost", error_at(F.col("lx"), F.col("ly"), F.col("lz"))).where(F.col("cost") <= F.col("most"))
+    # what b adds is small and comes first; a's quadric then meets the edges where they are grouped by a, and is not dealt out again
+    may = may.join(kb.join(there, ["mesh_id", "b"]), ["mesh_id", "b"])
+    may = may.join(ka.join(here, ["mesh_id", "a"]), ["mesh_id", "a"]).where(~F.col("la") & (~F.col("ba") | ((F.col("n") == 1) & F.lit(not lock_border))) & ~((F.col("va") == 3) & (F.col("vb") == 3)))
+    may = may.withColumn("cost", error_at(F.col("lx"), F.col("ly"), F.col("lz"))).where(F.col("cost") <= target_error * target_error * F.col("r2"))
     best = may.groupBy("mesh_id", "a").agg(F.min(F.struct("cost", "b", "n")).alias("m")).select("mesh_id", "a", "m.b", "m.cost", "m.n")
     best = cut(best, "picks")
     # neighbours of both ends of the pick against the faces that it has
@@ -110,9 +122,11 @@ def picks(state: DataFrame, faces: DataFrame, limits: DataFrame, lock_border: bo
     good = best.join(common, ["mesh_id", "a"]).where("common = n").drop("common")
     # the faces around a that don't hold b, before and after
     around = s.select("mesh_id", "a", F.col("b").alias("p"), F.col("c").alias("q"))
-    rest = good.join(around, ["mesh_id", "a"]).where("p <> b AND q <> b")
-    for k in ("a", "b", "p", "q"):
-        rest = rest.join(state.select("mesh_id", F.col("vid").alias(k), *[F.col(f"l{c}").alias(f"{k}{c}") for c in "xyz"]), ["mesh_id", k])
+    # the places of a pick's own ends come first, when there is one row for each pick
+    at = lambda k: state.select("mesh_id", F.col("vid").alias(k), *[F.col(f"l{c}").alias(f"{k}{c}") for c in "xyz"])
+    rest = good.select("mesh_id", "a", "b").join(at("b"), ["mesh_id", "b"]).join(at("a"), ["mesh_id", "a"]).join(around, ["mesh_id", "a"]).where("p <> b AND q <> b").drop("b")
+    for k in "pq":
+        rest = rest.join(at(k), ["mesh_id", k]).drop(k)
     a, b, p, q = (G.vec(k) for k in "abpq")
     for name, v in (("u", G.cross(G.sub(p, a), G.sub(q, a))), ("v", G.cross(G.sub(p, b), G.sub(q, b)))):
         rest = rest.withColumns({f"{name}{c}": x for c, x in zip("xyz", v, strict=True)})
@@ -162,20 +176,20 @@ def collapsed(state: DataFrame, faces: DataFrame, chosen: DataFrame) -> tuple[Da
         out = out.join(m, (F.col("mesh_id") == F.col("_m")) & (F.col(f"i{k}") == F.col("_a")), "left").withColumn(f"i{k}", F.coalesce("_b", f"i{k}")).drop("_m", "_a", "_b")
     out = out.where("i0 <> i1 AND i1 <> i2 AND i0 <> i2").select("mesh_id", "fid", "i0", "i1", "i2")
     moved = state.join(moves.withColumnRenamed("_a", "vid"), ["mesh_id", "vid"], "left").withColumn("_to", F.coalesce("_b", "vid"))
-    sums = moved.groupBy("mesh_id", F.col("_to").alias("vid")).agg(*[F.sum(k).alias(k) for k in Q], *[F.max(F.when(F.col("_b").isNull(), F.col(f"l{c}"))).alias(f"l{c}") for c in "xyz"])
-    return sums.select("mesh_id", "vid", "lx", "ly", "lz", *Q), out
+    sums = moved.groupBy("mesh_id", F.col("_to").alias("vid")).agg(*[F.sum(k).alias(k) for k in Q], *[F.max(F.when(F.col("_b").isNull(), F.col(f"l{c}"))).alias(f"l{c}") for c in "xyz"], F.max("r2").alias("r2"))
+    return sums.select("mesh_id", "vid", "lx", "ly", "lz", "r2", *Q), out
 
 
-def error_limits(vertices: DataFrame, target_error: float) -> DataFrame:
-    """(mesh_id, most): the square of a share of the radius of each mesh's box."""
+def radii(vertices: DataFrame) -> DataFrame:
+    """(mesh_id, r2): the squared radius of each mesh's box."""
     box = vertices.groupBy("mesh_id").agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"])
-    return box.select("mesh_id", (target_error * target_error * (F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")) / 4).alias("most"))
+    return box.select("mesh_id", ((F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")) / 4).alias("r2"))
 
 
 def one_round(vertices: DataFrame, faces: DataFrame, target_error: float = 0.01, lock_border: bool = False) -> DataFrame:
     """Faces after one round from the input, without a target."""
     state = cut(quadrics(vertices, faces), "quadrics")
-    chosen = independent(cut(picks(state, faces, error_limits(vertices, target_error), lock_border), "good"), faces)
+    chosen = independent(cut(picks(state, faces, target_error, lock_border), "good"), faces)
     return collapsed(state, faces, chosen)[1]
 
 
@@ -184,7 +198,6 @@ def simplify(vertices: DataFrame, faces: DataFrame, target: int = 25_000, least:
     error allows; smaller ones stay. In a round the cheapest `share` of a mesh's picks take part. metrics: mesh_id, input and output counts and
     the largest error, relative to the radius of the mesh."""
     goal = max(target, least)
-    limits = cut(error_limits(vertices, target_error), "limits")
     start = faces.groupBy("mesh_id").agg(F.count("*").alias("input_faces"))
     big = start.where(F.col("input_faces") > goal).select("mesh_id")
     at = cut(faces.join(big, "mesh_id", "left_semi").select("mesh_id", "fid", "i0", "i1", "i2"), "faces")
@@ -193,7 +206,7 @@ def simplify(vertices: DataFrame, faces: DataFrame, target: int = 25_000, least:
     for nth in range(rounds):
         need = at.groupBy("mesh_id").agg(F.ceil((F.count("*") - goal) / 2).alias("collapses")).where("collapses > 0")
         live = at.join(need, "mesh_id", "left_semi")
-        good = cut(picks(state, live, limits, lock_border, salt), "good")
+        good = cut(picks(state, live, target_error, lock_border, salt), "good")
         some = good
         if share < 1 and not idle:
             cheap = good.groupBy("mesh_id").agg(F.percentile_approx("cost", F.lit(share), F.lit(1000)).alias("_most"))
@@ -215,7 +228,7 @@ def simplify(vertices: DataFrame, faces: DataFrame, target: int = 25_000, least:
     kept = vertices.join(used, ["mesh_id", "vid"], "left_semi")
     sizes = start.join(vertices.groupBy("mesh_id").agg(F.count("*").alias("input_vertices")), "mesh_id", "left")
     sizes = sizes.join(out.groupBy("mesh_id").agg(F.count("*").alias("output_faces")), "mesh_id", "left").join(used.groupBy("mesh_id").agg(F.count("*").alias("output_vertices")), "mesh_id", "left")
-    radius = error_limits(vertices, 1.0).withColumnRenamed("most", "_r")
+    radius = radii(vertices).withColumnRenamed("r2", "_r")
     worst = faces.sparkSession.read.schema("mesh_id long, a long, b long, cost double").option("recursiveFileLookup", "true").parquet(log)
     sizes = sizes.join(worst.groupBy("mesh_id").agg(F.max("cost").alias("worst")), "mesh_id", "left").join(radius, "mesh_id", "left").withColumn("result_error", F.when(F.col("_r") > 0, F.sqrt(F.coalesce("worst", F.lit(0.0)) / F.col("_r"))).otherwise(0.0))
     return kept, out, sizes.select("mesh_id", "input_faces", "input_vertices", F.coalesce("output_faces", F.lit(0)).alias("output_faces"), F.coalesce("output_vertices", F.lit(0)).alias("output_vertices"), "result_error")
