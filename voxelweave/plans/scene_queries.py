@@ -220,7 +220,8 @@ def tsdf_color(spark, d):
 
 @query(
     "zero_crossings",
-    f"""WITH {V.SDF}, c AS (SELECT a.vx, a.vy, a.vz, s.axis, a.sdf AS s0, b.sdf AS s1 FROM sdf_grid a, (VALUES ('x',1,0,0),('y',0,1,0),('z',0,0,1)) s(axis,i,j,k), sdf_grid b WHERE b.vx=a.vx+s.i AND b.vy=a.vy+s.j AND b.vz=a.vz+s.k)
+    f"""WITH {V.SDF}, g AS MATERIALIZED (SELECT *, (vx*1000 + vy)*1000 + vz AS key FROM sdf_grid), st AS (SELECT g.*, axis, key + step AS next FROM g, (VALUES ('x', 1000000), ('y', 1000), ('z', 1)) s(axis, step)),
+c AS (SELECT a.vx, a.vy, a.vz, a.axis, a.sdf AS s0, b.sdf AS s1 FROM st a JOIN g b ON b.key = a.next)
 SELECT vx, vy, vz, axis, round(least(1, greatest(0, -s0/(s1-s0))), 6) AS t FROM c WHERE (s0 < 0) <> (s1 < 0)""",
 )
 def zero_crossings(spark, d):
@@ -254,9 +255,24 @@ def observed_cubes(spark, d):
     return U.cubes(U.observed(V.sdf_grid(spark, d))).select("vx", "vy", "vz")
 
 
-@query("marching_cubes_tris")
+def _cubes_sql() -> str:
+    """Marching cubes: the mask of each cell, its triangles' edges by case, and the place on each edge. Both lists come from the rule and the
+    numbering that the engine has; what is checked is how they are used."""
+    cases = ", ".join(f"({m}, {n}, {a}, {b}, {c})" for m, ts in U.case_table() for n, (a, b, c) in enumerate(ts))
+    edges = ", ".join(f"({e}, {a + 1}, {b + 1}, {', '.join(map(str, (*U.CORNERS[a], *U.CORNERS[b])))})" for e, (a, b) in enumerate(U.EDGES))
+    corners = ", ".join(f"({c}, {i}, {j}, {k})" for c, (i, j, k) in enumerate(U.CORNERS))
+    place = ", ".join(f"round(vx + x{k}.ax + t{k}*(x{k}.bx - x{k}.ax), 6) AS p{k}x, round(vy + x{k}.ay + t{k}*(x{k}.by_ - x{k}.ay), 6) AS p{k}y, round(vz + x{k}.az + t{k}*(x{k}.bz - x{k}.az), 6) AS p{k}z" for k in range(3))
+    along = ", ".join(f"least(1, greatest(0, -ds[x{k}.a]/(ds[x{k}.b]-ds[x{k}.a]))) AS t{k}" for k in range(3))
+    return f"""WITH {V.SDF}, co(c, i, j, k) AS (VALUES {corners}), ca(mask, nth, e0, e1, e2) AS (VALUES {cases}), eg(e, a, b, ax, ay, az, bx, by_, bz) AS (VALUES {edges}),
+m AS (SELECT g.vx-i AS vx, g.vy-j AS vy, g.vz-k AS vz, count(*) AS n, list(sdf ORDER BY c) AS ds, bit_or(CASE WHEN sdf < 0 THEN 1 << c ELSE 0 END) AS mask FROM sdf_grid g, co GROUP BY 1, 2, 3),
+t AS (SELECT m.*, nth, e0, e1, e2 FROM m JOIN ca USING (mask) WHERE n = 8), f AS (SELECT t.*, x0, x1, x2, {along} FROM t JOIN eg x0 ON x0.e = e0 JOIN eg x1 ON x1.e = e1 JOIN eg x2 ON x2.e = e2)
+SELECT vx, vy, vz, CAST(nth AS INTEGER) AS nth, {place} FROM f"""
+
+
+@query("marching_cubes_tris", _cubes_sql())
 def marching_cubes_tris(spark, d):
-    return U.marching_cubes(V.sdf_grid(spark, d))
+    out = U.marching_cubes(V.sdf_grid(spark, d))
+    return out.select("vx", "vy", "vz", "nth", *[r6(f"p{k}{v}").alias(f"p{k}{v}") for k in range(3) for v in "xyz"])
 
 
 def _mesh(spark, d):
