@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from voxelweave.functions import binary as B
 
@@ -110,6 +111,30 @@ def unwire(streams: DataFrame, data: str = "wire") -> DataFrame:
     return streams.select(data).mapInPandas(run, "kind int, flags int, frame_id long, timestamp_ms long, payload binary")
 
 
+class UnpackPackets:
+    """The whole packets of one byte stream, in order, and a last row with what is left after them, if anything is: the bytes of a packet
+    that is not complete yet (cut), or foreign ones, after which nothing is read. A null stream has no rows."""
+
+    def eval(self, data: bytes):
+        if data is None:
+            return
+        data, at = bytes(data), 0
+        while at < len(data):
+            head = B.parse_header(data[at : at + B.PACKET.size])
+            end = at + B.PACKET.size + (head[4] if head else 0)
+            if head is None or end > len(data):
+                cut = head is not None or B.PACKET.pack(B.PACKET_MAGIC, 0, 0, 0, 0, 0)[:4].startswith(data[at : at + 4])
+                yield None, None, None, None, data[at:], "cut" if cut else "foreign"
+                return
+            yield (*head[:4], data[at + B.PACKET.size : end], None)
+            at = end
+
+
+def register_packets(spark, name: str = "unpack_packets") -> None:
+    """Makes the table function usable in SQL: SELECT .. FROM streams, LATERAL unpack_packets(data)."""
+    spark.udtf.register(name, udtf(UnpackPackets, returnType="kind int, flags int, frame_id long, timestamp_ms long, payload binary, rest string"))
+
+
 def dispatch(packets: DataFrame) -> dict[str, DataFrame]:
     """Packets by what they carry: end markers first, then by type; unknown types are in none."""
     final = F.col("flags").bitwiseAND(F.lit(B.FLAG_IS_FINAL)) != 0

@@ -63,6 +63,26 @@ def packet_round_trip(spark, d):
     return out.select("kind", "flags", "frame_id", "timestamp_ms", F.col("payload").cast("string").cast("long").alias("event_id"))
 
 
+@query(
+    "packet_streams",
+    f"""WITH {V.PACKETS}, p AS (SELECT *, {_KIND} AS kind, event_id // 16 AS stream, row_number() OVER (PARTITION BY event_id // 16 ORDER BY event_id) AS n, count(*) OVER (PARTITION BY event_id // 16) AS m FROM packets)
+SELECT stream, CAST(kind AS INTEGER) AS kind, frame_id, event_id, CAST(NULL AS VARCHAR) AS rest FROM p WHERE NOT (stream % 3 = 1 AND n = m) AND NOT (stream % 3 = 2 AND n > 3)
+UNION ALL SELECT DISTINCT stream, NULL::INTEGER, NULL::BIGINT, NULL::BIGINT, CASE WHEN stream % 3 = 1 THEN 'cut' ELSE 'foreign' END FROM p WHERE stream % 3 = 1 OR stream % 3 = 2 AND m > 3""",
+)
+def packet_streams(spark, d):
+    """Byte streams of up to 16 packets each through a table function in SQL: every third lacks its last byte, every third has a foreign
+    header after three packets."""
+    p = V.packets(spark, d).select(F.expr(_KIND).alias("kind"), F.lit(1).alias("flags"), "frame_id", "timestamp_ms", F.col("event_id").cast("string").cast("binary").alias("payload"), "event_id")
+    wired = D.wire(p).select(F.expr("event_id div 16").alias("stream"), "event_id", F.hex("wire").alias("wire"))
+    held = wired.groupBy("stream").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "wire"))), lambda x: x["wire"]).alias("w"))  # 16 at most
+    whole = F.array_join("w", "")
+    foreign = F.concat(F.array_join(F.slice("w", 1, 3), ""), F.when(F.size("w") > 3, F.concat(F.lit("FF"), F.array_join(F.slice("w", 4, 16), ""))).otherwise(""))
+    data = F.when(F.col("stream") % 3 == 1, F.expr("substring(array_join(w, ''), 1, length(array_join(w, '')) - 2)")).when(F.col("stream") % 3 == 2, foreign).otherwise(whole)
+    D.register_packets(spark)
+    out = spark.sql("SELECT s.stream, u.* FROM {s} s, LATERAL unpack_packets(s.data) u", s=held.select("stream", F.unhex(data).alias("data")))
+    return out.select("stream", "kind", "frame_id", F.when(F.col("rest").isNull(), F.col("payload").cast("string").cast("long")).alias("event_id"), "rest")
+
+
 @query(
     "splat_composite",
     f"""WITH {V.SPLATS}, g AS (SELECT frame_id, splat_id, px AS x, py AS y, pz + 3 AS z, sx*0.02 AS sx, sy*0.02 AS sy, sz*0.02 AS sz, qw, qx, qy, qz, opacity, least(1, greatest(0, 0.28209479*sh[1]+0.5)) AS red FROM splats WHERE pz + 3 > 0.1),

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from voxelweave.functions import binary as B
@@ -55,21 +55,30 @@ class MergePipeline:
     interval: int = 30
     tracker: T.TrackerConfig = field(default_factory=T.TrackerConfig)
 
+    def _versions(self, name: str) -> list[int]:
+        """Batches that a table has a version of: two or three, as older ones are deleted."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+        return sorted(int(n.partition("=")[2]) for n in names if n.startswith("batch="))
+
     def _read(self, name: str, batch_id: int) -> DataFrame | None:
         """The newest version of a table before a batch."""
-        try:
-            rows = self.spark.read.parquet(f"{self.folder}/{name}")
-        except Exception as e:  # no version yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-        last = rows.where(F.col("batch") < batch_id).agg(F.max("batch")).first()[0]
-        return None if last is None else rows.where(F.col("batch") == last).drop("batch")
-
-    def _write(self, rows: DataFrame, name: str, batch_id: int) -> DataFrame:
-        path = f"{self.folder}/{name}/batch={batch_id}"
-        rows.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        before = [v for v in self._versions(name) if v < batch_id]
+        return self.spark.read.parquet(f"{self.folder}/{name}/batch={before[-1]}") if before else None
+
+    def _forget(self, batch_id: int) -> None:
+        """Deletes what no batch reads again: a batch that is repeated needs the version before its own."""
+        for name in ("decoded", "merged", "state", "clock", "keyframe"):
+            for v in [v for v in self._versions(name) if v < batch_id][:-1]:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/batch={v}")
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _write(self, rows: DataFrame, name: str, batch_id: int) -> tuple[DataFrame, int]:
+        """The written table and its rows, which are counted as they are written."""
+        path, seen = f"{self.folder}/{name}/batch={batch_id}", Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path), seen.get["rows"]
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch of (frame_id, worker_id, timestamp_ms, payload)."""
@@ -78,11 +87,11 @@ class MergePipeline:
         if newest.last is None:
             return
         (frame_id, stamp), frames = newest.last, newest.frames
-        splats = self._write(decode_partials(batch.where(F.col("frame_id") == frame_id)), "decoded", batch_id)
+        splats, n_splats = self._write(decode_partials(batch.where(F.col("frame_id") == frame_id)), "decoded", batch_id)
         merged = S.merge(splats, self.radius, min_opacity=self.min_opacity).select("splat_id", *T.ATTRIBUTES, "sh")
-        merged = self._write(merged, "merged", batch_id)
+        merged, n_merged = self._write(merged, "merged", batch_id)
         before, clock = self._read("state", batch_id), self._read("clock", batch_id)
-        state = self._write(T.start(merged) if before is None else T.step(before, merged, self.tracker), "state", batch_id)
+        state, n_state = self._write(T.start(merged) if before is None else T.step(before, merged, self.tracker), "state", batch_id)
         since = None if clock is None else clock.first()["since"]
         now = state.withColumn("frame_id", F.lit(frame_id).cast("long"))
         key = None if since is None or since + 1 >= self.interval else self._read("keyframe", batch_id)
@@ -93,8 +102,9 @@ class MergePipeline:
         self._write(D.wire(packets), "packets", batch_id)
         self._write(now if key is None else key, "keyframe", batch_id)
         self._write(self.spark.createDataFrame([(0 if key is None else since + 1,)], "since int"), "clock", batch_id)
-        row = (frame_id, frames - 1, splats.count(), merged.count(), state.count(), key is None, time.time() - began)
+        row = (frame_id, frames - 1, n_splats, n_merged, n_state, key is None, time.time() - began)
         self._write(self.spark.createDataFrame([row], "frame_id long, skipped long, splats long, merged long, tracked long, is_keyframe boolean, seconds double"), "metrics", batch_id)
+        self._forget(batch_id)
 
     def _same(self, key: DataFrame, state: DataFrame) -> bool:
         """Whether two tables hold the same splats."""
