@@ -122,15 +122,17 @@ def tsdf(voxels: DataFrame, depth: DataFrame, rig: DataFrame, truncation: float,
     return out if color else out.drop("color")
 
 
-def folded(hit: DataFrame, keys: list[str], cap: float) -> DataFrame:
-    """(keys, tsdf, weight, color): the running mean over what each voxel met (column _seen: c, t, w, v) in the order of the cameras."""
+def folded(hit: DataFrame, keys: list[str], cap: float, plain: bool = False) -> DataFrame:
+    """(keys, tsdf, weight, color): the running mean over what each voxel met (column _seen: c, t, w, v) in the order of the cameras. plain:
+    _seen is c and t alone, every weight 1 and every colour 0."""
     held = hit.groupBy(*keys).agg(F.array_sort(F.collect_list("_seen")).alias("ts"))
     zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("w"), F.lit(0.0).alias("v"))
 
     def add(s, x):
-        w = F.least(F.lit(cap), s["w"] + x["w"])
-        share = x["w"] / w
-        return F.struct(((s["t"] * s["w"] + x["t"] * x["w"]) / w).alias("t"), w.alias("w"), F.floor(s["v"] * (1 - share) + x["v"] * share).cast("double").alias("v"))
+        own, value = (F.lit(1.0), F.lit(0.0)) if plain else (x["w"], x["v"])
+        w = F.least(F.lit(cap), s["w"] + own)
+        share = own / w
+        return F.struct(((s["t"] * s["w"] + x["t"] * own) / w).alias("t"), w.alias("w"), F.floor(s["v"] * (1 - share) + value * share).cast("double").alias("v"))
 
     return held.select(*keys, F.aggregate("ts", zero, add).alias("f")).select(*keys, F.col("f.t").alias("tsdf"), F.col("f.w").alias("weight"), F.col("f.v").alias("color"))
 
