@@ -42,15 +42,22 @@ def spz_round_trip(spark, d):
     return out.select("frame_id", "splat_id", F.round("opacity", 6).alias("opacity"), F.round("py", 4).alias("py"), F.round("sx", 4).alias("sx"), F.round("qw", 6).alias("qw"), F.round(F.col("sh")[47], 6).alias("sh47"))
 
 
+_SEQUENCE = V.SPLATS.replace("vec_id AS splat_id, CAST(label AS BIGINT) AS frame_id", "vec_id % 32 + vec_id // 96 AS splat_id, vec_id // 32 AS frame_id")
+
+
 @query(
     "sequence_keyframes",
-    f"""WITH {V.STABLE}, r AS (SELECT * FROM splats WHERE splat_id <= 12 AND (splat_id <= 6 OR frame_id // 5 % 2 = 1)), i AS (SELECT frame_id, frame_id // 5 AS gop, string_agg(splat_id::VARCHAR, ',' ORDER BY splat_id) AS ids FROM r GROUP BY 1),
-l AS (SELECT *, lag(ids) OVER (PARTITION BY gop ORDER BY frame_id) AS before FROM i), k AS (SELECT frame_id, gop, before IS NULL OR before <> ids AS is_keyframe FROM l)
-SELECT frame_id, max(CASE WHEN is_keyframe THEN frame_id END) OVER (PARTITION BY gop ORDER BY frame_id) AS key_id, is_keyframe FROM k""",
+    f"""WITH {_SEQUENCE}, i AS (SELECT frame_id, frame_id // 5 AS gop, string_agg(splat_id::VARCHAR, ',' ORDER BY splat_id) AS ids, count(*) AS splats, round(sum(round_even(least(1, greatest(0, opacity)) * 255, 0) / 255), 4) AS opacity FROM splats GROUP BY 1),
+l AS (SELECT *, lag(ids) OVER (PARTITION BY gop ORDER BY frame_id) AS before FROM i), k AS (SELECT *, before IS NULL OR before <> ids AS is_keyframe FROM l)
+SELECT frame_id, max(CASE WHEN is_keyframe THEN frame_id END) OVER (PARTITION BY gop ORDER BY frame_id) AS key_id, is_keyframe, CASE WHEN is_keyframe THEN splats END AS splats, CASE WHEN is_keyframe THEN opacity END AS opacity FROM k""",
 )
 def sequence_keyframes(spark, d):
-    s = V.stable_splats(spark, d).where("splat_id <= 12 AND (splat_id <= 6 OR frame_id div 5 % 2 = 1)")
-    return D.encode_sequence(s, 5).select("frame_id", "key_id", "is_keyframe")
+    """Frames of 32 splats each, whose ids change every third frame, in intervals of five; keyframes are decoded again."""
+    s = V.splats(spark, d)
+    s = s.withColumns({"frame_id": F.expr("splat_id div 32"), "splat_id": F.expr("splat_id % 32 + splat_id div 96")})
+    coded = D.encode_sequence(s, 5)
+    back = D.decode_frames(coded.where("is_keyframe"), "spz").groupBy("frame_id").agg(F.count("*").alias("splats"), F.round(F.sum("opacity"), 4).alias("opacity"))
+    return coded.select("frame_id", "key_id", "is_keyframe").join(back, "frame_id", "left")
 
 
 _KIND = "CASE type WHEN 'keyframe' THEN 0 WHEN 'delta' THEN 1 ELSE 2 END"
