@@ -138,21 +138,23 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     fits = 100 * F.least("nc", "nx") >= percent * F.greatest("nc", "nx")
     pairs = edges.where(fits).select("c", "x")
     pairs = pairs.join(sets.select(F.col("cls").alias("x"), F.col("tokens").alias("tx")), "x").join(sets.select(F.col("cls").alias("c"), F.col("tokens").alias("tc")), "c")
-    both = pairs.select("c", "x", F.size(F.array_intersect("tc", "tx")).cast("long").alias("both")).distinct()
+    both = pairs.select("c", "x", F.size(F.array_intersect("tc", "tx")).cast("long").alias("both"))
     out = edges.join(both, ["c", "x"], "left")
     similar = F.col("both") / (F.col("nc") + F.col("nx") - F.col("both"))
     linked = F.coalesce(100 * F.col("both") >= percent * (F.col("nc") + F.col("nx") - F.col("both")), F.lit(False))
-    return out.select("c", "x", "nc", "nx", linked.alias("linked"), F.coalesce(similar, F.lit(0.0)).alias("low"), F.coalesce(similar, F.least("nc", "nx") / F.greatest("nc", "nx")).alias("high"))
+    return out.select("c", "x", "nc", "nx", linked.alias("linked"), F.coalesce(similar, F.lit(0.0)).alias("low"), F.coalesce(similar, F.least("nc", "nx") / F.greatest("nc", "nx")).alias("high")).distinct()  # a set that was split over tasks is there twice
 
 
 def unsettled(edges: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Edges of the next round: of each star the leaves that may yet be linked across the components (node, root), hung on the smallest."""
     root = lambda df, of, name: df.join(roots.select(F.col("node").alias(of), F.col("root").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
     seen = root(root(edges, "c", "rc"), "x", "rx").withColumn("outside", F.col("rc") != F.col("rx"))
-    far = seen.where("outside").groupBy("c").agg(F.max("high").alias("far"))
+    # what is summed by centre is written first: a join right behind an aggregate could not split a star of many leaves
+    seen = materialize(seen, "seen")
+    far = materialize(seen.where("outside").groupBy("c").agg(F.max("high").alias("far")), "far")
     slack = (100 - percent) / 100 + 1e-9
     left = materialize(seen.join(far, "c").where(F.col("outside") | (F.col("low") <= F.col("far") + slack)).select("c", "x", "nx"), "unsettled")
-    least = left.groupBy("c").agg(F.min(F.struct("x", "nx")).alias("m"))
+    least = materialize(left.groupBy("c").agg(F.min(F.struct("x", "nx")).alias("m")), "least")
     again = left.join(least, "c").select(F.col("m.x").alias("c"), "x", F.col("m.nx").alias("nc"), "nx")
     return again.where("c <> x").distinct()
 
