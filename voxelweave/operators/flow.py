@@ -129,6 +129,9 @@ def frame_flow(images: DataFrame, field: bool = False) -> DataFrame:
     field also dx and dy of all pixels. images: sequence, frame_id, width, height, grey (0 to 1, row by row)."""
     import pyarrow as pa
 
+    # grey levels as single bytes, as rendered frames have them; images are dealt out twice
+    level = lambda v: (F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) * 255) - 128).cast("tinyint")
+    images = images.select("sequence", "frame_id", "width", "height", F.transform("grey", level).alias("grey"))
     pair = images.select("sequence", "frame_id", F.lag("frame_id").over(Window.partitionBy("sequence").orderBy("frame_id")).alias("before")).where("before IS NOT NULL")
     old = images.select("sequence", F.col("frame_id").alias("before"), F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("grey").alias("_g"))
     pairs = pair.join(images, ["sequence", "frame_id"]).join(old, ["sequence", "before"]).where("width = _w AND height = _h AND width > 0 AND height > 0")
@@ -142,7 +145,7 @@ def frame_flow(images: DataFrame, field: bool = False) -> DataFrame:
                 step = max(1, PIXELS // (width * height))
                 for k in range(0, len(rows), step):
                     own = batch.take(pa.array(rows[k : k + step]))
-                    after, before = (own.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, height, width) * 255.0 for c in (4, 5))
+                    after, before = (own.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, height, width) + 128.0 for c in (4, 5))
                     d = displacements(before, after)
                     out = [own.column(0), own.column(1), pa.array(np.hypot(*d).mean((1, 2)))]
                     if field:
