@@ -8,6 +8,7 @@ from voxelweave.operators import flow as W
 from voxelweave.operators import volume as Z
 from voxelweave.plans.registry import query
 from voxelweave.sources import views as V
+from voxelweave.sources.scratch import cut
 
 #: Metres of a voxel and of the truncation.
 VOXEL, BAND = 0.05, 0.1
@@ -59,7 +60,8 @@ SELECT frame_id AS mesh_id, CAST(({_NUMBER}) * 3 + axis AS BIGINT) AS vid, round
 )
 def depth_to_mesh(spark, d):
     """The vertices of the mesh that depth maps give; its faces name them."""
-    vertices, _ = Z.mesh(Z.fold(*depth_of_vectors(spark, d), VOXEL, BAND, 0.5, 3.0), VOXEL)
+    volume = cut(Z.fold(*depth_of_vectors(spark, d), VOXEL, BAND, 0.5, 3.0), "volume")  # read three times
+    vertices, _ = Z.mesh(volume, VOXEL)
     return vertices.select("mesh_id", "vid", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
