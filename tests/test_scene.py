@@ -256,3 +256,15 @@ def test_image_filters(spark):
     assert I.erode(mask, "alpha").where("alpha = 255").count() == 2 * 10 * 7 and I.opening(mask, "alpha").where("alpha = 0").count() == 0
     out = I.resize(img, 12, 9, 12, 9).join(img.withColumnRenamed("x", "tx").withColumnRenamed("y", "ty").withColumnRenamed("v", "w"), ["frame_id", "tx", "ty"])
     assert out.where("abs(v - w) > 1e-12").count() == 0
+
+
+def test_views_look_as_large_as_they_are(spark):
+    """What frames are repeated by must not look as small as the frames: the planner would broadcast it through the driver."""
+    for df in (V.pixels(spark, SF), V.depth(spark, SF), V.voxels(spark, SF), V.sdf_grid(spark, SF), *V.height_field(spark, SF)):
+        assert int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 8 * df.count()
+
+
+def test_square_filters_of_a_sparse_image(spark):
+    px = spark.createDataFrame([(1, 0, 0, 7), (1, 1, 1, 3), (1, 4, 0, 9), (2, 0, 1, 5)], "frame_id long, x long, y long, alpha int")
+    assert {(r.frame_id, r.x, r.y): r.alpha for r in I.dilate(px, "alpha").collect()} == {(1, 0, 0): 7, (1, 1, 1): 7, (1, 4, 0): 9, (2, 0, 1): 5}
+    assert {r.alpha for r in I.erode(px, "alpha").collect()} == {0}
