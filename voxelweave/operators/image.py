@@ -6,28 +6,35 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxelweave.functions import color as C
 
 
-def _around(pixels: DataFrame, value: str, radius: int) -> DataFrame:
-    offsets = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)]
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
-    m = pixels.select("frame_id", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col(value).alias("_v"), F.explode(steps).alias("s"))
-    return m.select("frame_id", (F.col("ox") + F.col("s.i")).alias("x"), (F.col("oy") + F.col("s.j")).alias("y"), "_v")
+def _square(pixels: DataFrame, at: list[str], over: dict[str, tuple], radius: int, *own: str) -> DataFrame:
+    """at and the columns own of every pixel, with aggregates (name: function, column) over the square of pixels around it that exist. Rows
+    first meet those above and below, then what they met is taken along x; min, max, sum of sums and sum of counts are the same either way."""
+    steps = F.array(*[F.lit(j).cast("long") for j in range(-radius, radius + 1)])
+    m = pixels.withColumn("_j", F.explode(steps)).withColumns({"_here": F.col("_j") == 0, "y": F.col("y") + F.col("_j")})
+    mine = [F.max(F.when(F.col("_here"), F.col(c))).alias(c) for c in own]
+    column = m.groupBy(*at).agg(F.max("_here").alias("_here"), *mine, *[f(c).alias(n) for n, (f, c) in over.items()])
+    row = Window.partitionBy(*[c for c in at if c != "x"]).orderBy("x").rangeBetween(-radius, radius)
+    again = lambda f: F.sum if f is F.count else f
+    return column.withColumns({n: again(f)(n).over(row) for n, (f, _) in over.items()}).where("_here").select(*at, *own, *over)
 
 
 def erode(pixels: DataFrame, value: str, radius: int = 1) -> DataFrame:
     """Smallest value around each pixel; outside the frame counts as 0."""
-    full = (2 * radius + 1) ** 2
-    near = _around(pixels, value, radius).groupBy("frame_id", "x", "y").agg(F.min("_v").alias("_m"), F.count("*").alias("_n"))
-    return pixels.select("frame_id", "x", "y").join(near, ["frame_id", "x", "y"]).select("frame_id", "x", "y", F.when(F.col("_n") == full, F.col("_m")).otherwise(F.lit(0).cast(pixels.schema[value].dataType)).alias(value))
+    at = ["frame_id", "x", "y"]
+    one = pixels.select(*at, value, F.lit(1).alias("_1"))
+    near = _square(one, at, {"_m": (F.min, value), "_n": (F.count, "_1")}, radius)
+    return near.select(*at, F.when(F.col("_n") == (2 * radius + 1) ** 2, F.col("_m")).otherwise(F.lit(0).cast(pixels.schema[value].dataType)).alias(value))
 
 
 def dilate(pixels: DataFrame, value: str, radius: int = 1) -> DataFrame:
     """Largest value around each pixel; outside the frame is ignored."""
-    near = _around(pixels, value, radius).groupBy("frame_id", "x", "y").agg(F.max("_v").alias(value))
-    return pixels.select("frame_id", "x", "y").join(near, ["frame_id", "x", "y"])
+    at = ["frame_id", "x", "y"]
+    return _square(pixels.select(*at, value), at, {"_m": (F.max, value)}, radius).select(*at, F.col("_m").alias(value))
 
 
 def opening(pixels: DataFrame, value: str, radius: int = 1) -> DataFrame:
@@ -37,9 +44,8 @@ def opening(pixels: DataFrame, value: str, radius: int = 1) -> DataFrame:
 def fill_gutter(atlas: DataFrame) -> DataFrame:
     """Empty texels (v null) take the mean of their filled neighbours in the same frame; without frame_id all are one frame."""
     at = [c for c in ("frame_id", "x", "y") if c in atlas.columns]
-    filled = atlas.where("v IS NOT NULL").withColumn("frame_id", F.col("frame_id") if "frame_id" in at else F.lit(0))
-    mean = _around(filled, "v", 1).groupBy(*at).agg(F.avg("_v").alias("m"))
-    return atlas.join(mean, at, "left").select(*at, F.coalesce("v", "m").alias("v"))
+    near = _square(atlas.select(*at, "v"), at, {"_s": (F.sum, "v"), "_n": (F.count, "v")}, 1, "v")
+    return near.select(*at, F.coalesce("v", F.try_divide("_s", "_n")).alias("v"))
 
 
 def ema_frames(pixels: DataFrame, value: str, alpha: float) -> DataFrame:
