@@ -268,3 +268,13 @@ def test_square_filters_of_a_sparse_image(spark):
     px = spark.createDataFrame([(1, 0, 0, 7), (1, 1, 1, 3), (1, 4, 0, 9), (2, 0, 1, 5)], "frame_id long, x long, y long, alpha int")
     assert {(r.frame_id, r.x, r.y): r.alpha for r in I.dilate(px, "alpha").collect()} == {(1, 0, 0): 7, (1, 1, 1): 7, (1, 4, 0): 9, (2, 0, 1): 5}
     assert {r.alpha for r in I.erode(px, "alpha").collect()} == {0}
+
+
+def test_radius_join_repeats_only_cells_in_reach(spark):
+    px = spark.createDataFrame([(i, (i * 37 % 101) / 50 - 1, (i * 53 % 97) / 50 - 1, (i * 71 % 89) / 50 - 1) for i in range(400)], "splat_id long, px double, py double, pz double").withColumn("frame_id", F.lit(1))
+    wide = S.around(S.with_cells(px, 0.3), 0.3).count()
+    assert 400 * 18 < wide < 400 * 24  # not all 27
+    brute = px.alias("a").crossJoin(px.alias("b")).where("pow(a.px - b.px, 2) + pow(a.py - b.py, 2) + pow(a.pz - b.pz, 2) < 0.09").count()
+    assert S.grid_join(px, px, 0.3).count() == brute
+    middle = spark.createDataFrame([(0.15, 0.15, 0.15)], "px double, py double, pz double")
+    assert S.around(S.with_cells(middle, 0.3), 0.3).count() == 27  # the far corner is 0.26 away
