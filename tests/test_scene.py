@@ -278,3 +278,15 @@ def test_radius_join_repeats_only_cells_in_reach(spark):
     assert S.grid_join(px, px, 0.3).count() == brute
     middle = spark.createDataFrame([(0.15, 0.15, 0.15)], "px double, py double, pz double")
     assert S.around(S.with_cells(middle, 0.3), 0.3).count() == 27  # the far corner is 0.26 away
+
+
+def test_resize_does_not_broadcast_its_targets(spark):
+    """The distinct frames are few once they are counted; what is made of them is not, and must not go through the driver."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        df = I.resize(V.pixels(spark, SF), 48, 32, 24, 16)
+        assert len(df.collect()) == 10 * 24 * 16
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

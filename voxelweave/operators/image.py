@@ -65,7 +65,9 @@ def psnr_by_frame(pixels: DataFrame, other: DataFrame) -> DataFrame:
 def resize(pixels: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:
     """Bilinear, by pixel centres, clamped at the borders."""
     sx, sy = width / to_width, height / to_height
-    targets = pixels.select("frame_id").distinct().select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(to_width - 1))).alias("tx")).select("frame_id", "tx", F.explode(F.sequence(F.lit(0), F.lit(to_height - 1))).alias("ty"))
+    # joins with ranges, whose sizes they multiply: what explode() makes of the few distinct frames looks small enough to be broadcast
+    numbers = pixels.sparkSession.range(to_width * to_height).select((F.col("id") % to_width).cast("int").alias("tx"), F.expr(f"cast(id div {to_width} AS int)").alias("ty"))
+    targets = pixels.select("frame_id").distinct().crossJoin(F.broadcast(numbers))
     fx = F.greatest(F.lit(0.0), F.least(F.lit(width - 1.0), (F.col("tx") + 0.5) * sx - 0.5))
     fy = F.greatest(F.lit(0.0), F.least(F.lit(height - 1.0), (F.col("ty") + 0.5) * sy - 0.5))
     t = targets.withColumns({"fx": fx, "fy": fy}).withColumns({"x0": F.floor("fx"), "y0": F.floor("fy")}).withColumns({"ax": F.col("fx") - F.col("x0"), "ay": F.col("fy") - F.col("y0")})
