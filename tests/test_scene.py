@@ -290,3 +290,23 @@ def test_resize_does_not_broadcast_its_targets(spark):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _join_conditions(df):
+    return "\n".join(line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+
+
+def test_what_cameras_see_is_worked_out_once(spark):
+    """Filters on where a point is seen must not write its rotation out in the join's condition."""
+    points = U.unproject(V.depth(spark, SF), V.depth_rig(spark, SF), 1.52, 1.58)
+    assert "r_rotation" not in _join_conditions(U.seen_in(points, V.depth_rig(spark, SF)))
+
+
+def test_texel_views_are_worked_out_once(spark):
+    t = spark.createDataFrame([(0, 0, 0, 0, 0.2, 0.3, 0.5)], "frame_id long, fid long, tx int, ty int, w0 double, w1 double, w2 double")
+    f = spark.createDataFrame([(0, 0, 1, 2)], "fid long, i0 long, i1 long, i2 long")
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0)], "vid long, x double, y double, z double")
+    c = spark.createDataFrame([(0, 0, 0.3, 0.5, 2.0), (0, 1, 0.3, 0.5, -2.0)], "frame_id long, camera_index long, x double, y double, z double")
+    out = M.texel_views(t, f, v, c)
+    assert [(r.camera_index, round(r.distance, 6), round(r.n_dot_c, 6)) for r in out.collect()] == [(0, 2.0, 1.0)]
+    assert "SQRT" not in _join_conditions(out).upper()

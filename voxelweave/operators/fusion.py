@@ -36,10 +36,11 @@ def seen_in(points: DataFrame, rig: DataFrame, keep: Column | None = None) -> Da
     r = rig.select("frame_id", *[F.col(c).alias(f"r_{c}") for c in rig.columns if c != "frame_id"])
     t = F.col("r_translation")
     c = G.add(G.rotated(F.col("r_rotation"), G.vec(names=("wx", "wy", "wz"))), (t[0], t[1], t[2]))
-    u, v = G.project(c, F.col("r_fx"), F.col("r_fy"), F.col("r_cx"), F.col("r_cy"))
     out = points.join(r, "frame_id")
     out = out if keep is None else out.where(keep)
-    out = out.withColumns({"z": c[2], "px": F.rint(u).cast("long"), "py": F.rint(v).cast("long")}).where("z > 0")
+    out = G.worked_out(out, _cx=c[0], _cy=c[1], z=c[2]).where("z > 0")
+    u, v = G.project((F.col("_cx"), F.col("_cy"), F.col("z")), F.col("r_fx"), F.col("r_fy"), F.col("r_cx"), F.col("r_cy"))
+    out = out.withColumns({"px": F.rint(u).cast("long"), "py": F.rint(v).cast("long")}).drop("_cx", "_cy")
     if "width" in rig.columns:
         out = out.where("px >= 0 AND py >= 0 AND px < r_width AND py < r_height")
     return out
