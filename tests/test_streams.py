@@ -296,3 +296,15 @@ def test_backend_and_tracker(spark):
 
 def test_registry_names_match():
     assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.queries()) > 90
+
+
+def test_trailing_windows_only_grow(spark):
+    """A window whose start moves is summed anew at each row; sums must come from windows that start with their block."""
+    rows = [(i, i % 2, 700 * (i // 3), None if i == 5 else i) for i in range(200)] + [(900, 0, 500_000, None), (901, 0, 500_001, None)]
+    p = spark.createDataFrame(rows, "event_id long, worker_id long, timestamp_ms long, bytes long")
+    out = sync.bitrate(p)
+    assert "RangeFrame, -" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        seen = [x for x in rows if x[1] == r.worker_id and r.timestamp_ms - 2000 <= x[2] <= r.timestamp_ms]
+        span, known = r.timestamp_ms - min(x[2] for x in seen), [x[3] for x in seen if x[3] is not None]
+        assert r.bps == (sum(known) * 8000 / span if len(seen) >= 2 and span > 0 and known else None)
