@@ -310,3 +310,17 @@ def test_texel_views_are_worked_out_once(spark):
     out = M.texel_views(t, f, v, c)
     assert [(r.camera_index, round(r.distance, 6), round(r.n_dot_c, 6)) for r in out.collect()] == [(0, 2.0, 1.0)]
     assert "SQRT" not in _join_conditions(out).upper()
+
+
+def test_compaction_neither_sorts_corners_nor_deals_ranges_again(spark):
+    _, f = V.height_field(spark, SF)
+    out = M.compaction(f)
+    assert sorted(r.new_id for r in out.collect()) == list(range(10 * 576))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "row_number" not in plan
+
+
+def test_marching_cubes_look_edges_up(spark):
+    """The ends of an edge come from the table of cases; a condition for each edge made the generated code too large to be compiled."""
+    out = U.marching_cubes(V.sdf_grid(spark, SF))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") < 30

@@ -209,17 +209,14 @@ def case_table() -> list[tuple[int, list[tuple[int, int, int]]]]:
 def marching_cubes(grid: DataFrame) -> DataFrame:
     """Triangles (cell, nth, three points in voxel units). The 256 cases are a broadcast table."""
     spark = grid.sparkSession
-    rows = [(m, n, *t) for m, ts in case_table() for n, t in enumerate(ts)]
-    cases = spark.createDataFrame(rows, "mask int, nth int, e0 int, e1 int, e2 int")
-    t = cubes(grid).join(F.broadcast(cases), "mask")
-    out = t
-    for k in range(3):
-        for axis, v in enumerate("xyz"):
-            place = F.coalesce(*[
-                F.when(F.col(f"e{k}") == e, F.col(f"v{v}") + CORNERS[a][axis] + (G.edge_crossing(F.col(f"d{a}"), F.col(f"d{b}")) * (CORNERS[b][axis] - CORNERS[a][axis]) if CORNERS[a][axis] != CORNERS[b][axis] else F.lit(0.0)))
-                for e, (a, b) in enumerate(EDGES)
-            ])
-            out = out.withColumn(f"p{k}{v}", place)
+    # each case with its edges' ends: the two corners' numbers (a, b), the place of the first (f) and the way to the other (s)
+    ends = [(a, b, *CORNERS[a], *[q - p for p, q in zip(CORNERS[a], CORNERS[b], strict=True)]) for a, b in EDGES]
+    rows = [(m, n, *[x for e in t for x in ends[e]]) for m, ts in case_table() for n, t in enumerate(ts)]
+    cases = spark.createDataFrame(rows, "mask int, nth int, " + ", ".join(f"{c}{k} int" for k in range(3) for c in ("a", "b", "fx", "fy", "fz", "sx", "sy", "sz")))
+    cells = G.worked_out(cubes(grid).where("mask NOT IN (0, 255)"), d=F.array(*[f"d{c}" for c in range(8)]))  # these two have no triangles
+    out = cells.select("vx", "vy", "vz", "mask", "d").join(F.broadcast(cases), "mask")
+    out = out.withColumns({f"t{k}": G.edge_crossing(F.col("d")[F.col(f"a{k}")], F.col("d")[F.col(f"b{k}")]) for k in range(3)})
+    out = out.withColumns({f"p{k}{v}": F.col(f"v{v}") + F.col(f"f{v}{k}") + F.col(f"t{k}") * F.col(f"s{v}{k}") for k in range(3) for v in "xyz"})
     return out.select("vx", "vy", "vz", "nth", *[f"p{k}{v}" for k in range(3) for v in "xyz"])
 
 
