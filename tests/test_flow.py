@@ -57,3 +57,15 @@ def test_images_of_pixels(spark):
     got = {r.frame_id: r for r in W.images_of(spark.createDataFrame(px, "sequence long, frame_id long, x long, y int, v double").repartition(2)).collect()}
     assert (got[2].width, got[2].height) == (4, 2) and got[2].grey == pytest.approx([i / 10 for i in range(8)])
     assert (got[3].width, got[3].height) == (2, 2) and got[3].grey == [0.0, 0.0, 0.0, 0.5]
+
+
+def test_a_batch_takes_little_memory():
+    """Four Python processes share an executor; what one works on at once must stay small however many images come."""
+    import tracemalloc
+
+    images = np.random.default_rng(0).random((max(1, W.PIXELS // (48 * 48)), 48, 48)) * 255
+    tracemalloc.start()
+    W.displacements(images, np.roll(images, 1, 2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6

@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 #: Scale from one image of the pyramid to the next, how many smaller ones there are, the least side of one, window, iterations, and the width
 #: and deviation of the fit: the usual setting for rendered frames.
 PYRAMID, LEVELS, LEAST, WINDOW, ITERATIONS, WIDTH, SIGMA = 0.5, 3, 32, 15, 3, 5, 1.2
-#: Pixels that are worked on at once.
-PIXELS = 1 << 20
+#: Pixels that are worked on at once; each takes some 500 bytes of intermediate arrays, in every Python process of an executor.
+PIXELS = 1 << 17
 
 
 def _filtered(x: np.ndarray, kernel: np.ndarray, axis: int) -> np.ndarray:
