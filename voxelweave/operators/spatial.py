@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 from voxelweave.functions import geometry as G
 
 CELL = ("cx", "cy", "cz")
+#: Shares of the radius within which match() looks one after the other.
+REACHES = (1 / 16, 1 / 4, 1)
 
 
 def with_cells(points: DataFrame, size: float) -> DataFrame:
@@ -88,14 +90,24 @@ def top_opacity(splats: DataFrame, budget: int) -> DataFrame:
 
 
 def match(new: DataFrame, old: DataFrame, radius: float, threshold: float, color_weight: float, on: tuple[str, ...] = ()) -> DataFrame:
-    """Each new splat's cheapest old one: distance plus weighted mean difference of the constant colour band, under the threshold;
-    null if none. new and old: splat_id, px, py, pz, sh, and the columns that a pair must agree on."""
+    """Each new splat's cheapest old one: distance plus weighted mean difference of the constant colour band (the weight is not negative), under
+    the threshold; null if none. new and old: splat_id, px, py, pz, sh, and the columns that a pair must agree on.
+
+    A pair costs no less than its distance. So who finds one nearby that costs less than the reach is done, and only the others look further:
+    the pairs within the whole radius, which grow with the square of the splats, are made for the few that have nothing near."""
     few = lambda df: df.select(*on, "splat_id", "px", "py", "pz", *[F.col("sh")[i].alias(f"sh{i}") for i in range(3)])  # noqa: E731  what is repeated stays narrow
-    pairs = grid_join(few(new), few(old), radius, on=on)
+    left = few(new)
+    those = few(old).groupBy(*[c for c in left.columns if c != "splat_id"]).agg(F.min("splat_id").alias("splat_id"))  # of copies the smallest id, as in a tie
     color = sum((F.abs(F.col(f"a_sh{i}") - F.col(f"b_sh{i}")) for i in range(3)), F.lit(0.0)) / 3
     cost = F.sqrt("d2") + color_weight * color
-    best = pairs.withColumn("cost", cost).where(F.col("cost") < threshold).groupBy("a_splat_id").agg(F.min(F.struct("cost", "b_splat_id")).alias("m"))
-    return new.select("splat_id").join(best, F.col("splat_id") == F.col("a_splat_id"), "left").select("splat_id", F.col("m.b_splat_id").alias("old_id"), F.col("m.cost").alias("cost"))
+    found = None
+    for share in REACHES:
+        pairs = grid_join(those, left, radius * share, on=on).withColumn("cost", cost).where(F.col("cost") < threshold)
+        best = pairs.groupBy(F.col("b_splat_id").alias("new_id")).agg(F.min(F.struct("cost", F.col("a_splat_id").alias("old_id"))).alias("m"))
+        done = best if share == 1 else best.where(F.col("m.cost") < radius * share * (1 - 1e-9))  # a little less, for rounding
+        found = done if found is None else found.unionByName(done)
+        left = left.join(done.select(F.col("new_id").alias("splat_id")), "splat_id", "left_anti").select(*left.columns)
+    return new.select("splat_id").join(found, F.col("splat_id") == F.col("new_id"), "left").select("splat_id", "m.old_id", "m.cost")
 
 
 def cell_runs(splats: DataFrame, size: float) -> DataFrame:
