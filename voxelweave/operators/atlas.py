@@ -50,11 +50,11 @@ def neighbours(faces: DataFrame) -> DataFrame:
     return two.unionByName(more).where("a <> b").distinct()
 
 
-def _grown(flat: DataFrame, beside: DataFrame) -> DataFrame:
-    """(mesh_id, fid, chart): connected faces of one way; the chart is its smallest face."""
+def _grown(flat: DataFrame, beside: DataFrame, small: bool = False) -> DataFrame:
+    """(mesh_id, fid, chart): connected faces of one way; the chart is its smallest face. small: no mesh is too large for one task."""
     way = flat.select("mesh_id", "fid", "way")
     links = beside.join(way.select("mesh_id", F.col("fid").alias("a"), F.col("way").alias("wa")), ["mesh_id", "a"]).join(way.select("mesh_id", F.col("fid").alias("b"), F.col("way").alias("wb")), ["mesh_id", "b"]).where("wa = wb")
-    roots = connected(links.select("mesh_id", "a", "b"), "mesh_id").withColumnRenamed("node", "fid")
+    roots = connected(links.select("mesh_id", "a", "b"), "mesh_id", together=small).withColumnRenamed("node", "fid")
     return way.join(roots, ["mesh_id", "fid"], "left").select("mesh_id", "fid", F.coalesce("root", "fid").alias("chart"))
 
 

@@ -71,7 +71,7 @@ re(mesh_id, fid, here) AS (SELECT mesh_id, fid, fid FROM wa UNION SELECT r.mesh_
 def grown_charts(spark, d):
     """The connected faces of one way, before any is taken out for an overlap."""
     v, f = V.relief(spark, d)
-    return A._grown(A.laid_flat(f, v), A.neighbours(f))
+    return A._grown(A.laid_flat(f, v), A.neighbours(f), small=True)  # 98 faces each
 
 
 _PACKED = """bx AS (SELECT vec_id AS mesh_id, CAST(c AS BIGINT) AS chart, abs(CAST(embedding[2*c+1] AS DOUBLE)) AS w, abs(CAST(embedding[2*c+2] AS DOUBLE)) AS h FROM embeddings, range(32) t(c) WHERE len(embedding) = 64),
