@@ -102,10 +102,13 @@ def depth_normals(depth: DataFrame, fx: float, fy: float, cx: float, cy: float)
 def reproject(depth: DataFrame, shift: tuple[float, float, float], fx: float, fy: float, cx: float, cy: float, width: int, height: int, threshold: float = 0.0) -> DataFrame:
     """Depth seen by a camera that moved: pixels of enough confidence are re-keyed, the most confident wins a pixel, then the nearest."""
     w = G.sub(G.unproject(F.col("x"), F.col("y"), F.col("depth"), fx, fy, cx, cy), tuple(F.lit(s) for s in shift))
-    u, v = G.project(w, fx, fy, cx, cy)
-    out = depth.where(F.col("confidence") >= threshold).select("frame_id", "camera_index", F.rint(u).cast("long").alias("px"), F.rint(v).cast("long").alias("py"), w[2].alias("z"), "confidence").where("z > 0")
+    out = G.worked_out(depth.where(F.col("confidence") >= threshold).select("frame_id", "camera_index", "x", "y", "depth", "confidence"), _wx=w[0], _wy=w[1], z=w[2]).where("z > 0")
+    u, v = G.project((F.col("_wx"), F.col("_wy"), F.col("z")), fx, fy, cx, cy)
+    out = G.worked_out(out, px=F.rint(u).cast("long"), py=F.rint(v).cast("long"))
     out = out.where(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1))
-    return out.groupBy("frame_id", "camera_index", "px", "py").agg(F.max_by("z", F.struct("confidence", -F.col("z"))).alias("depth"), F.max("confidence").alias("confidence"))
+    at = ["frame_id", "camera_index", "px", "py"]
+    nearest = out.groupBy(*at, "confidence").agg(F.min("z").alias("z"))  # two aggregates of plain numbers, as rows are sorted to compare structs
+    return nearest.groupBy(*at).agg(F.max_by("z", "confidence").alias("depth"), F.max("confidence").alias("confidence"))
 
 
 def tsdf(voxels: DataFrame, depth: DataFrame, rig: DataFrame, truncation: float, cap: float = 128.0, by_angle: bool = False, color: str | None = None) -> DataFrame:
