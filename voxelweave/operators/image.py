@@ -48,11 +48,16 @@ def fill_gutter(atlas: DataFrame) -> DataFrame:
     return near.select(*at, F.coalesce("v", F.try_divide("_s", "_n")).alias("v"))
 
 
-def ema_frames(pixels: DataFrame, value: str, alpha: float) -> DataFrame:
-    """Each pixel's exponential mean over its frames, from the first one."""
-    held = pixels.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("frame_id", F.col(value).cast("double").alias("v")))).alias("vs"))
-    start = F.col("vs")[0]["v"]
-    return held.select("x", "y", F.aggregate(F.slice("vs", 2, 1 << 30), start, lambda s, x: s * (1 - alpha) + x["v"] * alpha).alias(value))
+def ema_frames(pixels: DataFrame, value: str, alpha: float, block: int = 256) -> DataFrame:
+    """Each pixel's exponential mean over its frames, from the first one. Frames are folded in blocks, and a block's fold is linear in the mean
+    before it (keep of it, and add), so that a pixel's frames never stand in one array; blocks are folded in their order."""
+    v = F.col(value).cast("double")
+    held = pixels.groupBy("x", "y", F.expr(f"frame_id div {block}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("frame_id", v.alias("v")))).alias("vs"))
+    step = lambda s, x: s * (1 - alpha) + x["v"] * alpha
+    first = F.aggregate(F.slice("vs", 2, 1 << 30), F.col("vs")[0]["v"], step)
+    parts = held.select("x", "y", F.struct("block", F.pow(F.lit(1.0 - alpha), F.size("vs")).alias("keep"), F.aggregate("vs", F.lit(0.0), step).alias("add"), first.alias("first")).alias("p"))
+    folded = parts.groupBy("x", "y").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    return folded.select("x", "y", F.aggregate(F.slice("ps", 2, 1 << 30), F.col("ps")[0]["first"], lambda s, p: s * p["keep"] + p["add"]).alias(value))
 
 
 def psnr_by_frame(pixels: DataFrame, other: DataFrame) -> DataFrame:
