@@ -15,6 +15,8 @@ from voxelweave.functions import geometry as G
 #: Corners of a cube cell, and its edges by corner: the usual numbering, fixed values.
 CORNERS = ((0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1))
 EDGES = ((0, 1), (1, 2), (2, 3), (3, 0), (4, 5), (5, 6), (6, 7), (7, 4), (0, 4), (1, 5), (2, 6), (3, 7))
+#: Voxels of a piece of a column: a power of two up to 8.
+SPAN = 8
 
 
 def usable(depth: DataFrame, near: float, far: float) -> DataFrame:
@@ -179,6 +181,31 @@ def cubes(grid: DataFrame) -> DataFrame:
     return out.where("n = 8").drop("n")
 
 
+def _pieces(grid: DataFrame) -> DataFrame:
+    """Voxels dealt to pieces of SPAN along z (piece instead of vz), with their place m in it; the first of a piece is also the end of the one
+    before, m being SPAN there."""
+    m = F.expr(f"cast(vz & {SPAN - 1} AS int)")
+    own, end = (F.struct(q.alias("piece"), i.alias("m")) for q, i in ((F.expr(f"shiftright(vz, {SPAN.bit_length() - 1})"), m), (F.expr(f"shiftright(vz, {SPAN.bit_length() - 1}) - 1"), F.lit(SPAN))))
+    dealt = grid.withColumn("_at", F.explode(F.when(m == 0, F.array(own, end)).otherwise(F.array(own))))
+    return dealt.select(*[c for c in grid.columns if c != "vz"], "_at.piece", "_at.m")
+
+
+def cases(grid: DataFrame) -> DataFrame:
+    """The cells and masks of cubes() without the distances. Voxels meet in pieces of columns along z first, as bits of one number, and four
+    pieces make the cells between them; else a voxel is dealt to eight cells, and each cell has a row in the tables of the aggregate. How
+    often a voxel is there (127 times at most) stands in seven bits, as a repeated one counts twice."""
+    inside = F.bit_or(F.when(F.col("sdf") < 0, F.expr("shiftleft(1, m)")).otherwise(0)).alias("inside")
+    held = _pieces(grid.select("vx", "vy", "vz", "sdf")).groupBy("vx", "vy", "piece").agg(F.sum(F.expr("shiftleft(1L, 7 * m)")).alias("n"), inside)
+    held = held.where(F.col("n") % (1 << 7 * SPAN) != 0)  # what only ends the piece before begins no cell
+    sides = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(i).alias("i"), F.lit(j).alias("j")) for c, (i, j, k) in enumerate(CORNERS) if k == 0])
+    four = held.select("vx", "vy", "piece", "n", "inside", F.explode(sides).alias("s")).select((F.col("vx") - F.col("s.i")).alias("vx"), (F.col("vy") - F.col("s.j")).alias("vy"), "piece", F.col("s.c").alias("c"), "n", "inside")
+    four = four.groupBy("vx", "vy", "piece").agg(*[F.max(F.when(F.col("c") == c, F.col(x))).alias(f"{x}{c}") for c in range(4) for x in ("n", "inside")])
+    cell = four.where(" AND ".join(f"n{c} IS NOT NULL" for c in range(4))).withColumn("m", F.explode(F.array(*[F.lit(i) for i in range(SPAN)])))
+    count = " + ".join(f"(shiftright(n{c}, 7 * (m + {k})) & 127)" for k in (0, 1) for c in range(4))
+    mask = " | ".join(f"shiftleft(shiftright(inside{c}, m + {k}) & 1, {c + 4 * k})" for k in (0, 1) for c in range(4))
+    return cell.where(f"{count} = 8").select("vx", "vy", (F.col("piece") * SPAN + F.col("m")).alias("vz"), F.expr(mask).alias("mask"))
+
+
 def case_table() -> list[tuple[int, list[tuple[int, int, int]]]]:
     """Triangles, as triples of edges, for each of the 256 masks, built by rule: on every face the border between inside and outside
     gives segments between edges (a face with two opposite inside corners keeps them apart), segments close to loops, loops become
