@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,18 +196,20 @@ class CaptureWriter(DataSourceWriter):
     def __init__(self, path: str, stream: str, overwrite: bool):
         self.to, self.stream, self.overwrite = Publication(path), stream, overwrite
 
-    def write(self, iterator: Iterator) -> Staged | None:
+    def write(self, iterator: Iterator) -> Staged:
         from pyspark import TaskContext
 
         context, n = TaskContext.get(), 0
         folder = self.to.stage()
         files, base = opened(self.to.path)
+        if (row := next(iterator, None)) is None:  # no segment, but Spark wants a message of each task
+            return Staged(folder, 0)
         with files.open_output_stream(f"{base}/{folder}/{context.partitionId() if context else 0:05d}") as f:
-            for row in iterator:
+            for row in chain([row], iterator):
                 body = W.encode(row.asDict(recursive=True), W.CAPTURE_FRAME)
                 f.write(W.FRAMING.pack(0, len(body)) + body)
                 n += 1
-        return Staged(folder, n) if n else None
+        return Staged(folder, n)
 
     def commit(self, messages: list) -> None:
         there = {} if self.overwrite else segments(self.to.path)
