@@ -117,14 +117,15 @@ def tsdf(voxels: DataFrame, depth: DataFrame, rig: DataFrame, truncation: float,
     """Truncated signed distance of each voxel over the cameras in order: a running mean whose weight is capped. by_angle weighs a camera by
     the cosine of the view ray, 0.1 at least. color names a column of the depth table from 0 to 255 that is folded along, cut to whole
     numbers at each step."""
-    hit = _met(seen_in(voxels, rig), depth, *([color] if color else [])).withColumn("sdf", F.col("d") - F.col("z")).where(F.col("sdf") >= -truncation)
-    weight = F.lit(1.0)
+    there, weight = seen_in(voxels, rig), F.lit(1.0)
     if by_angle:
         t = F.col("r_translation")
         c = G.add(G.rotated(F.col("r_rotation"), G.vec(names=("wx", "wy", "wz"))), (t[0], t[1], t[2]))
         weight = F.greatest(F.lit(0.1), F.col("z") / G.length(c))
-    seen = F.struct(F.col("r_camera_index").alias("c"), F.least(F.lit(1.0), F.col("sdf") / truncation).alias("t"), weight.alias("w"), (F.col(f"d_{color}").cast("double") if color else F.lit(0.0)).alias("v"))
-    out = folded(hit.withColumn("_seen", seen), ["voxel_id"], cap)
+    there = there.select("frame_id", "voxel_id", "r_camera_index", "px", "py", "z", weight.alias("w"))  # without the rig, which each row would carry to the join
+    hit = _met(there, depth, *([color] if color else [])).withColumn("sdf", F.col("d") - F.col("z")).where(F.col("sdf") >= -truncation)
+    seen = F.struct(F.col("r_camera_index").alias("c"), F.least(F.lit(1.0), F.col("sdf") / truncation).alias("t"), F.col("w"), (F.col(f"d_{color}").cast("double") if color else F.lit(0.0)).alias("v"))
+    out = folded(hit.withColumn("_seen", seen), ["frame_id", "voxel_id"], cap).drop("frame_id")
     return out if color else out.drop("color")
 
 
